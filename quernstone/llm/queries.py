@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, telephony, url_rules
+from quernstone.llm import bpe, pii, telephony, url_rules, warc
 from quernstone.session import table
 
 #: The public vocabulary of the registered queries; any path that the executors can read will do.
@@ -17,6 +17,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -25,10 +29,17 @@ def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.read_back(telephony.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(warc.deduplicate(table(spark, sf_dir, "pages")))
+    return warc.resolve(warc.heads(archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
+    "op4_pii": op4_pii,
     "op5_bpe": op5_bpe,
     "op9_telephony": op9_telephony,
+    "op10_warc": op10_warc,
 }
 
 URL_SQL = r"""
@@ -46,4 +57,15 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM fits WHERE best = 1) USING (n)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": URL_SQL}
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, strlen(html) AS payload_bytes, unhex(sha1(html))::BIT::VARCHAR AS bits, max(page_id) OVER (PARTITION BY html) AS keep_id FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (substr(bits, CAST(5 * i + 1 AS INTEGER), 5)::BIT::INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = keep_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keep_id THEN NULL ELSE keep_id END AS refers_to
+FROM d
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": URL_SQL, "op10_warc": WARC_SQL}
