@@ -42,7 +42,7 @@ DIGIT = re.compile(r"[0-9]")
 
 #: Candidates of the field: digit groups, and addresses that are spelt out.
 LOOSE = re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9])*+")
-SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[] ?(?:at|AT|At) ?[)\]] ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[] ?(?:dot|DOT|Dot) ?[)\]]) ?[A-Za-z0-9-]+)+")
+SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[] ?(?:at|AT|At) ?[)\]] ?[A-Za-z0-9-]+(?:(?:\.| ?[(\[] ?(?:dot|DOT|Dot) ?[)\]] ?)[A-Za-z0-9-]+)+")
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Words that tell what follows or precedes; a plain list, extend it by parameter where a corpus needs more.
