@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, pii, telephony, url_rules, warc
+from quernstone.llm import bpe, minhash, pii, telephony, url_rules, warc
 from quernstone.session import table
 
 #: The public vocabulary of the registered queries; any path that the executors can read will do.
@@ -25,6 +25,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.read_back(telephony.store_texts(table(spark, sf_dir, "documents")))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op4_pii": op4_pii,
     "op5_bpe": op5_bpe,
+    "op6_minhash": op6_minhash,
     "op9_telephony": op9_telephony,
     "op10_warc": op10_warc,
 }
@@ -57,6 +62,29 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM fits WHERE best = 1) USING (n)
 """
 
+#: All pairs that share a shingle, so for small tables only; distinct word sequences stand for their copies.
+MINHASH_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+seqs AS (SELECT w, min(doc_id) AS id FROM d WHERE len(w) > 0 GROUP BY w),
+sets AS (
+  SELECT id, CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s
+  FROM seqs),
+sizes AS (SELECT id, len(s) AS n FROM sets),
+one AS (SELECT id, unnest(s) AS x FROM sets),
+pairs AS (
+  SELECT a.id AS a, b.id AS b, count(*) AS common FROM one a JOIN one b ON a.x = b.x AND a.id < b.id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes p ON p.id = a JOIN sizes q ON q.id = b WHERE 100 * common >= 80 * (p.n + q.n - common)),
+ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, other) AS (SELECT id, id FROM seqs UNION SELECT r.id, e.b FROM reach r JOIN ends e ON e.a = r.other),
+least AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(l.component, d.doc_id) AS component_id, d.doc_id = coalesce(l.component, d.doc_id) AS kept
+FROM d LEFT JOIN seqs q ON q.w = d.w LEFT JOIN sizes z ON z.id = q.id LEFT JOIN least l ON l.id = q.id
+"""
+
 WARC_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (
@@ -68,4 +96,4 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": URL_SQL, "op10_warc": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": URL_SQL, "op6_minhash": MINHASH_SQL, "op10_warc": WARC_SQL}
