@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, minhash, pii, telephony, url_rules, warc
+from quernstone.llm import bpe, minhash, pii, suffixes, telephony, url_rules, warc
 from quernstone.session import table
 
 #: The public vocabulary of the registered queries; any path that the executors can read will do.
@@ -29,6 +29,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.read_back(telephony.store_texts(table(spark, sf_dir, "documents")))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_bpe": op5_bpe,
     "op6_minhash": op6_minhash,
+    "op7_suffixes": op7_suffixes,
     "op9_telephony": op9_telephony,
     "op10_warc": op10_warc,
 }
