@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, minhash, pii, suffixes, telephony, url_rules, warc
+from quernstone.llm import bpe, decontaminate, minhash, pii, suffixes, telephony, url_rules, warc
 from quernstone.session import table
 
 #: The public vocabulary of the registered queries; any path that the executors can read will do.
@@ -17,6 +17,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
+    "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
     "op5_bpe": op5_bpe,
     "op6_minhash": op6_minhash,
