@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, decontaminate, minhash, pii, suffixes, telephony, url_rules, warc
+from quernstone.llm import bpe, decontaminate, minhash, pii, suffixes, telephony, toxicity, url_rules, warc
 from quernstone.session import table
 
 #: The public vocabulary of the registered queries; any path that the executors can read will do.
@@ -37,6 +37,11 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.trained(documents, table(spark, sf_dir, "labels")))
+
+
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.read_back(telephony.store_texts(table(spark, sf_dir, "documents")))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_minhash": op6_minhash,
     "op7_suffixes": op7_suffixes,
+    "op8_toxicity": op8_toxicity,
     "op9_telephony": op9_telephony,
     "op10_warc": op10_warc,
 }
