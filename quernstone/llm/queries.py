@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, decontaminate, minhash, pii, suffixes, telephony, toxicity, url_rules, warc
+from quernstone.llm import bpe, decontaminate, html_text, minhash, pii, suffixes, telephony, toxicity, url_rules, warc
 from quernstone.session import table
 
 #: The public vocabulary of the registered queries; any path that the executors can read will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
 
@@ -52,6 +56,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_url_filters": op2_url_filters,
     "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
