@@ -30,6 +30,10 @@ from quernstone.session import ship
 #: Fixed value: the pattern of byte-level BPE vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Letters and numbers that are younger than the character tables which such vocabularies are used with;
+#: they count as neither. A regex module with older tables doesn't know them anyway.
+YOUNGER = "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+
 #: Texts whose code points all lie below this are split by an equal pattern of the standard library, which is faster.
 LOW = 0x250
 
@@ -46,6 +50,15 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + others.index(b)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def full_pattern() -> regex.Pattern:
+    """PIECES without the younger characters in its classes."""
+    points = [[chr(int(x, 16)) for x in r.split("-")] for r in YOUNGER.split()]
+    younger = "[" + "".join(regex.escape(r[0]) + (f"-{regex.escape(r[-1])}" if len(r) > 1 else "") for r in points) + "]"
+    pattern = PIECES.replace(r"[^\s\p{L}\p{N}]", "OTHER").replace(r"\p{L}", rf"[\p{{L}}--{younger}]").replace(r"\p{N}", rf"[\p{{N}}--{younger}]")
+    return regex.compile(pattern.replace("OTHER", rf"[[^\s\p{{L}}\p{{N}}]||{younger}]"), regex.V1)
+
+
 @lru_cache(maxsize=1)
 def low_pattern() -> re.Pattern:
     """PIECES with its classes written out for code points below LOW."""
@@ -73,7 +86,7 @@ class ByteBPE:
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.strings |= {i: s.encode() for s, i in self.added.items()}
         self.split_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.find, self.find_low, self.high = regex.compile(PIECES).findall, low_pattern().findall, re.compile(f"[^\\x00-{chr(LOW - 1)}]").search
+        self.find, self.find_low, self.high = full_pattern().findall, low_pattern().findall, re.compile(f"[^\\x00-{chr(LOW - 1)}]").search
         self.table: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
