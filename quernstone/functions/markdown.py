@@ -68,6 +68,8 @@ class Section:
     first: int
     last: int
     body: str
+    heading: str
+    heading_line: int | None
 
 
 def sections(body: str) -> list[Section]:
@@ -90,7 +92,7 @@ def sections(body: str) -> list[Section]:
         while own and not lines[own[-1]].strip():
             own.pop()
         if own:
-            out.append(Section(path, seen[key], own[0] + 1, own[-1] + 1, "\n".join(lines[own[0] : own[-1] + 1])))
+            out.append(Section(path, seen[key], own[0] + 1, own[-1] + 1, "\n".join(lines[own[0] : own[-1] + 1]), lines[at] if level else "", at + 1 if level else None))
     return out
 
 

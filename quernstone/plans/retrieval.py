@@ -17,7 +17,7 @@ from quernstone.plans import query as requests
 from quernstone.plans.index import Index
 
 MAX_TOKENS, MAX_BYTES, READ_TOKENS = 8000, 65_536, 800
-PUBLIC = ("item_id", "scope", "title", "source_title", "source_path", "locator", "heading_path", "occurrence", "part")
+PUBLIC = ("item_id", "scope", "title", "source_title", "source_path", "source_id", "locator", "locator_with_lines", "evidence_role", "provider", "session_id", "turn_index", "role", "heading_path", "occurrence", "part")
 
 
 class RetrievalError(ValueError):
@@ -103,8 +103,7 @@ class Retrieval:
         raise RetrievalError("budget_too_small", "not even an empty response fits")
 
     def with_bundles(self) -> DataFrame:
-        none = F.lit(None).cast("string")
-        return self.index.table("items").withColumn("bundle_key", bundle_key(F.col("source_path"), none, none, F.col("locator")))
+        return self.index.table("items").withColumn("bundle_key", bundle_key(F.col("source_path"), F.col("session_id"), F.col("turn_index"), F.col("locator")))
 
     def read_item(self, item_id: str, index_id: str, max_tokens: int = READ_TOKENS) -> dict:
         """One item, cut at a safe place."""
@@ -123,16 +122,22 @@ class Retrieval:
     def read_bundle(self, item_id: str, index_id: str, max_tokens: int = MAX_TOKENS) -> dict:
         """The seed's section: the seed first, then the nearest parts, as long as they fit; damage fails the whole read."""
         seed = self._seed(item_id, index_id)
-        members = self.with_bundles().where((F.col("source_path") == seed["source_path"]) & (F.col("bundle_key") == seed["bundle_key"])).orderBy("part").collect()  # one section
+        found = self.with_bundles().where((F.col("source_path") == seed["source_path"]) & (F.col("bundle_key") == seed["bundle_key"])).collect()  # one section or exchange
+        members = sorted(found, key=lambda m: (m["role"] == "assistant", m["part"]))
         links = [m["item_id"] for m in members]
-        if [m["part"] for m in members] != list(range(1, len(members) + 1)) or any(m["previous_part_id"] != p or m["next_part_id"] != n for m, p, n in zip(members, [None, *links[:-1]], [*links[1:], None], strict=True)):
-            raise RetrievalError("bundle_damaged", "parts aren't complete and linked")
-        order = sorted(members, key=lambda m: (abs(m["part"] - seed["part"]), -m["part"]))
+        for role in {m["role"] for m in members}:
+            own = [m for m in members if m["role"] == role]
+            ids, others = [m["item_id"] for m in own], [m["item_id"] for m in members if m["role"] != role]
+            linked = all((m["relations"]["previous_part_id"], m["relations"]["next_part_id"], list(m["relations"]["counterpart_item_ids"])) == (p, n, others) for m, p, n in zip(own, [None, *ids[:-1]], [*ids[1:], None], strict=True))
+            if not linked or [m["part"] for m in own] != list(range(1, len(own) + 1)) or role and len({m["role"] for m in members}) != 2:
+                raise RetrievalError("bundle_damaged", "parts aren't complete and linked")
+        at = links.index(item_id)
+        order = [members[i] for i in sorted(range(len(members)), key=lambda i: (abs(i - at), -i))]
         chosen: list = []
 
         def response(rows: list) -> dict:
             ids = {r["item_id"] for r in rows}
-            body = [{"metadata": {k: r[k] for k in PUBLIC}, "body": r["body"], "is_truncated": False} for r in sorted(rows, key=lambda r: r["part"])]
+            body = [{"metadata": {k: r[k] for k in PUBLIC}, "body": r["body"], "is_truncated": False} for r in sorted(rows, key=lambda r: links.index(r["item_id"]))]
             missing = [i for i in links if i not in ids]
             return counted({"seed_item_id": item_id, "bundle_key": seed["bundle_key"], "bundle_status": "partial_budget" if missing else "complete", "membership_complete": True, "missing_item_ids": missing, "items": body, "usage": {"estimated_evidence_tokens": 0}})
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quernstone.functions.markdown import HARD, chunks, sections, tokens
 from quernstone.functions.snippets import MAX_BYTES, MAX_TOKENS, snippet
 from quernstone.operators import search
-from quernstone.operators.projection import invariant_violations, item_id, project_documents
+from quernstone.operators.projection import invariant_violations, item_id, project, project_documents, rejections
 from quernstone.plans import query
 from quernstone.plans.index import Index, IndexFault, build, pointer, publish
 from quernstone.plans.retrieval import Retrieval, RetrievalError
@@ -62,7 +62,45 @@ def test_queries():
             query.request(*args)
 
 
+CONVERSATION = """## Exchange 1
+- **Turn**: 3
+- **User locator**: `raw/a.jsonl#Session:s/Turn:3/User@L4-L6`
+- **Assistant locator**: `raw/a.jsonl#Session:s/Turn:3/AssistantFinal@L9-L9`
+
+### Human user
+how do quokkas sleep?
+
+### Assistant final
+Quokkas sleep by day.
+"""
+
+
+def test_conversations(spark, tmp_path):
+    meta = {"provider": "codex", "created": "unknown", "provider_session_id": "s", "exchange_count": "1"}
+    bad = CONVERSATION.replace("### Assistant final", "### Nobody")
+    rows = [("c/1.md", "codex-s", None, "conversation", meta, CONVERSATION + "more words of quokkas. " * 300, 9), ("c/2.md", "x", None, "conversation", meta, bad, 9), ("c/3.md", "y", None, "conversation", {}, CONVERSATION, 9)]
+    sources = spark.createDataFrame(rows, "source_path string, source_id string, source_title string, scope string, metadata map<string,string>, body string, first_line int")
+    items = project(sources)
+    found = {(r.role, r.part): r for r in items.collect()}
+    human = found["human", 1]
+    assert human.locator == "raw/a.jsonl#Session:s/Turn:3/User/part:1" and human.locator_with_lines == "raw/a.jsonl#Session:s/Turn:3/User/part:1@L4-L6"
+    assert (human.evidence_role, human.turn_index, human.source_title) == ("user_statement", 3, "Codex 会话 · 日期未知")
+    assert human.relations.counterpart_item_ids == [found["assistant", p].item_id for p in range(1, len(found))]
+    assert {r.source_path: r.reason for r in rejections(sources).collect()} == {"c/2.md": "roles", "c/3.md": "provider and created"}
+    root = str(tmp_path)
+    index_id = build(items, root)
+    out = Retrieval(Index.open(spark, root, index_id)).read_bundle(found["assistant", 2].item_id, index_id)
+    assert out["bundle_status"] == "complete" and [x["metadata"]["role"] for x in out["items"]] == ["human"] + ["assistant"] * (len(found) - 1)
+
+
+def test_section_items(spark):
+    out = {r.locator: r for r in project_documents(sources(spark, [("n.md", "N", "note", NOTE)])).collect()}
+    assert out.keys() == {"note:n.md/" + x + "/part:1" for x in ("root", "heading:alpha", "heading:alpha/deep", "heading:alpha/beta", "heading:alpha:occurrence:2")}
+    assert out["note:n.md/heading:alpha/part:1"].body.startswith("# Alpha\nfirst") and out["note:n.md/heading:alpha/part:1"].locator_with_lines.endswith("@L3-L4")
+
+
 def test_item_ids_are_stable():
+    assert item_id("sources/notes/a.md", "note:a/root", "root", 1) == "itm_odp6ldsmbddcjesvd2phvrn2j3tlj6up"
     assert item_id("a/b.md", "section:root#1", "section", 1) == item_id("a/b.md", "section:root#1", "section", 1) != item_id("a/b.md", "section:root#1", "section", 2)
     assert len(item_id("", "", "", 1)) == 36
 
