@@ -119,7 +119,7 @@ def exact_duplicate(spark, sf_dir):
 
 
 PAIRS = """
-WITH g AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS exchange
+WITH g AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS exchange
   FROM conversations WHERE role IN ('user', 'assistant')),
 p AS (SELECT conv_id, exchange, max(text) FILTER (role = 'user') AS user_text, arg_max(text, turn) FILTER (role = 'assistant') AS final_text,
   count(*) FILTER (role = 'assistant') AS n_assistant FROM g WHERE exchange > 0 GROUP BY ALL)
@@ -143,7 +143,7 @@ def part_links(spark, sf_dir):
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS occurrence FROM conversations")
 def occurrence_number(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(W.partitionBy("conv_id", "role").orderBy("turn")).alias("occurrence"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(W.partitionBy("conv_id", "role").orderBy("turn")).cast("long").alias("occurrence"))
 
 
 @query(PAIRS + """, i AS (SELECT conv_id, exchange, role, turn, row_number() OVER (PARTITION BY conv_id, exchange, role ORDER BY turn) AS part FROM g WHERE exchange > 0)
@@ -173,9 +173,9 @@ def doc_freq(spark, sf_dir):
     return search.postings(items(spark, sf_dir)).groupBy("term").agg(F.count_distinct("item_id").alias("df"))
 
 
-@query(f"SELECT count(*) AS n_docs, sum(n) AS n_terms, min(n) AS least, max(n) AS most, round(avg(n), 9) AS avg_terms FROM (SELECT len({TERMS.format('text')}) AS n FROM documents)")
+@query(f"SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms, min(n) AS least, max(n) AS most, round(avg(n), 9) AS avg_terms FROM (SELECT len({TERMS.format('text')}) AS n FROM documents)")
 def doc_length_stats(spark, sf_dir):
-    n = F.size(T.terms(F.col("text")))
+    n = F.size(T.terms(F.col("text"))).cast("long")
     return documents(spark, sf_dir).select(n.alias("n")).agg(F.count("n").alias("n_docs"), F.sum("n").alias("n_terms"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 9).alias("avg_terms"))
 
 
@@ -227,19 +227,19 @@ def and_match(spark, sf_dir):
 
 @query(RANKED + "SELECT query_ix, doc_id, score, rank FROM ranked")
 def bm25_topk(spark, sf_dir):
-    return search.top_candidates(scored(spark, sf_dir)).select("query_ix", F.col("item_id").alias("doc_id"), "score", "rank")
+    return search.top_candidates(scored(spark, sf_dir)).select("query_ix", F.col("item_id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(SCORED + "SELECT query_ix, doc_id, score, row_number() OVER (PARTITION BY query_ix ORDER BY score, doc_id) AS rank FROM met WHERE lang IN ('de', 'fr') QUALIFY rank <= 20")
+@query(SCORED + "SELECT query_ix, doc_id, score, row_number() OVER (PARTITION BY query_ix ORDER BY score, doc_id) AS rank FROM met WHERE lang IN ('en', 'es') QUALIFY rank <= 20")
 def scope_filtered_topk(spark, sf_dir):
-    return search.top_candidates(scored(spark, sf_dir), ["de", "fr"]).select("query_ix", F.col("item_id").alias("doc_id"), "score", "rank")
+    return search.top_candidates(scored(spark, sf_dir), ["en", "es"]).select("query_ix", F.col("item_id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(RANKED + f""", fused AS (SELECT doc_id, sum({search.RRF_LCM}::HUGEINT // (60 + rank))::DECIMAL(38,0) AS weight, coalesce(min(rank) FILTER (query_ix = 0), 21) AS first_rank, min(rank) AS best_rank FROM ranked GROUP BY doc_id)
 SELECT doc_id, weight::VARCHAR AS weight, first_rank, best_rank, row_number() OVER (ORDER BY weight DESC, first_rank, best_rank, doc_id) AS final_rank FROM fused QUALIFY final_rank <= 8""")
 def rrf_fuse(spark, sf_dir):
     out = search.fuse(search.top_candidates(scored(spark, sf_dir)))
-    return out.select(F.col("item_id").alias("doc_id"), F.col("weight").cast("string").alias("weight"), "first_rank", "best_rank", "final_rank")
+    return out.select(F.col("item_id").alias("doc_id"), F.col("weight").cast("string").alias("weight"), *(F.col(c).cast("long").alias(c) for c in ("first_rank", "best_rank", "final_rank")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,13 +256,13 @@ def scope_counts(spark, sf_dir):
 @query(PAIRS + "SELECT conv_id, exchange, role, turn, row_number() OVER (PARTITION BY conv_id, exchange ORDER BY role DESC, turn) AS place FROM g WHERE exchange > 0")
 def bundle_members(spark, sf_dir):
     rows = exchanges.with_exchange(messages(spark, sf_dir)).where("exchange > 0")
-    return rows.select(F.col("session").alias("conv_id"), "exchange", "role", "turn", F.row_number().over(W.partitionBy("session", "exchange").orderBy(F.desc("role"), "turn")).alias("place"))
+    return rows.select(F.col("session").alias("conv_id"), "exchange", "role", "turn", F.row_number().over(W.partitionBy("session", "exchange").orderBy(F.desc("role"), "turn")).cast("long").alias("place"))
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY abs(turn - 2), turn DESC) AS priority FROM conversations")
 def seed_priority(spark, sf_dir):
     rows = messages(spark, sf_dir).select("session", F.col("turn").alias("pos"))
-    return exchanges.seed_order(rows, F.lit(2)).select(F.col("session").alias("conv_id"), F.col("pos").alias("turn"), "priority")
+    return exchanges.seed_order(rows, F.lit(2)).select(F.col("session").alias("conv_id"), F.col("pos").alias("turn"), F.col("priority").cast("long").alias("priority"))
 
 
 @query("SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM conversations QUALIFY used <= 600")
@@ -320,7 +320,7 @@ def last_seen_items(spark, sf_dir):
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events QUALIFY back <= 3")
 def latest_details(spark, sf_dir):
     back = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("event_id")))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", back.alias("back")).where("back <= 3")
+    return table(spark, sf_dir, "events").select("user_id", "event_id", back.cast("long").alias("back")).where("back <= 3")
 
 
 @query(r"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) AS host, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages)

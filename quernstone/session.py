@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -45,7 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "/tmp/checkpoints/quernstone"
+    return _own_dir()
+
+
+@functools.cache
+def _own_dir() -> str:
+    """A local session's folder, removed when the process ends."""
+    path = f"/tmp/checkpoints/quernstone-{os.getpid()}"
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
