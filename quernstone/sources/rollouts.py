@@ -11,8 +11,11 @@ from quernstone.session import cut
 
 RECORD = "timestamp string, type string, payload struct<type: string, role: string, phase: string, id: string, timestamp: string, cwd: string, thread_source: string, forked_from_id: string, content: array<struct<type: string, text: string>>>"
 
-#: Marks of messages that a program wrote.
-RUNTIME = r"(?is)<(?:environment_context|user_instructions|turn_aborted|user_shell_command|subagent_notification)[\s>]"
+#: Messages that a program wrote, and the envelope of answers to a program's questions.
+RUNTIME = r"(?i)<(?:model_instruction|user_action)(?:>|\s)"
+SKILL = r"(?s)\A<skill>\s*<name>[^<\r\n]+</name>\s*<path>[^<\r\n]+</path>\s*---(?:\r?\n).*?</skill>\s*\z"
+INSTRUCTIONS = r"(?s)\A# AGENTS\.md instructions for [^\r\n]+\r?\n\r?\n<INSTRUCTIONS>.*?</INSTRUCTIONS>(?:\s*<environment_context>.*?</environment_context>)?\s*\z"
+REPLY = r"(?s)\A<send_user_message_question_reply>\s*(.*?)\s*</send_user_message_question_reply>\s*\z"
 TOOL_CALLS = ("custom_tool_call", "function_call", "tool_search_call", "web_search_call")
 TOOL_RESULTS = ("custom_tool_call_output", "function_call_output", "tool_search_output")
 
@@ -23,25 +26,38 @@ def joined_text(content: Column, kind: str) -> Column:
     return F.array_join(F.transform(own, lambda b: b["text"]), "\n\n")
 
 
+def question_reply(raw: Column) -> Column:
+    """Questions and answers of a reply envelope as text, null if it isn't one or lacks a part."""
+    replies = F.from_json(F.regexp_extract(raw, REPLY, 1), "array<struct<question: string, answer: string>>")
+    clean = F.transform(replies, lambda r: F.struct(clean_message(r["question"]).alias("q"), clean_message(r["answer"]).alias("a")))
+    whole = (F.size(clean) > 0) & F.forall(clean, lambda r: (F.coalesce(r["q"], F.lit("")) != "") & (F.coalesce(r["a"], F.lit("")) != ""))
+    return F.when(raw.rlike(REPLY) & whole, F.array_join(F.transform(clean, lambda r: F.concat(F.lit("助手问题："), r["q"], F.lit("\n用户回答："), r["a"])), "\n\n"))
+
+
 def human_text(raw: Column) -> Column:
     """What a person wrote, null for what a program did: envelopes, noise, slash commands, empty messages."""
     cleaned = clean_message(raw)
-    return F.when(~noise(raw) & ~raw.rlike(RUNTIME) & (cleaned != "") & ~cleaned.rlike(r"\A/[A-Za-z][\w-]*(?:\s+[^\n]*)?\z"), cleaned)
+    typed = (cleaned != "") & ~cleaned.rlike(r"\A/[A-Za-z][\w-]*(?:\s+[^\n]*)?\z")
+    return F.when(~raw.rlike(SKILL) & ~noise(raw) & ~raw.rlike(RUNTIME), F.coalesce(question_reply(raw), F.when(typed, cleaned)))
 
 
 def events(records: DataFrame) -> DataFrame:
-    """(path, line, kind, text): starts, ends, human messages and final answers, in order."""
+    """(path, line, kind, text, instructions): starts, contexts, ends, human messages and final answers, in order.
+
+    instructions marks the envelope that is a program's only before its turn has a context."""
     p, t = F.col("record.payload"), F.col("record.type")
     event, message = (t == "event_msg"), (t == "response_item") & (p["type"] == "message")
-    user, final = human_text(joined_text(p["content"], "input_text")), clean_message(joined_text(p["content"], "output_text"))
+    raw = joined_text(p["content"], "input_text")
+    user, final = human_text(raw), clean_message(joined_text(p["content"], "output_text"))
     kind = (
         F.when(event & (p["type"] == "task_started"), "start")
+        .when(t == "turn_context", "context")
         .when(event & (p["type"] == "task_complete"), "complete")
         .when(event & (p["type"] == "turn_aborted"), "aborted")
         .when(message & (p["role"] == "user") & user.isNotNull(), "user")
         .when(message & (p["role"] == "assistant") & (p["phase"] == "final_answer") & (final != ""), "final")
     )
-    return records.select("path", "line", kind.alias("kind"), F.when(kind == "user", user).when(kind == "final", final).alias("text")).where("kind IS NOT NULL")
+    return records.select("path", "line", kind.alias("kind"), F.when(kind == "user", user).when(kind == "final", final).alias("text"), ((kind == "user") & raw.rlike(INSTRUCTIONS)).alias("instructions")).where("kind IS NOT NULL")
 
 
 def turns(found: DataFrame) -> DataFrame:
@@ -51,7 +67,8 @@ def turns(found: DataFrame) -> DataFrame:
     begun = found.withColumn("turn", F.sum(F.when(F.col("kind") == "start", 1).otherwise(0)).over(w)).where("turn > 0")
     end = F.col("kind").isin("complete", "aborted")
     closed = F.sum(F.when(end, 1).otherwise(0)).over(W.partitionBy("path", "turn").orderBy("line").rowsBetween(W.unboundedPreceding, -1))
-    inside = begun.withColumn("closed", F.coalesce(closed, F.lit(0))).where("closed = 0")
+    contexts = F.sum(F.when(F.col("kind") == "context", 1).otherwise(0)).over(W.partitionBy("path", "turn").orderBy("line"))
+    inside = begun.withColumn("closed", F.coalesce(closed, F.lit(0))).withColumn("contexts", contexts).where("closed = 0 AND NOT (coalesce(instructions, false) AND contexts = 0)")
     struct = F.struct("line", "text")
     per_turn = inside.groupBy("path", "turn").agg(
         F.array_sort(F.collect_list(F.when(F.col("kind") == "user", struct))).alias("users"),

@@ -28,7 +28,7 @@ def answered(u, a):
 
 def test_rollouts(spark, tmp_path):
     lines = [{"type": "session_meta", "payload": {"id": "s1"}}, message("user", "before any task"), *answered("first question", "first answer")]
-    lines += [event("task_started"), message("user", "<environment_context>x</environment_context>"), message("user", "stopped one"), event("turn_aborted")]
+    lines += [event("task_started"), message("user", "<environment_context>x</environment_context>"), message("user", "# AGENTS.md instructions for /x\n\n<INSTRUCTIONS>y</INSTRUCTIONS>"), {"type": "turn_context", "payload": {}}, message("user", "stopped one"), message("user", "/compact now"), message("user", '<send_user_message_question_reply>[{"question": "which?", "answer": "that"}]</send_user_message_question_reply>'), event("turn_aborted")]
     lines += [event("task_started"), message("user", "again"), event("task_complete"), *answered("finally", "answer to all"), *answered("hi", "Hello! How can I help you?")]
     lines += [event("task_started"), message("user", "lost"), event("task_started"), message("user", "open")]
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\nnot json\n[1]\n")
@@ -39,7 +39,7 @@ def test_rollouts(spark, tmp_path):
     out = [tuple(r)[1:] for r in rollouts.exchanges(turns).orderBy("turn").collect()]
     assert out == [
         (1, 1, ["first question"], "first answer", False, False),
-        (4, 2, ["stopped one", "again", "finally"], "answer to all", True, False),
+        (4, 2, ["stopped one", "助手问题：which?\n用户回答：that", "again", "finally"], "answer to all", True, False),
         (5, 5, ["hi"], "Hello! How can I help you?", False, True),
     ]
 
@@ -75,8 +75,9 @@ two
 """
 
 EXPORT = """# Project
-# Session one
+# Session: one
 ## User (Turn 1)
+*2024-01-01 UTC*
 do it
 ## Assistant
 working
@@ -90,11 +91,21 @@ more
 begun
 ## User
 [Request interrupted by user]
-# Session two
+# Session: two
+## 👤 User
+<command-name>x</command-name>
 ## 👤 User
 hey there friend
 ## 🤖 Assistant
+<details><summary>💭 Thinking</summary>
+hm
+</details>
 yes
+# Session: test
+## User
+test
+## Assistant
+ok
 """
 
 
@@ -103,7 +114,7 @@ def test_transcripts(spark):
     assert [(r.turn, r.status, r.assistant_text, r.user_time) for r in out] == [(1, "paired", "That.", "2024-01-02 03:04:05"), (2, "unpaired", "", ""), (3, "ambiguous", "", "")]
     assert out[0].user_locator == "w.md/Turn:1/User@L2-L8" and "# you asked" in out[0].user_text
     out = transcripts.parse(spark.createDataFrame([("e.md", EXPORT), ("none.md", None)], "path string, text string"), "export").orderBy("session", "turn").collect()
-    assert [(r.session, r.turn, r.status, r.assistant_text) for r in out] == [("e.md#Session:1", 1, "paired", "done"), ("e.md#Session:1", 2, "unpaired", ""), ("e.md#Session:2", 1, "paired", "yes")]
+    assert [(r.session, r.turn, r.status, r.assistant_text) for r in out] == [("e.md#Session:1", 1, "paired", "done"), ("e.md#Session:1", 2, "unpaired", ""), ("e.md#Session:2", 2, "paired", "yes")]
 
 
 def test_front_matter_and_ranges(spark, tmp_path):
