@@ -38,8 +38,8 @@ from quernstone.session import cut, ship
 BANDS, ROWS, SEED = 24, 4, 20_240_601
 #: A pair at the threshold agrees in fewer minima with probability 2e-7.
 AGREE = 55
-#: Members of a block in the block round.
-BLOCK = 512
+#: Members of a block in the block round, and the candidates for each member up to which a block gives pairs.
+BLOCK, SPARSE = 256, 2
 WORD_TABLE = 300_000
 CHUNK = 4096
 
@@ -181,37 +181,92 @@ def open_members(members: DataFrame) -> DataFrame:
     return members.join(mixed, "key")
 
 
+def candidates(key: int, same_block: bool, own: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, codes: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(member, members behind it) of different components whose sizes and signatures can reach the threshold.
+
+    A pair that shares several bands is given in its first common one only.
+    """
+    keys = np.stack([band_keys(s) for s in sigs])
+    for x in np.flatnonzero(own):
+        ys = np.flatnonzero(own)[np.flatnonzero(own) > x] if same_block else np.flatnonzero(~own)
+        ys = ys[(codes[ys] != codes[x]) & (100 * np.minimum(sizes[ys], sizes[x]) >= percent * np.maximum(sizes[ys], sizes[x]))]
+        ys = ys[(sigs[ys] == sigs[x]).sum(1) >= AGREE] if len(ys) else ys
+        if len(ys):
+            ys = ys[keys[x][(keys[ys] == keys[x]).argmax(1)] == key]
+        if len(ys):
+            yield int(x), ys
+
+
+def opened(group: pa.Table) -> tuple:
+    """What candidates() takes of a group's rows, and the names of its members."""
+    key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
+    names, comp = (group.column(c).to_pylist() for c in ("class", "comp"))
+    number = {c: x for x, c in enumerate(dict.fromkeys(comp))}
+    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(len(names), -1)
+    return names, (key, i == j, np.array(group.column("own").to_pylist()) == i, sigs, np.array(group.column("n").to_pylist()), np.array([number[c] for c in comp]))
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """(key, i, j, own, class, n, comp): members of a bucket in blocks of about BLOCK, each block with each."""
+    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("class"), count).cast("int")
+    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    return placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "n", "comp")
+
+
 def block_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components in a bucket whose signatures agree often enough, compared in bounded blocks."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "n", "comp")
-    placed = placed.join(classes.select("class", "sig"), "class")
+    """Candidates of blocks, compared by signatures: (class, other) pairs, or - where a block has more than SPARSE for a
+    member, as in a large group of near copies - the members that take part, with dense set. So rows grow with members."""
 
     def compare(group: pa.Table) -> pa.Table:
-        key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
-        owns, names, n, comp = (group.column(c).to_pylist() for c in ("own", "class", "n", "comp"))
-        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(len(names), -1)
-        keys = np.stack([band_keys(s) for s in sigs])
-        left = [x for x in range(len(names)) if owns[x] == i]
-        right = np.array([x for x in range(len(names)) if owns[x] == j])
-        sizes = np.array(n)
-        comp_of = {c: x for x, c in enumerate(dict.fromkeys(comp))}
-        codes = np.array([comp_of[c] for c in comp])
+        names, what = opened(group)
+        pairs, part = [], set()
+        for x, ys in candidates(*what, percent):
+            part |= {x, *ys.tolist()}
+            if len(pairs) <= SPARSE * len(names):
+                pairs += [(x, y) for y in ys.tolist()]
+        dense = len(pairs) > SPARSE * len(names)
+        pairs = [(x, x) for x in sorted(part)] if dense else pairs
+        left, right = pa.array([p[0] for p in pairs], pa.int64()), pa.array([names[p[1]] for p in pairs], pa.binary())
+        rows = group.select(["key", "i", "j", "own", "class", "n", "comp"]).take(left)
+        return rows.append_column("other", right).append_column("dense", pa.array([dense] * len(pairs), pa.bool_()))
+
+    kinds = "key long, i int, j int, own int, class binary, n long, comp binary, other binary, dense boolean"
+    return cut(blocks(members).join(classes.select("class", "sig"), "class").groupBy("key", "i", "j").applyInArrow(compare, kinds), "candidates")
+
+
+def dense_links(found: DataFrame, classes: DataFrame, df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): links of the dense blocks, confirmed on full sets inside each block. A pair whose members other links of the block
+    join already isn't compared, so a block gives fewer links than it has members, and no component is lost."""
+
+    def confirmed(group: pa.Table) -> pa.Table:
+        names, what = opened(group)
+        sets = [np.array(x, np.int64) for x in group.column("hashes").to_pylist()]
+        root = list(range(len(names)))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        first: dict[int, int] = {}
+        for x, code in enumerate(what[5].tolist()):  # members of one component are joined from the start
+            root[x] = first.setdefault(code, x)
         out = []
-        for x in left:
-            ys = right if i != j else right[right > x]
-            ys = ys[(codes[ys] != codes[x]) & (100 * np.minimum(sizes[ys], sizes[x]) >= percent * np.maximum(sizes[ys], sizes[x]))]
-            if not len(ys):
-                continue
-            ys = ys[(sigs[ys] == sigs[x]).sum(1) >= AGREE]
-            same = keys[ys] == keys[x]
-            first = keys[x][same.argmax(1)] if len(ys) else np.zeros(0, np.int64)  # a pair is given by its first common band only
-            out += [(names[x], names[y]) for y in ys[first == key].tolist()]
-        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
+        for x, ys in candidates(*what, percent):
+            for y in ys.tolist():
+                if top(x) != top(y):
+                    common = len(np.intersect1d(sets[x], sets[y], True))
+                    if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                        root[top(x)] = top(y)
+                        out.append((names[x], names[y]))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
 
-    return placed.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary")
+    dense = found.where("dense")
+    wanted = dense.select("class").distinct().join(classes.select("class", F.col("min_id").alias("id")), "class")
+    rows = dense.drop("other", "dense").join(shingle_sets(df, k, wanted, id_col, text_col), "class").join(classes.select("class", "sig"), "class")
+    return cut(rows.groupBy("key", "i", "j").applyInArrow(confirmed, "a binary, b binary"), "links")
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,7 +284,13 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
             now = cut(open_members(now), "open")
             if now.isEmpty():
                 break
-        found = confirm(star_pairs(now, turn, percent) if turn < 2 else block_pairs(now, classes, percent), classes, df, k, percent, id_col, text_col)
+        if turn < 2:
+            found = confirm(star_pairs(now, turn, percent), classes, df, k, percent, id_col, text_col)
+        else:
+            compared = block_pairs(now, classes, percent)
+            found = confirm(compared.where("NOT dense").select(F.col("class").alias("a"), F.col("other").alias("b")), classes, df, k, percent, id_col, text_col)
+            if not compared.where("dense").isEmpty():
+                found = found.unionByName(dense_links(compared, classes, df, k, percent, id_col, text_col))
         links = found if links is None else links.unionByName(found)
         comps = components(links)
     named = classes.select("class", "min_id").join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
