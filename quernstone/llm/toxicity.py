@@ -223,8 +223,9 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     y = np.array(labels, int)
     if not len(y) or y.min() == y.max():
         return Model(Alphabet(""), np.zeros(1), 0.0, np.zeros(5), float(y.mean()) if len(y) else 0.0)
-    tokens = [words_of(t) for t in texts]
-    docs = [sorted({p for w in set(t) for p in pieces(w) if len(p) >= 3}) for t in tokens]
+    pool: dict[str, str] = {}  # one object for all occurrences of a word
+    tokens = [[pool.setdefault(w, w) for w in words_of(t)] for t in texts]
+    docs = [sorted({pool.setdefault(p, p) for w in set(t) for p in pieces(w) if len(p) >= 3}) for t in tokens]
     toxic, clean = Counter(), Counter()
     for d, label in zip(docs, labels, strict=True):
         (toxic if label else clean).update(d)
