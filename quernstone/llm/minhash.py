@@ -207,10 +207,19 @@ def opened(group: pa.Table) -> tuple:
 
 
 def blocks(members: DataFrame) -> DataFrame:
-    """(key, i, j, own, class, n, comp): members of a bucket in blocks of about BLOCK, each block with each."""
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("class"), count).cast("int")
-    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    """(key, i, j, own, class, n, comp): members of a bucket in blocks of about BLOCK; every pair of different components meets.
+
+    The members of a bucket's largest component need no comparison with each other: their blocks, -1 and down, meet those of the
+    others only. The others, few where star rounds have joined most, stand in blocks from 0 on, which meet all blocks.
+    """
+    counts = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    main = counts.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("x"), F.sum("m").alias("all")).select("key", F.col("x.comp").alias("main"), F.ceil(F.col("x.m") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("x.m")) / BLOCK).cast("int").alias("others"))
+    rows = members.join(main, "key").withColumn("is_main", F.col("comp") == F.col("main"))
+    own = F.when(F.col("is_main"), -1 - F.pmod(F.xxhash64("class"), F.col("mains")).cast("int")).otherwise(F.pmod(F.xxhash64("class"), F.col("others")).cast("int"))
+    rows = rows.withColumn("own", own)
+    rest = F.sequence(F.lit(0), F.col("others") - 1)
+    meets = F.when(F.col("is_main"), rest).otherwise(F.concat(F.sequence(-F.col("mains"), F.lit(-1)), rest))
+    placed = rows.withColumn("other", F.explode(meets))
     return placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "n", "comp")
 
 
