@@ -6,13 +6,15 @@ Words are runs of letters and digits, lower-cased, so case, punctuation and adde
 1. Prune, without loss. A window within t edits of an item of n words shares n - 1 - 2 t of its word pairs, so only
    windows with so many pairs of the benchmark go on. The pairs are a Bloom filter of a fixed 2**BITS bits, whatever the
    benchmark's size: it can err only by letting windows through.
-2. Embed. WALKS CGK walks run over the words from a window's start: at step j the symbol is read, and the pointer
-   advances or stays as a random function of (walk, j, symbol) says. Words that are inserted, deleted or changed put two walks out
-   of step for a while only, so edit distance becomes Hamming distance.
+2. Embed. WALKS CGK walks run over the words from a window's start, and as many backwards from its end: at step j the
+   symbol is read, and the pointer moves on or stays as a random function of (walk, j, symbol) says. Words that are inserted,
+   deleted or changed put two walks out of step for a while only, so edit distance becomes Hamming distance. A walk
+   reads about three quarters of the octave's shortest length, so edits crowded at one end spare the walks from the other.
 3. Sample. Each walk gives DRAWS keys of SAMPLED random steps. Items of one octave of lengths share walks and steps;
-   the steps stay within the shortest of them. A second fixed Bloom filter drops keys that no item has; the
-   others are equi-joined with the items' keys.
-4. Verify. Each (window, item) that shares a key is compared by exact edit distance; the best window of each pair stays.
+   the steps stay within the shortest of them. A second fixed Bloom filter drops keys that no item has. Windows with
+   further keys that begin near each other form a region with room on both sides; its distinct keys are
+   equi-joined with the items' keys.
+4. Verify. Each (region, item) that shares a key is compared by exact edit distance; the best window of each pair stays.
 
 Recall of LSH is measured in the tests: over 0.99 at the full number of edits.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -88,6 +91,7 @@ def octave(n: int) -> int:
     return n.bit_length() - 1
 
 
+@lru_cache
 def plan(group: int) -> tuple[int, np.ndarray]:
     """(steps of a walk, sampled steps as WALKS x DRAWS x SAMPLED) of an octave."""
     steps = max(1, int(1.5 * (1 << group)))
@@ -95,19 +99,34 @@ def plan(group: int) -> tuple[int, np.ndarray]:
     return steps, np.sort(rng.integers(0, steps, (WALKS, DRAWS, SAMPLED)), axis=2)
 
 
-def walk_keys(tokens: np.ndarray, start: np.ndarray, group: int) -> np.ndarray:
-    """Keys (WALKS * DRAWS columns) of the windows that begin at start; tokens must have room behind the last one."""
+@lru_cache
+def drawn(group: int) -> list[list[tuple[int, int]]]:
+    """The (walk, draw) that sample each step."""
     steps, sampled = plan(group)
+    return [[(int(w), int(d)) for w, d in zip(*np.nonzero((sampled == j).any(2)), strict=True)] for j in range(steps)]
+
+
+def walk_keys(tokens: np.ndarray, start: np.ndarray, group: int, back: bool = False) -> np.ndarray:
+    """Keys (WALKS * DRAWS columns) of the windows that begin at start or, with back, have their last word there; tokens
+    must have room behind the last one or, with back, before the first."""
+    steps, _ = plan(group)
     at = np.repeat(start[None, :], WALKS, 0)
-    salt = np.random.default_rng([SEED, group, 1]).integers(0, 1 << 64, (steps, WALKS), np.uint64, endpoint=False)
-    keys = np.repeat(np.arange(1, WALKS * DRAWS + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(group), len(start), 1).reshape(WALKS, DRAWS, -1)
-    takes = [[np.count_nonzero(sampled == j, axis=2)[w] for w in range(WALKS)] for j in range(steps)]
-    for j in range(steps):
+    salt = np.random.default_rng([SEED, group, 1 + back]).integers(0, 1 << 64, (steps, WALKS), np.uint64, endpoint=False)
+    seed = np.uint64(group + 64 * back)
+    keys = np.repeat(np.arange(1, WALKS * DRAWS + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + seed, len(start), 1).reshape(WALKS, DRAWS, -1)
+    # mixed() folds before it multiplies; folding is linear, so it is done once for tokens and salts, and the last fold leaves the top bit
+    tokens, salt = tokens ^ (tokens >> np.uint64(32)), salt ^ (salt >> np.uint64(32))
+    for j, takes in enumerate(drawn(group)):
         here = tokens[at]
-        for w in range(WALKS):
-            for d in np.flatnonzero(takes[j][w]):
-                keys[w, d] = mixed(keys[w, d] ^ here[w])
-        at += (mixed(here ^ salt[j][:, None]) >> np.uint64(63)).astype(np.int64)
+        for w, d in takes:
+            keys[w, d] = mixed(keys[w, d] ^ here[w])
+        here ^= salt[j][:, None]
+        here *= np.uint64(0xD6E8FEB86659FD93)
+        here >>= np.uint64(63)
+        if back:
+            at -= here.view(np.int64)
+        else:
+            at += here.view(np.int64)
     return keys.reshape(WALKS * DRAWS, -1).T
 
 
@@ -158,6 +177,28 @@ def distance(a: list[int], b: list[int], most: int) -> int:
     return score if score <= most else most + 1
 
 
+def starts_within(a: list[int], b: list[int], most: int) -> list[tuple[int, int]]:
+    """(distance, start) of the starts in b from which some window is within most edits of a; the least distance of each."""
+    place: dict[int, int] = {}
+    for i, x in enumerate(reversed(a)):
+        place[x] = place.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score, out = full, 0, len(a), []
+    for at in range(len(b) - 1, -1, -1):
+        eq = place.get(b[at], 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        right, left = down | ~(diagonal | up) & full, up & diagonal
+        if right & top:
+            score += 1
+        elif left & top:
+            score -= 1
+        right, left = right << 1 & full, left << 1 & full
+        up, down = left | ~(diagonal | right) & full, right & diagonal
+        if score <= most:
+            out.append((score, at))
+    return out
+
+
 def item_table(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, tokens, n, keys): the items that have words. Stored."""
     kind = benchmark.schema[id_col].dataType.simpleString()
@@ -171,7 +212,9 @@ def item_table(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
                     at.append(i)
                     tokens.append(s.view(np.int64))
                     group = octave(len(s))
-                    keys.append(walk_keys(np.concatenate([s, np.zeros(plan(group)[0] + 1, np.uint64)]), np.zeros(1, np.int64), group)[0].view(np.int64))
+                    room = np.zeros(plan(group)[0] + 1, np.uint64)
+                    padded, ends = np.concatenate([room, s, room]), len(room) + np.array([[0], [len(s) - 1]])
+                    keys.append(np.concatenate([walk_keys(padded, ends[back], group, bool(back))[0] for back in (0, 1)]).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(tokens, pa.list_(pa.int64())), pa.array([len(t) for t in tokens], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["item_id", "tokens", "n", "keys"])
 
     return cut(benchmark.select(id_col, text_col).mapInArrow(run, f"item_id {kind}, tokens array<long>, n int, keys array<long>"), "items")
@@ -197,8 +240,8 @@ def filters(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pairs, keys
 
 
-def candidate_windows(df: DataFrame, items: DataFrame, edit: float, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, window, start, tokens, keys): the windows that share a key with some item."""
+def candidate_regions(df: DataFrame, items: DataFrame, edit: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, region, start, tokens, keys): stretches around the windows that share a key with some item, with these keys."""
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # distinct item lengths, in words
     kind = df.schema[id_col].dataType.simpleString()
     spark = df.sparkSession
@@ -207,9 +250,8 @@ def candidate_windows(df: DataFrame, items: DataFrame, edit: float, id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, known = (np.unpackbits(x).view(bool) for x in sent.value)
-        rows = np.arange(0)
         for batch in batches:
-            found: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+            found: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
             for i, x in enumerate(batch.column(1)):
                 s = symbols(x.as_py())
                 if not len(s) or not lengths:
@@ -219,29 +261,46 @@ def candidate_windows(df: DataFrame, items: DataFrame, edit: float, id_col: str,
                     sums = np.concatenate([[0], np.cumsum(hit)])
                     if len(hit) < width or int((sums[width:] - sums[:-width]).max()) < least:
                         continue
-                for g, starts in windows(hit, pairs[word_bits(s)] if lengths[0] == 1 else None, lengths, edit).items():
-                    found.setdefault(g, []).append((i, s, starts))
+                word_hit = pairs[word_bits(s)] if lengths[0] == 1 else None
+                ends = windows(hit[::-1], None if word_hit is None else word_hit[::-1], lengths, edit)
+                for g, starts in windows(hit, word_hit, lengths, edit).items():
+                    found.setdefault(g, []).append((i, s, starts, len(s) - 1 - ends[g]))
             for g, parts in found.items():
-                room = np.zeros(plan(g)[0] + (2 << g), np.uint64)
-                tokens = np.concatenate([y for _, s, _ in parts for y in (s, room)])
-                first = np.cumsum([0, *(len(s) + len(room) for _, s, _ in parts)])[:-1]
-                rows = np.concatenate([np.full(len(p), i) for i, _, p in parts])
-                local = np.concatenate([p for _, _, p in parts])
-                starts = np.concatenate([p + f for (_, _, p), f in zip(parts, first, strict=True)])
-                for at in range(0, len(starts), BLOCK):
-                    keys = walk_keys(tokens, starts[at : at + BLOCK], g)
-                    ok = known[key_bits(keys)]
-                    some = np.flatnonzero(ok.any(1))
-                    if not len(some):
-                        continue
-                    begin, own = starts[at + some], rows[at + some]
-                    texts = tokens[begin[:, None] + np.arange((2 << g) - 1)]
-                    where, kept = local[at + some], [keys[k][ok[k]].view(np.int64) for k in some]
-                    ids = batch.column(0).take(pa.array(own))
-                    names = [blake2b(t.tobytes() + b"%d %d %r" % (p, g, str(d).encode()), digest_size=16).digest() for t, p, d in zip(texts, where.tolist(), ids.to_pylist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.binary()), pa.array(where.astype(np.int64)), pa.array(list(texts.view(np.int64)), pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int64()))], ["doc_id", "window", "start", "tokens", "keys"])
-
-    return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, window binary, start long, tokens array<long>, keys array<long>")
+                room = np.zeros(plan(g)[0] + 1, np.uint64)
+                tokens = np.concatenate([room, *(y for _, s, _, _ in parts for y in (s, room))])
+                first = len(room) + np.cumsum([0, *(len(s) + len(room) for _, s, _, _ in parts)])[:-1]
+                longest = (2 << g) - 1
+                spare = 2 * allowed(longest, edit)
+                begun: list[np.ndarray] = []  # (part, first word of the window with its room, key)
+                for back in (False, True):
+                    place = [p[2 + back] for p in parts]
+                    part = np.repeat(np.arange(len(parts)), [len(p) for p in place])
+                    local = np.concatenate(place)
+                    starts = local + first[part]
+                    for at in range(0, len(starts), BLOCK):
+                        keys = walk_keys(tokens, starts[at : at + BLOCK], g, back)
+                        row, column = np.nonzero(known[key_bits(keys)])
+                        low = local[at + row] - spare - (longest - 1 if back else 0)
+                        begun.append(np.stack([part[at + row], low, keys[row, column].view(np.int64)]))
+                own, low, keys = np.concatenate(begun, 1)
+                cell = low // longest  # windows that begin in one cell share a region
+                order = np.lexsort((low, cell, own))
+                own, low, keys, cell = own[order], low[order], keys[order], cell[order]
+                new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (cell[1:] != cell[:-1])])) if len(own) else np.zeros(0, np.int64)
+                rows, where, names, texts, kept = [], [], [], [], []
+                for k, to in zip(new, [*new[1:], len(own)], strict=True):
+                    i, s = parts[own[k]][:2]
+                    begin = max(0, int(low[k]))
+                    text = s[begin : int(low[to - 1]) + longest + 2 * spare].view(np.int64)
+                    rows.append(i)
+                    where.append(begin)
+                    texts.append(text)
+                    kept.append(np.unique(keys[k:to]))
+                    names.append(blake2b(text.tobytes() + b"%d %d %r" % (begin, g, str(batch.column(0)[i].as_py()).encode()), digest_size=16).digest())
+                if rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(names, pa.binary()), pa.array(where, pa.int64()), pa.array(texts, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int64()))], ["doc_id", "region", "start", "tokens", "keys"])
+
+    return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, region binary, start long, tokens array<long>, keys array<long>")
 
 
 def verified(pairs: DataFrame, edit: float) -> DataFrame:
@@ -251,15 +310,16 @@ def verified(pairs: DataFrame, edit: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, far = [], []
-            for i, (window, item) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
-                item = item.as_py()
+            for i, (start, text, item) in enumerate(zip(*batch.columns[2:], strict=True)):
+                start, text, item = start.as_py(), text.as_py(), item.as_py()
                 most = allowed(len(item), edit)
-                d = distance(item, window.as_py()[: len(item)], most)
+                near = [(distance(item, text[s : s + len(item)], most), s) for _, s in starts_within(item, text, most) if s + len(item) <= len(text)]
+                d, s = min(near, default=(most + 1, 0))
                 if d <= most:
                     at.append(i)
-                    far.append((len(item), d))
+                    far.append((start + s, len(item), d))
             rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in range(3)), pa.array([x[0] for x in far], pa.int64()), pa.array([x[1] for x in far], pa.int64())], ["doc_id", "item_id", "start", "n_words", "distance"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in range(2)), *(pa.array([x[c] for x in far], pa.int64()) for c in range(3))], ["doc_id", "item_id", "start", "n_words", "distance"])
 
     return pairs.select("doc_id", "item_id", "start", "tokens", "item_tokens").mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, start long, n_words long, distance long")
 
@@ -268,9 +328,9 @@ def leaks(df: DataFrame, benchmark: DataFrame, edit: float = EDIT, id_col: str =
     """(id, item_id, start_word, n_words, distance): the best window of each document and item that it leaks."""
     ship(df.sparkSession)
     items = item_table(benchmark)
-    found = cut(candidate_windows(df, items, edit, id_col, text_col), "windows")
+    found = cut(candidate_regions(df, items, edit, id_col, text_col), "regions")
     index = items.select("item_id", F.col("tokens").alias("item_tokens"), F.explode("keys").alias("key"))
-    near = found.select("window", F.explode("keys").alias("key")).join(index.select("item_id", "key"), "key").select("window", "item_id").distinct()
-    pairs = near.join(found.dropDuplicates(["window"]).drop("keys"), "window").join(items.select("item_id", F.col("tokens").alias("item_tokens")), "item_id")
+    near = found.select("region", F.explode("keys").alias("key")).join(index.select("item_id", "key"), "key").select("region", "item_id").distinct()
+    pairs = near.join(found.dropDuplicates(["region"]).drop("keys"), "region").join(items.select("item_id", F.col("tokens").alias("item_tokens")), "item_id")
     best = verified(pairs, edit).groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start", "n_words")).alias("b"))
     return best.select(F.col("doc_id").alias(id_col), "item_id", F.col("b.start").alias("start_word"), F.col("b.n_words").alias("n_words"), F.col("b.distance").alias("distance"))

@@ -85,6 +85,22 @@ def test_planted_leaks(spark):
     assert keys <= true and len(keys) >= 0.97 * len(true) and len(true) >= 40
 
 
+def test_edits_at_one_end(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items = {i: [word() for _ in range((15, 31, 59)[i % 3])] for i in range(60)}
+    docs = []
+    for i, w in items.items():
+        n, t = len(w), d.allowed(len(w))
+        for places in (range(t), range(n - t, n), rng.sample(range(n // 3), t), rng.sample(range(n - n // 3, n), t)):
+            changed = [f"new{len(docs)}x{j}" if j in places else x for j, x in enumerate(w)]
+            docs.append((i, " ".join([word() for _ in range(30)] + changed + [word() for _ in range(30)])))
+    rows = [(k, text) for k, (_, text) in enumerate(docs)]
+    out = d.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()
+    met = {(r.doc_id, r.item_id) for r in out} & {(k, i) for k, (i, _) in enumerate(docs)}
+    assert len(met) >= 0.99 * len(docs)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
