@@ -33,7 +33,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    return _only(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+    return _only(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), free_ends=True), "left_anti")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

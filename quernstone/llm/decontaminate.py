@@ -1,10 +1,12 @@
 """Benchmark decontamination: CGK random walks, bit-sampling LSH over item-sized windows, exact edit verification.
 
-A document leaks an item if some window of as many words as the item has lies within floor(EDIT * words) word edits of it.
-Words are runs of letters and digits, lower-cased, so case, punctuation and added marks don't count.
+A document leaks an item if some window lies within floor(EDIT * words) word edits of it. With free ends, as the queries and
+the pipeline take it, the window may have any length, so that a word put in or left out counts once; without, it has as
+many words as the item, and a document with fewer words leaks nothing. Words are runs of letters and digits, lower-cased, so case, punctuation and added marks don't count.
 
-1. Prune, without loss. A window within t edits of an item of n words shares n - 1 - 2 t of its word pairs, so only
-   windows with so many pairs of the benchmark go on. The pairs are a Bloom filter of a fixed 2**BITS bits, whatever the
+1. Prune, without loss. A window within t edits of an item of n words shares n - 1 - 2 t of its word pairs, and one more for
+   each word that it is longer than the item. So the n - 1 pairs from its start on, and those before its end, hold n - 1 - 2 t of
+   the benchmark's whatever its length; only places with so many go on, pairs beyond the text's ends counting as none. The pairs are a Bloom filter of a fixed 2**BITS bits, whatever the
    benchmark's size: it can err only by letting windows through.
 2. Embed. WALKS CGK walks run over the words from a window's start, and as many backwards from its end: at step j the
    symbol is read, and the pointer moves on or stays as a random function of (walk, j, symbol) says. Words that are inserted,
@@ -26,7 +28,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -133,21 +135,20 @@ def walk_keys(tokens: np.ndarray, start: np.ndarray, group: int, back: bool = Fa
 def windows(hit: np.ndarray, word_hit: np.ndarray | None, lengths: list[int], edit: float) -> dict[int, np.ndarray]:
     """Starts of the windows that share enough pairs with the benchmark, by octave. hit: for each pair of the text, whether it is one of its."""
     sums = np.concatenate([[0], np.cumsum(hit)])
+    at = np.arange(len(sums))
     out: dict[int, list[np.ndarray]] = {}
     for n in lengths:
         if n == 1:
             found = np.flatnonzero(word_hit)
-        elif n - 1 <= len(hit):
-            found = np.flatnonzero(sums[n - 1 :] - sums[: len(sums) - n + 1] >= n - 1 - 2 * allowed(n, edit))
         else:
-            continue
+            found = np.flatnonzero(sums[np.minimum(at + n - 1, len(hit))] - sums >= n - 1 - 2 * allowed(n, edit))
         if len(found):
             out.setdefault(octave(n), []).append(found)
     return {g: np.unique(np.concatenate(x)) for g, x in out.items()}
 
 
 def sparse_bound(lengths: list[int], edit: float) -> tuple[int, int]:
-    """(width, least): a window that windows() finds has a stretch of `width` pairs with at least `least` hits."""
+    """(width, least): a window that windows() finds has a stretch of `width` pairs, or all if the text has fewer, with at least `least` hits."""
     shortest = min(lengths)
     if shortest < 3:
         return 1, 0
@@ -155,14 +156,12 @@ def sparse_bound(lengths: list[int], edit: float) -> tuple[int, int]:
     return width, min(-(-max(0, n - 1 - 2 * allowed(n, edit)) // -(-(n - 1) // width)) for n in lengths)
 
 
-def distance(a: list[int], b: list[int], most: int) -> int:
-    """Edit distance by bit-parallel columns; most + 1 if it is over most."""
-    if not a or not b:
-        return min(max(len(a), len(b)), most + 1)
+def scores(a: list[int], b: Iterable[int], free: bool) -> Iterator[int]:
+    """Edit distances of a to the beginnings of b, empty one left out, by bit-parallel columns; with free, the least over their ends."""
     place: dict[int, int] = {}
     for i, x in enumerate(a):
         place[x] = place.get(x, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    full, top, first = (1 << len(a)) - 1, 1 << len(a) - 1, int(not free)
     up, down, score = full, 0, len(a)
     for x in b:
         eq = place.get(x, 0)
@@ -172,31 +171,31 @@ def distance(a: list[int], b: list[int], most: int) -> int:
             score += 1
         elif left & top:
             score -= 1
-        right, left = right << 1 & full | 1, left << 1 & full
+        right, left = right << 1 & full | first, left << 1 & full
         up, down = left | ~(diagonal | right) & full, right & diagonal
-    return score if score <= most else most + 1
+        yield score
 
 
-def starts_within(a: list[int], b: list[int], most: int) -> list[tuple[int, int]]:
-    """(distance, start) of the starts in b from which some window is within most edits of a; the least distance of each."""
-    place: dict[int, int] = {}
-    for i, x in enumerate(reversed(a)):
-        place[x] = place.get(x, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, score, out = full, 0, len(a), []
-    for at in range(len(b) - 1, -1, -1):
-        eq = place.get(b[at], 0)
-        diagonal = (((eq & up) + up) ^ up) | eq | down
-        right, left = down | ~(diagonal | up) & full, up & diagonal
-        if right & top:
-            score += 1
-        elif left & top:
-            score -= 1
-        right, left = right << 1 & full, left << 1 & full
-        up, down = left | ~(diagonal | right) & full, right & diagonal
-        if score <= most:
-            out.append((score, at))
-    return out
+def distance(a: list[int], b: list[int], most: int) -> int:
+    """Edit distance; most + 1 if it is over most."""
+    if not a or not b:
+        return min(max(len(a), len(b)), most + 1)
+    score = 0
+    for score in scores(a, b, False):  # noqa: B007
+        pass
+    return min(score, most + 1)
+
+
+def best_window(item: list[int], text: list[int], most: int, free: bool) -> tuple[int, int, int] | None:
+    """(distance, start, words) of the text's first window that is nearest to the item, if it is within most edits."""
+    n, last = len(item), len(text) - 1
+    near = [(d, last - k) for k, d in enumerate(scores(item[::-1], reversed(text), True)) if d <= most]  # least distance by start
+    if not free:
+        near = [(distance(item, text[s : s + n], most), s) for _, s in near if s + n <= len(text)]
+    d, s = min(near, default=(most + 1, 0))
+    if d > most:
+        return None
+    return d, s, next(k for k, x in enumerate(scores(item, text[s:], False), 1) if x == d) if free else n
 
 
 def item_table(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -259,12 +258,13 @@ def candidate_regions(df: DataFrame, items: DataFrame, edit: float, id_col: str,
                 hit = pairs[pair_bits(s)]
                 if least:
                     sums = np.concatenate([[0], np.cumsum(hit)])
-                    if len(hit) < width or int((sums[width:] - sums[:-width]).max()) < least:
+                    span = min(width, len(hit))
+                    if int((sums[span:] - sums[: len(sums) - span]).max()) < least:
                         continue
                 word_hit = pairs[word_bits(s)] if lengths[0] == 1 else None
                 ends = windows(hit[::-1], None if word_hit is None else word_hit[::-1], lengths, edit)
                 for g, starts in windows(hit, word_hit, lengths, edit).items():
-                    found.setdefault(g, []).append((i, s, starts, len(s) - 1 - ends[g]))
+                    found.setdefault(g, []).append((i, s, starts, len(s) - 1 - ends[g]))  # a stretch that some start finds, its mirror finds too
             for g, parts in found.items():
                 room = np.zeros(plan(g)[0] + 1, np.uint64)
                 tokens = np.concatenate([room, *(y for _, s, _, _ in parts for y in (s, room))])
@@ -303,7 +303,7 @@ def candidate_regions(df: DataFrame, items: DataFrame, edit: float, id_col: str,
     return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, region binary, start long, tokens array<long>, keys array<long>")
 
 
-def verified(pairs: DataFrame, edit: float) -> DataFrame:
+def verified(pairs: DataFrame, edit: float, free: bool) -> DataFrame:
     """(doc_id, item_id, start, n_words, distance) of the pairs within the allowed edits."""
     kinds = [pairs.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")]
 
@@ -311,26 +311,24 @@ def verified(pairs: DataFrame, edit: float) -> DataFrame:
         for batch in batches:
             at, far = [], []
             for i, (start, text, item) in enumerate(zip(*batch.columns[2:], strict=True)):
-                start, text, item = start.as_py(), text.as_py(), item.as_py()
-                most = allowed(len(item), edit)
-                near = [(distance(item, text[s : s + len(item)], most), s) for _, s in starts_within(item, text, most) if s + len(item) <= len(text)]
-                d, s = min(near, default=(most + 1, 0))
-                if d <= most:
+                item = item.as_py()
+                best = best_window(item, text.as_py(), allowed(len(item), edit), free)
+                if best:
                     at.append(i)
-                    far.append((start + s, len(item), d))
+                    far.append((start.as_py() + best[1], best[2], best[0]))
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in range(2)), *(pa.array([x[c] for x in far], pa.int64()) for c in range(3))], ["doc_id", "item_id", "start", "n_words", "distance"])
 
     return pairs.select("doc_id", "item_id", "start", "tokens", "item_tokens").mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, start long, n_words long, distance long")
 
 
-def leaks(df: DataFrame, benchmark: DataFrame, edit: float = EDIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, item_id, start_word, n_words, distance): the best window of each document and item that it leaks."""
+def leaks(df: DataFrame, benchmark: DataFrame, edit: float = EDIT, id_col: str = "doc_id", text_col: str = "text", free_ends: bool = False) -> DataFrame:
+    """(id, item_id, start_word, n_words, distance): the best window of each document and item that it leaks, and its words."""
     ship(df.sparkSession)
     items = item_table(benchmark)
     found = cut(candidate_regions(df, items, edit, id_col, text_col), "regions")
     index = items.select("item_id", F.col("tokens").alias("item_tokens"), F.explode("keys").alias("key"))
     near = found.select("region", F.explode("keys").alias("key")).join(index.select("item_id", "key"), "key").select("region", "item_id").distinct()
     pairs = near.join(found.dropDuplicates(["region"]).drop("keys"), "region").join(items.select("item_id", F.col("tokens").alias("item_tokens")), "item_id")
-    best = verified(pairs, edit).groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start", "n_words")).alias("b"))
+    best = verified(pairs, edit, free_ends).groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start", "n_words")).alias("b"))
     return best.select(F.col("doc_id").alias(id_col), "item_id", F.col("b.start").alias("start_word"), F.col("b.n_words").alias("n_words"), F.col("b.distance").alias("distance"))

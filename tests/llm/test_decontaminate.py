@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 import numpy as np
 
 from quernstone.llm import decontaminate as d
+from quernstone.llm.queries import QUERIES
 
 
 def edit(a, b):
@@ -101,6 +103,53 @@ def test_edits_at_one_end(spark):
     assert len(met) >= 0.99 * len(docs)
 
 
+def nearest(item, words):
+    """Least edit distance of the item to any window."""
+    row = list(range(len(item) + 1))
+    least = len(item)
+    for y in words:
+        new = [0]
+        for i, x in enumerate(item):
+            new.append(min(row[i + 1] + 1, new[i] + 1, row[i] + (x != y)))
+        row, least = new, min(least, new[-1])
+    return least
+
+
+def test_free_ends(spark):
+    rng = random.Random(10)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items = {i: [word() for _ in range((8, 15, 38, 59)[i % 4])] for i in range(16)}
+    texts, planted = {}, set()
+    for i, w in items.items():
+        n, t = len(w), d.allowed(len(w))
+        for kind in range(5):
+            x = list(w)
+            for j in sorted(rng.sample(range(1, n), t), reverse=True):
+                if kind == 0:
+                    x.insert(j, "new")
+                elif kind == 1:
+                    x.pop(j)
+            x = [x, x, edited(w, t, rng), w[t:], w[: n - t]][kind]
+            planted.add((len(texts), i))
+            texts[len(texts)] = [word() for _ in range(20)] + x + [word() for _ in range(20)]
+        planted.add((len(texts), i))
+        texts[len(texts)] = w[1:]  # shorter than the item, nothing else
+    rows = [(k, " ".join(x)) for k, x in texts.items()]
+    out = d.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string"), free_ends=True).collect()
+    found = {(r.doc_id, r.item_id): r for r in out}
+    assert found.keys() <= planted and len(found) == len(out) and len(found) >= 0.98 * len(planted)
+    for (k, i), r in found.items():
+        assert r.distance == nearest(items[i], texts[k]) == edit(items[i], texts[k][r.start_word : r.start_word + r.n_words])
+
+
+def test_query_and_pipeline_take_free_ends(spark, tmp_path):
+    item = [f"w{k}" for k in range(15)]
+    spark.createDataFrame([(1, " ".join(item[1:])), (2, "clean words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.doc_id, r.item_id, r.n_words, r.distance) for r in QUERIES["op3_decontaminate"](spark, str(tmp_path)).collect()] == [(1, 7, 14, 1)]
+    assert [r.doc_id for r in corpus_pipeline.decontamination_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()] == [2]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
