@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 
 from quernstone.session import ship
 
-#: Elements whose inside is no prose.
-RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|title|button|canvas|audio|video"
-TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>(?:.*?</\1\s*>|.*\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+#: Elements whose inside is no prose: the first run to the page's end when they aren't closed; of the others, only the tag is dropped then.
+RAW = "script|style|noscript|textarea|iframe|title"
+SKIPPED = {x: re.compile(rf"</{x}\s*>", re.I) for x in "template select svg math object button canvas audio video".split()}
+TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>(?:.*?</\1\s*>|.*\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 CONTAINERS = frozenset("div article section nav aside footer header main form ul ol dl table tbody tr td th blockquote body html figure details fieldset center".split())
@@ -98,7 +99,8 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in TAG.finditer(page):
+    unclosed: set[str] = set()
+    while m := TAG.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if anchor:
@@ -108,6 +110,14 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if name in SKIPPED:
+            attributes = m.group(4)
+            if not m.group(2) and not attributes.endswith("/") and (not attributes or attributes[0] in " \t\r\n\f/") and name not in unclosed:
+                if end := SKIPPED[name].search(page, at):
+                    at = end.end()
+                else:
+                    unclosed.add(name)
+            continue
         if name == "a":
             anchor = not m.group(2)
             continue

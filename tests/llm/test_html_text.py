@@ -44,6 +44,15 @@ def test_parts_of_a_page():
     assert h.main_text(PAGE.replace("</footer></body></html>", ""), h.fitted()) == text
 
 
+def test_custom_and_unclosed_elements():
+    text = h.main_text(PAGE, h.fitted())
+    for tag in ("<video-js id=v></video-js>", "<svg-icon></svg-icon>", "<button-group></button-group>", "<select-box></select-box>", "<title-bar></title-bar>", "<script-x></script-x>", "<svg_x>", "<button>", "<select>", "<object data=x>", "<canvas>", "<audio src=a>", "<video src=a>", "<svg><p>no</p></svg>", "<video/>", "<VIDEO>no</video >"):
+        page = PAGE.replace("<button>Go</button>", "").replace("</h1>", "</h1>" + tag)
+        assert h.main_text(page, h.fitted()) == text, tag
+    for tag in ("script", "style", "textarea", "iframe", "noscript"):
+        assert h.main_text(PAGE.replace("<br>Next", f"<{tag}>Next"), h.fitted()) == "A title & more First paragraph here."
+
+
 def test_frames(spark):
     rows = [(1, "u", None, "x"), (2, "u", "", "x"), (3, None, PAGE, "x"), (3, None, PAGE, "x"), (None, "u", "<p", "x"), (5, "u", "<div>" * 3000 + "deep words in here." + "</div>" * 10, "x"), (6, "u", "just plain words without a tag.", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
