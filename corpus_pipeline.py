@@ -1,7 +1,7 @@
 """The corpus pipeline: from raw documents to token ids, each stage over all that the one before kept.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Rows that
-repeat a doc_id share that id's verdict: an id stays in the near-duplicate stage if any of its rows stays. SQL can't express the
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. The
+near-duplicate and decontamination stages number the rows and judge each on its own, also where ids repeat or are null. SQL can't express the
 stages; the tests hold them against brute force on small tables.
 """
 
@@ -15,10 +15,13 @@ from quernstone.llm.queries import VOCABULARY
 from quernstone.session import cut, table
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose doc_id is (left_semi) or isn't (left_anti) in ids; null counts as a value."""
-    listed = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(listed, docs["doc_id"].eqNullSafe(listed["__id"]), how)
+#: Column of the rows' own numbers.
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of each row. Stored, so that the numbers stay."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +30,19 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the least id: five-word shingles, similarity 0.8."""
-    return _only(docs, minhash.near_duplicates(docs, k=5, percent=80).where("kept"), "left_semi")
+    """One document of each group of near copies, that with the least id, null ids last: five-word shingles, similarity 0.8."""
+    rows = _numbered(docs)
+    groups = minhash.near_duplicates(rows, k=5, percent=80, id_col=ROW).select(ROW, "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))
+    kept = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    return _only(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), free_ends=True), "left_anti")
+    rows = _numbered(docs)
+    found = decontaminate.leaks(rows, table(spark, sf_dir, "benchmark"), id_col=ROW, free_ends=True)
+    return rows.join(found.select(ROW), ROW, "left_anti").select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,21 @@ def test_stages(spark, tmp_path):
     assert all(r.n_tokens == len(r.ids) == len(model.encode(kept[i].text)) // 4 for i, r in last.items())
 
 
+def test_rows_with_null_or_equal_ids(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+    item, copied, other, *clean = (text() for _ in range(9))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, clean[0]), (4, f"so {item}"), (4, clean[1]), (5, clean[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()]
+    assert sorted(left, key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+    rows = [(None, copied), (None, f"{copied} end"), (9, copied), (7, copied), (7, copied), (7, clean[3]), (None, other), (None, other), (8, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()]
+    assert sorted(left, key=str) == sorted([(7, copied), (7, clean[3]), (None, other), (8, None), (8, None)], key=str)
+
+
 def test_defaults():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "bpe"]
     assert minhash.near_duplicates.__defaults__[:2] == (5, 80) and pii.KINDS == ("email", "ip", "card", "phone")
