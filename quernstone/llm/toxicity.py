@@ -1,28 +1,34 @@
 """Toxicity: a gap-weighted subsequence-kernel support vector machine with Nystroem landmarks.
 
-The kernel of two words is the number of common subsequences of three characters, each weighted by DECAY to the length that it spans in
-either word, divided by the words' norms; so an insult with gaps or inserted characters stays near itself. Landmarks are words
-of the training texts; the Nystroem map K(landmarks)^(-1/2) k(word) is the machine's input. As the machine is linear in
-it, its function of a word collapses to one weight for each character triple, and a word is scored without comparing it with each landmark.
+The kernel of two strings counts their common subsequences of three characters. An occurrence whose characters stand side by side
+weighs 1; a gap costs OPEN and EXTEND for each further character in it, so that an insult with inserted characters stays near itself.
+An occurrence spans at most WIDTH characters. A string is divided by a function of its length alone (which keeps the kernel positive
+definite), so foreign characters dilute it slowly. Words carry a mark at each end, which takes part as a character.
 
-A text is toxic by its worst words, so the machine is trained on words of labelled texts in turns: each toxic text gives
-its worst word, each clean one its worst ones, and landmarks that toxic texts have far more often always take part. A logistic function of a text's three worst words and
-their number gives the score. Runs of single characters ("x y z") are also read as one word.
+A word is rated by its best window of up to WIDTH characters, so an insult inside a longer word, or inside text without spaces,
+counts in full, and words of any length are treated alike. Landmarks are words of the training sentences; the Nystroem map
+K(landmarks)^(-1/2) k(window) is the machine's input. As the machine is linear in it, it collapses to one weight for each character
+triple of the landmarks: a sorted list of triples, not a table over the alphabet.
+
+The machine is trained on labelled texts as bags of words, in turns: with the machine so far, each toxic text gives its worst word
+if that looks toxic, each clean text its worst ones. Gapped and stretched forms of the toxic words are added to them as virtual
+examples. A logistic function of a text's three worst words gives the score. Runs of tokens of one or two characters ("st u p id")
+are also read as one word, and words with marks inside also without them.
 
 Training reads a bounded sample: at most `train_rows` labelled rows, those with the least hash of their id, and never a held-out row.
-The labels' ids are joined by broadcast, as that bound proves their size. Scoring reads every whole text.
+The labels' ids are joined by broadcast, as that bound proves their size. Bags and counts stay in Spark; the driver gets landmarks, at
+most three words a training row in each turn, and four numbers a training row. Scoring reads every whole text.
 
 Edge cases: null and empty texts score as texts without words; labels that are null or neither 0 nor 1 are skipped; with
 no toxic or no clean training row every score is the share of toxic ones (0 without labels); rows repeat as given;
-an id with several labels is used once, with the largest; further columns are ignored.
+an id with several labels is used once, with the largest, and with the least of its texts; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
+import random
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,109 +37,146 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.session import ship
-
-DECAY = 0.5
-TOXIC_LANDMARKS, CLEAN_LANDMARKS, TURNS = 96, 32, 5
+from quernstone.session import cut, drop_cut, ship
+
+OPEN, EXTEND, WIDTH = 0.3, 0.9, 14
+#: Power of the length norm: 1 would be the cosine, 0 none.
+NORM = 0.5
+TOXIC_LANDMARKS, CLEAN_LANDMARKS, TURNS = 96, 32, 4
+#: Likelihood ratio statistic from which on a word counts as toxic (one in a million clean words has it); without any such word, the first few do.
+SURE, UNSURE = 24.0, 8
+#: Landmarks have 2 to this many characters.
+LONGEST = 2 * WIDTH
+#: Gapped and stretched forms of each toxic word; the machine's ridge penalty a row.
+VIRTUAL, RIDGE = 12, 1e-3
 TRAIN_ROWS = 6000
-#: Words with marks inside are also read without them; longer words are read as overlapping pieces of this many characters, a half apart.
-PIECE = 20
-WORD_TABLE = 400_000
-SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
+WORD_TABLE = 600_000
+#: Characters rated at a time; one word is never divided.
+CHUNK = 1 << 15
+SHORT_RUN = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}(?!\S))+")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 MARKS = re.compile(r"[\W_]+")
-FLOOR = -2.0
+FIRST, LAST = "\x02", "\x03"
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text, lower-cased, and its runs of single characters as words."""
+def words_of(text: str | None) -> set[str]:
+    """The words of a text, lower-cased, and its runs of short tokens as words."""
     if not text:
-        return []
+        return set()
     low = text.lower()
-    out = low.split()
-    out += ["".join(m.group().split()) for m in SPACED.finditer(low)]
+    out = set(low.split())
+    for m in SHORT_RUN.finditer(low):
+        parts = m.group().split()
+        if len(parts) > 2:
+            out.add("".join(parts))
     return out
 
 
-def pieces(word: str) -> list[str]:
+def forms(word: str) -> list[str]:
+    """A word without edge marks, and without any marks."""
     plain = EDGE.sub("", word)
-    forms = [plain, bare] if plain and (bare := MARKS.sub("", plain)) != plain else [plain]
-    return [x[i : i + PIECE] for x in forms for i in range(0, max(1, len(x) - PIECE // 2), PIECE // 2)] if len(plain) > PIECE else forms
-
-
-def by_length(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
-    """(places in the list, matrix of code points) of the words of each length."""
-    groups: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        groups.setdefault(len(w), []).append(i)
-    for n, places in groups.items():
-        yield places, np.frombuffer("".join(words[i] for i in places).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(places), n)
-
-
-def norms(x: np.ndarray) -> np.ndarray:
-    """Square roots of the kernel of each row with itself, by the dynamic programme of the kernel."""
-    count, n = x.shape
-    inner = np.ones((n + 1, n + 1, count))
-    same = [[x[:, i] == x[:, j] for j in range(n)] for i in range(n)]
-    for _ in range(2):
-        new = np.zeros_like(inner)
-        for i in range(1, n + 1):
-            run = np.zeros(count)
-            for j in range(1, n + 1):
-                run = DECAY * (run + np.where(same[i - 1][j - 1], DECAY * inner[i - 1, j - 1], 0))
-                new[i, j] = DECAY * new[i - 1, j] + run
-        inner = new
-    total = np.zeros(count)
-    for i, j in itertools.product(range(n), repeat=2):
-        total += np.where(same[i][j], DECAY * DECAY * inner[i, j], 0)
-    return np.sqrt(total)
+    bare = MARKS.sub("", plain)
+    return [x for x in ({plain: 0, bare: 0} if bare else {}) if x]
+
+
+def gap(step: int) -> float:
+    return 1.0 if step == 1 else OPEN * EXTEND ** (step - 2)
+
+
+def lengths_norm() -> np.ndarray:
+    """The divisor of a window of each length: the length's own kernel, were all its triples different, to the power of NORM / 2."""
+    out = np.ones(WIDTH + 1)
+    for m in range(3, WIDTH + 1):
+        own = sum((m - b) * sum((gap(a) * gap(b - a)) ** 2 for a in range(1, b)) for b in range(2, m))
+        out[m] = own ** (NORM / 2)
+    return out
+
+
+DIVISOR = lengths_norm()
+
+
+@dataclass
+class Stream:
+    """Words one after another: code points, how many of its word stand from each place on, first places."""
+
+    points: np.ndarray
+    left: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str], first: str = FIRST, last: str = LAST) -> Stream:
+        marked = [first + w + last for w in words]
+        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+        points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+        end = np.cumsum(sizes)
+        return cls(points, np.repeat(end, sizes) - np.arange(len(points)), end - sizes)
 
 
 @dataclass
-class Alphabet:
-    """Dense codes of the characters of the landmarks; 0 is any other."""
+class Triples:
+    """The character triples of the landmarks: their characters, and sorted codes of first, last and middle character."""
 
-    chars: str
+    chars: np.ndarray
+    codes: np.ndarray
+
+    @classmethod
+    def of(cls, landmarks: list[str]) -> Triples:
+        text = Stream.of(landmarks)
+        out = cls(np.unique(text.points), np.zeros(0, np.int64))
+        found = [c for _, c, _, _ in out.each(text)]
+        return cls(out.chars, np.unique(np.concatenate(found)) if found else out.codes)
 
     def __post_init__(self):
-        self.size = len(self.chars) + 1
-        points = sorted(map(ord, self.chars))
-        self.points = np.array(points, np.uint32)
-
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.points, x), max(0, len(self.points) - 1))
-        return np.where(self.points[at] == x, at + 1, 0) if len(self.points) else np.zeros(x.shape, np.int64)
-
-    def triples(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
-        """(code of a character triple in each row, its weight) for every three places."""
-        c = self.codes(x)
-        for i, j, k in itertools.combinations(range(x.shape[1]), 3):
-            yield (c[:, i] * self.size + c[:, j]) * self.size + c[:, k], DECAY ** (k - i + 1)
-
-
-def kernel(words: list[str], landmarks: list[str], alphabet: Alphabet) -> np.ndarray:
-    """Normalised kernel of words and landmarks."""
-    table = np.zeros((alphabet.size**3, len(landmarks)))
-    for places, x in by_length(landmarks):
-        size = norms(x) if x.shape[1] else np.zeros(len(places))
-        for code, weight in alphabet.triples(x):
-            np.add.at(table, (code, places), weight / np.maximum(size, 1e-9))
-    out = np.zeros((len(words), len(landmarks)))
-    for places, x in by_length(words):
-        if x.shape[1] < 3:
-            continue
-        total = np.zeros((len(places), len(landmarks)))
-        for code, weight in alphabet.triples(x):
-            total += weight * table[code]
-        out[places] = total / np.maximum(norms(x), 1e-9)[:, None]
-    return out
+        size = len(self.chars) + 1
+        self.ends = np.full(size * size, not len(self.codes))
+        self.ends[self.codes // size] = True
+
+    def each(self, text: Stream) -> Iterator[tuple[np.ndarray, np.ndarray, int, float]]:
+        """(first places, codes, span, weight) of the triples of known characters, for each pair of steps; with codes, of
+        those triples only whose first and last characters some landmark has."""
+        if not len(self.chars):
+            return
+        at = np.minimum(np.searchsorted(self.chars, text.points), len(self.chars) - 1)
+        code = np.where(self.chars[at] == text.points, at + 1, 0)
+        size = len(self.chars) + 1
+        open_places = np.flatnonzero((text.left > 2) & (code > 0))
+        for b in range(2, WIDTH):
+            open_places = open_places[text.left[open_places] > b]
+            first, last = code[open_places], code[open_places + b]
+            ends = first * size + last
+            hit = np.flatnonzero((last > 0) & self.ends[ends])
+            if not len(hit):
+                continue
+            places, ends = open_places[hit], ends[hit] * size
+            for a in range(1, b):
+                mid = code[places + a]
+                known = np.flatnonzero(mid)
+                yield places[known], (ends + mid)[known], b, gap(a) * gap(b - a)
+
+    def number(self, codes: np.ndarray) -> np.ndarray:
+        """Place of each code among the landmarks' triples, or -1."""
+        if not len(self.codes):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, at, -1)
+
+    def map(self, strings: list[str]) -> np.ndarray:
+        """Weight of each landmark triple in each string, which has its end marks as characters; rows are strings."""
+        out = np.zeros((len(strings), len(self.codes)))
+        text = Stream.of(strings, "", "")
+        row = np.repeat(np.arange(len(strings)), [len(w) for w in strings])
+        for places, codes, _, weight in self.each(text):
+            n = self.number(codes)
+            hit = n >= 0
+            np.add.at(out, (row[places[hit]], n[hit]), weight)
+        return out
 
 
 @dataclass
 class Model:
-    """weights: of each character triple; bias; logit: of the text's features; constant: a score for all, if not None."""
+    """weights: of each landmark triple; bias; logit: of a text's features; constant: a score for all, if not None."""
 
-    alphabet: Alphabet
+    triples: Triples
     weights: np.ndarray
     bias: float
     logit: np.ndarray
@@ -143,45 +186,88 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
-    def rate(self, words: list[str]) -> np.ndarray:
-        """The machine's value of each word without edge marks and at most PIECE long."""
-        out = np.full(len(words), FLOOR)
-        for places, x in by_length(words):
-            if x.shape[1] < 3:
-                continue
-            for at in range(0, len(places), 4096):
-                part = x[at : at + 4096]
-                total = np.zeros(len(part))
-                for code, weight in self.alphabet.triples(part):
-                    total += weight * self.weights[code]
-                value = np.where(total == 0, 0.0, total / np.maximum(norms(part), 1e-9))
-                out[places[at : at + 4096]] = np.maximum(FLOOR, value + self.bias)
-        return out
+    def sums(self, text: Stream) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, value of the window of that length from each place that has one, else -inf), bias left out."""
+        n = len(text.points)
+        ending = np.zeros((WIDTH, n), np.float32)  # by span: sum of the triples from a place to that far behind it
+        for places, codes, b, weight in self.triples.each(text):
+            at = self.triples.number(codes)
+            hit = np.flatnonzero(at >= 0)
+            ending[b, places[hit]] += (weight * self.weights[at[hit]]).astype(np.float32)
+        # all triples inside a window: those of the windows one shorter, less what both hold, and those at both ends
+        now, before = np.zeros(n + 1, np.float32), np.zeros(n + 1, np.float32)
+        for b in range(2, WIDTH):
+            follow = ending[b]
+            follow += now[:-1]
+            follow += now[1:]
+            follow -= before[1:]
+            before, now = now, np.append(follow, np.float32(0))
+            yield b + 1, np.where(text.left > b, follow * np.float32(1 / DIVISOR[b + 1]), np.float32(-np.inf))
+
+    def windows(self, words: list[str]) -> list[str]:
+        """Each word's best window, with end marks as characters where it reaches an end."""
+        if not words:
+            return []
+        text = Stream.of(words)
+        best, length = np.full(len(text.points), -np.inf, np.float32), np.ones(len(text.points), np.int64)
+        for m, value in self.sums(text):
+            better = value > best
+            best[better], length[better] = value[better], m
+        top = np.maximum.reduceat(best, text.first)
+        row = np.repeat(np.arange(len(words)), np.diff(np.append(text.first, len(best))))
+        places = np.flatnonzero(best == top[row])
+        start = np.zeros(len(words), np.int64)
+        start[row[places][::-1]] = places[::-1]
+        return [(FIRST + w + LAST)[s : s + n] for w, s, n in zip(words, (start - text.first).tolist(), length[start].tolist(), strict=True)]
 
-    def learn(self, tokens: list[list[str]]) -> None:
+    def rate(self, words: list[str]) -> np.ndarray:
+        """The machine's value of each word's best window."""
+        out, at, size = [], 0, 0
+        for i, w in enumerate(words):
+            size += len(w) + 2
+            if size >= CHUNK or i + 1 == len(words):
+                text = Stream.of(words[at : i + 1])
+                best = np.full(len(text.points), -np.inf, np.float32)
+                for _, value in self.sums(text):
+                    np.maximum(best, value, out=best)
+                out.append(np.maximum.reduceat(best, text.first).astype(float) + self.bias)
+                at, size = i + 1, 0
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def learn(self, bags: list[set[str]]) -> None:
         """Put the values of words not met before into the table, all at once."""
-        new = list({w for t in tokens for w in t} - self.known.keys())
+        new = list(set().union(*bags).difference(self.known))
         if len(self.known) + len(new) > WORD_TABLE:
             self.known.clear()
-            new = list({w for t in tokens for w in t})
-        parts = [pieces(w) for w in new]
-        values = self.rate([p for x in parts for p in x])
+            new = list(set().union(*bags))
+        parts = [forms(w) for w in new]
+        values = self.rate([p for x in parts for p in x]).tolist()
         at = 0
         for w, x in zip(new, parts, strict=True):
-            self.known[w] = float(values[at : at + len(x)].max())
+            self.known[w] = max(values[at : at + len(x)], default=self.bias)
             at += len(x)
 
-    def features(self, tokens: list[list[str]]) -> np.ndarray:
-        self.learn(tokens)
-        out = np.full((len(tokens), 5), 0.0)
-        get = self.known.__getitem__
-        for i, t in enumerate(tokens):
-            v = np.fromiter(map(get, t), float, len(t))
+    def worst(self, bags: list[set[str]], count: int = 3) -> list[list[tuple[float, str]]]:
+        """The worst words of each bag, the worst first; ties by the word."""
+        self.learn(bags)
+        out = []
+        for bag in bags:
+            words = list(bag)
+            v = np.fromiter(map(self.known.__getitem__, words), float, len(words))
+            least = np.partition(v, -count)[-count] if len(v) > count else -np.inf
+            top = sorted(((-v[i], words[i]) for i in np.flatnonzero(v >= least)))[:count]
+            out.append([(-x, w) for x, w in top])
+        return out
+
+    def features(self, bags: list[set[str]]) -> np.ndarray:
+        """The values of the three worst words, and 1."""
+        self.learn(bags)
+        out = np.full((len(bags), 4), self.bias)
+        for i, bag in enumerate(bags):
+            v = np.fromiter(map(self.known.__getitem__, bag), float, len(bag))
             top = np.sort(np.partition(v, -3)[-3:] if len(v) > 3 else v)[::-1]
-            out[i, :3] = FLOOR
             out[i, : len(top)] = top
-            out[i, 3] = np.log1p(np.count_nonzero(v > 0))
-            out[i, 4] = 1
+        out[:, 3] = 1
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -218,54 +304,61 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
     return w
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Model:
-    """Train on labelled texts; see the module's text."""
-    y = np.array(labels, int)
-    if not len(y) or y.min() == y.max():
-        return Model(Alphabet(""), np.zeros(1), 0.0, np.zeros(5), float(y.mean()) if len(y) else 0.0)
-    pool: dict[str, str] = {}  # one object for all occurrences of a word
-    tokens = [[pool.setdefault(w, w) for w in words_of(t)] for t in texts]
-    docs = [sorted({pool.setdefault(p, p) for w in set(t) for p in pieces(w) if len(p) >= 3}) for t in tokens]
-    toxic, clean = Counter(), Counter()
-    for d, label in zip(docs, labels, strict=True):
-        (toxic if label else clean).update(d)
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    odds = {w: np.log((toxic[w] + 0.5) / (n1 + 1)) - np.log((clean[w] + 0.5) / (n0 + 1)) for w in toxic}
-    gain = {w: toxic[w] * odds[w] for w in toxic if odds[w] > 0 and toxic[w] >= min(3, n1)}
-    landmarks = sorted(gain, key=lambda w: (-gain[w], w))[:TOXIC_LANDMARKS]
-    landmarks += [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if w not in set(landmarks)][:CLEAN_LANDMARKS]
-    if not landmarks:
-        return Model(Alphabet(""), np.zeros(1), 0.0, np.zeros(5), float(y.mean()))
-    alphabet = Alphabet("".join(sorted(set("".join(landmarks)))))
-    values, vectors = np.linalg.eigh(kernel(landmarks, landmarks, alphabet) + 1e-6 * np.eye(len(landmarks)))
-    root = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
-    table = np.zeros((alphabet.size**3, len(landmarks)))
-    for places, x in by_length(landmarks):
-        size = norms(x)
-        for code, weight in alphabet.triples(x):
-            np.add.at(table, (code, places), weight / np.maximum(size, 1e-9))
-
-    vocabulary = sorted({w for d in docs for w in d})
-    place = {w: i for i, w in enumerate(vocabulary)}
-    rated = np.array([odds.get(w, -5.0) if toxic[w] >= min(3, n1) else -5.0 for w in vocabulary])
-    members = [np.array([place[w] for w in d], int) for d in docs]
-    hard: set[int] = set()
-    for _ in range(TURNS):
-        worst = [m[np.argsort(-rated[m], kind="stable")[:3]] for m in members]
-        witness = [int(m[0]) for m, label in zip(worst, labels, strict=True) if label and len(m)]
-        hard |= {int(i) for m, label in zip(worst, labels, strict=True) if not label for i in m}
-        use = Counter(witness) + Counter({place[w]: toxic[w] for w in landmarks[:TOXIC_LANDMARKS] if w in gain and odds[w] > 2})
-        rows = [*use, *(i for i in hard)]
-        sign = np.array([1.0] * len(use) + [-1.0] * len(hard))
-        weight = np.array([float(use[i]) for i in use] + [float(clean[vocabulary[i]]) for i in hard])
-        weight[: len(use)] *= len(hard) / max(1.0, weight[: len(use)].sum())
-        weight[len(use) :] *= len(hard) / max(1.0, weight[len(use) :].sum())
-        x = np.column_stack([kernel([vocabulary[i] for i in rows], landmarks, alphabet) @ root, np.ones(len(rows))])
-        w = squared_hinge(x, sign, weight, ridge=1e-3 * len(rows))
-        model = Model(alphabet, table @ (root @ w[:-1]), float(w[-1]), np.zeros(5))
-        rated = model.rate(vocabulary)
-    model.logit = logistic(model.features(tokens), y.astype(float))
-    return model
+def virtual(word: str, letters: str, rng: random.Random) -> str:
+    """A gapped or stretched form of a word."""
+    at, kind = rng.randrange(1, len(word)), rng.randrange(3)
+    if kind == 0:  # a stretched character
+        return word[:at] + word[at - 1] * rng.randint(1, 3) + word[at:]
+    if kind == 1:  # one wide gap, in place of a character or between two
+        return word[:at] + rng.choice(letters) * rng.randint(2, 5) + word[at + rng.randrange(2) :]
+    out = list(word)
+    for _ in range(rng.randint(1, 3)):
+        out.insert(rng.randrange(1, len(out)), rng.choice(letters))
+    return "".join(out)
+
+
+class Machine:
+    """The machine over the landmarks, and the windows of clean texts that it has met."""
+
+    def __init__(self, toxic: list[str], clean: list[str]):
+        landmarks = toxic + clean
+        self.letters = "".join(sorted(set("".join(landmarks)))) + "\x01"
+        self.triples = Triples.of(landmarks)
+        self.landmarks = self.triples.map([FIRST + w + LAST for w in landmarks])
+        self.landmarks /= np.maximum(np.linalg.norm(self.landmarks, axis=1), 1e-9)[:, None]
+        values, vectors = np.linalg.eigh(self.landmarks @ self.landmarks.T + 1e-6 * np.eye(len(landmarks)))
+        self.root = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
+        self.hard: dict[str, float] = {}
+        self.model = Model(self.triples, np.zeros(len(self.triples.codes)), 0.0, np.zeros(4))
+
+    def inputs(self, windows: list[str]) -> np.ndarray:
+        """The Nystroem map of windows, and a column of ones."""
+        out = [np.ones((0, len(self.root) + 1))]
+        for at in range(0, len(windows), 256):
+            part = windows[at : at + 256]
+            x = self.triples.map(part) / DIVISOR[[len(w) for w in part]][:, None]
+            out.append(np.column_stack([x @ self.landmarks.T @ self.root, np.ones(len(x))]))
+        return np.concatenate(out)
+
+    def train(self, positive: dict[str, float], negative: dict[str, float]) -> Model:
+        """Fit on weighted words of toxic texts and windows of clean ones; the latter stay from turn to turn."""
+        self.hard |= negative
+        rng, words = random.Random(7), sorted(positive)
+        extra = [(virtual(w, self.letters, rng), 3 * positive[w] / VIRTUAL) for w in words for _ in range(VIRTUAL) if len(w) > 2]
+        good, bad = self.model.windows(words + [w for w, _ in extra]), sorted(self.hard)
+        weight = np.array([positive[w] for w in words] + [x for _, x in extra] + [self.hard[w] for w in bad])
+        sign = np.array([1.0] * len(good) + [-1.0] * len(bad))
+        for side in (sign > 0, sign < 0):
+            weight[side] *= len(sign) / 2 / max(1e-9, weight[side].sum())
+        w = squared_hinge(self.inputs(good + bad), sign, weight, RIDGE * len(sign))
+        self.model = Model(self.triples, self.landmarks.T @ (self.root @ w[:-1]), float(w[-1]), np.zeros(4))
+        return self.model
+
+
+def copy_key(text: str | None) -> int:
+    """Least hash of a text's three-word shingles: near copies mostly share it, other texts don't."""
+    words = (text or "").lower().split()
+    return min((zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2))), default=0)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -279,9 +372,107 @@ def training_rows(df: DataFrame, labels: DataFrame, train_rows: int, id_col: str
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
+def bags(rows: DataFrame) -> DataFrame:
+    """(label, words array<string>) of training rows (id, text, label), one of each group of near copies with one label. Stored."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = part.column(1).to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([copy_key(t) for t in texts], pa.int64()), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string()))], ["id", "label", "copy", "words"])
+
+    found = rows.select("id", "text", "label").mapInArrow(run, f"id {kind}, label int, copy long, words array<string>")
+    return cut(found.groupBy("label", "copy").agg(F.min_by("words", "id").alias("words")).select("label", "words"), "bags")
+
+
+def word_counts(held: DataFrame) -> DataFrame:
+    """(form, toxic, clean): how many bags of either label hold each form of a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 50):
+                part = batch.slice(at, 50)
+                found = [sorted({f for w in x for f in forms(w) if 1 < len(f) <= LONGEST}) for x in part.column(1).to_pylist()]
+                place = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(place), pa.array([f for x in found for f in x], pa.string())], ["label", "form"])
+
+    forms_of = held.select("label", "words").mapInArrow(run, "label int, form string")
+    return forms_of.groupBy("form").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+
+
+def landmarks(held: DataFrame, n1: int, n0: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Words that toxic bags have far more often, by the likelihood ratio, and the words that most clean bags have; with their counts."""
+    n, a, b = float(n1 + n0), F.col("toxic").cast("double"), F.col("clean").cast("double")
+    part = lambda seen, hoped: F.when(seen > 0, seen * F.ln(seen / hoped)).otherwise(0.0)
+    ratio = 2 * (part(a, (a + b) * n1 / n) + part(b, (a + b) * n0 / n) + part(n1 - a, (n - a - b) * n1 / n) + part(n0 - b, (n - a - b) * n0 / n))
+    counts = cut(word_counts(held), "words")
+    first = counts.where(a * n0 > b * n1).select("form", "toxic", F.round(ratio, 6).alias("ratio")).orderBy(F.desc("ratio"), "form").limit(TOXIC_LANDMARKS).collect()
+    sure = [r for r in first if r["ratio"] >= SURE] or first[:UNSURE]
+    toxic = {r["form"]: float(r["toxic"]) for r in sure}
+    often = counts.where("clean > 0").orderBy(F.desc("clean"), "form").limit(TOXIC_LANDMARKS + CLEAN_LANDMARKS).collect()
+    drop_cut(counts)
+    return toxic, {r["form"]: float(r["clean"]) for r in [r for r in often if r["form"] not in toxic][:CLEAN_LANDMARKS]}
+
+
+def turn(held: DataFrame, model: Model) -> tuple[dict[str, float], dict[str, float]]:
+    """Windows of the worst words: of each toxic bag, if it looks toxic, and of each clean one; with the numbers of bags."""
+    sent = held.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                labels = part.column(0).to_pylist()
+                found = own.worst([set(x) for x in part.column(1).to_pylist()])
+                words = [(y, f) for y, top in zip(labels, found, strict=True) for v, w in (top[:1] if y else top) if v > 0 or not y for f in forms(w)]
+                yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in words], pa.int32()), pa.array(own.windows([w for _, w in words]), pa.string())], ["label", "window"])
+
+    found = held.mapInArrow(run, "label int, window string").groupBy("label", "window").agg(F.count(F.lit(1)).alias("n")).collect()
+    sent.unpersist()
+    of = lambda y: {r["window"]: float(r["n"]) for r in found if r["label"] == y}
+    return {w.strip(FIRST + LAST): n for w, n in of(1).items()}, of(0)
+
+
+def bag_features(held: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(features, label) of each bag."""
+    sent = held.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                x = own.features([set(w) for w in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x[:, i]) for i in range(3))], ["label", "x", "y", "z"])
+
+    rows = np.array(sorted(tuple(r) for r in held.mapInArrow(run, "label int, x double, y double, z double").collect()), float).reshape(-1, 4)
+    sent.unpersist()
+    return np.column_stack([rows[:, 1:], np.ones(len(rows))]), rows[:, 0]
+
+
 def trained(df: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    rows = sorted((r["id"], r["text"], r["label"]) for r in training_rows(df, labels, train_rows, id_col, text_col, label_col).collect() if r["text"] is not None)
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    """Train on labelled texts; see the module's text."""
+    ship(df.sparkSession)
+    rows = training_rows(df, labels, train_rows, id_col, text_col, label_col).where("text IS NOT NULL")
+    held = bags(rows)
+    sizes = {r["label"]: r["n"] for r in held.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    toxic, clean = landmarks(held, n1, n0) if n1 and n0 else ({}, {})
+    if not toxic:
+        drop_cut(held)
+        return Model(Triples.of([]), np.zeros(0), 0.0, np.zeros(4), n1 / (n1 + n0) if n1 + n0 else 0.0)
+    machine = Machine(list(toxic), list(clean))
+    model = machine.train(toxic, {(FIRST + w + LAST)[:WIDTH]: n for w, n in clean.items()})
+    for _ in range(TURNS):
+        witness, hard = turn(held, model)
+        model = machine.train({w: max(witness.get(w, 0.0), toxic.get(w, 0.0)) for w in witness | toxic if w}, hard)
+    x, y = bag_features(held, model)
+    drop_cut(held)
+    model.logit = logistic(x, y)
+    return model
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,24 +12,38 @@ import numpy as np
 from quernstone.llm import toxicity as t
 
 
-def plain_map(word):
+def plain_map(string):
+    """Triples of one string that spans at most WIDTH characters."""
     out = Counter()
-    for i, j, k in itertools.combinations(range(len(word)), 3):
-        out[word[i] + word[j] + word[k]] += t.DECAY ** (k - i + 1)
+    for i, j, k in itertools.combinations(range(len(string)), 3):
+        if k - i < t.WIDTH:
+            out[string[i] + string[j] + string[k]] += t.gap(j - i) * t.gap(k - j)
     return out
 
 
-def plain_kernel(a, b):
-    x, y = plain_map(a), plain_map(b)
-    dot = lambda p, q: sum(v * q[k] for k, v in p.items())
-    return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
-
-
 def test_kernel():
-    words, marks = ["idiot", "idixot", "aaaa", "abcabc", "there", "zzz"], ["idiot", "abc", "aaa", "three"]
-    alphabet = t.Alphabet("".join(sorted(set("".join(marks)))))
-    expected = [[plain_kernel(w, m) for m in marks] for w in words]
-    assert np.allclose(t.kernel(words, marks, alphabet), expected)
+    words, marks = ["idiot", "idixot", "aaaa", "abcabc", "there", "zzz", "x" * 40 + "idiot"], ["idiot", "abc", "aaa", "three"]
+    ends = lambda w: t.FIRST + w + t.LAST
+    triples = t.Triples.of(marks)
+    known = [plain_map(ends(m)) for m in marks]
+    out = triples.map([ends(w) for w in words])
+    assert out.shape[1] == len({k for m in known for k in m})
+    gram = out @ triples.map([ends(m) for m in marks]).T
+    assert np.allclose(gram, [[sum(v * m[k] for k, v in plain_map(ends(w)).items()) for m in known] for w in words])
+
+
+def test_best_windows_against_all_windows():
+    rng = random.Random(5)
+    marks = ["stupid", "scum", "worthless"]
+    machine = t.Machine(marks, [])
+    model = machine.model
+    model.weights = np.array([rng.uniform(-1, 1) for _ in model.weights])
+    value = lambda w: float(machine.triples.map([w])[0] @ model.weights) / t.DIVISOR[len(w)]
+    words = ["stupid", "a", "ab", "", "st" * 30, "scumworthstuless" * 3] + ["".join(rng.choice("stupidcmworhle") for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    for word, rated, window in zip(words, model.rate(words), model.windows(words), strict=True):
+        full = t.FIRST + word + t.LAST
+        best = max((value(full[i:j]) for i in range(len(full)) for j in range(i + 3, min(len(full), i + t.WIDTH) + 1)), default=-np.inf)
+        assert rated == best == -np.inf or abs(rated - best) < 1e-4 and abs(value(window) - best) < 1e-4
 
 
 def sentences(n, rng):
@@ -71,3 +85,29 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in t.score(df, t.trained(df, none)).collect()} == {0.0}
     assert t.score(df.limit(0), t.trained(df.limit(0), none)).collect() == []
+
+
+def test_gapped_and_padded_insults(spark):
+    """Forms that no training text has; harmless words of the same syllables stay clean."""
+    rows = sentences(1500, random.Random(3))
+    model = t.trained(spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    score = lambda w: model.scores([f"anor thlo {w} mita loer"])[0]
+    for word in ("stupid", "s.t.u.p.i.d", "stXupXid", "stuuuupid", "stXXXXpid", "astupidword", "st up id", "s  t\nu p id", "stuqpid", "wortxhless", "pathhhetic", "worthlessness", "x" * 300 + "stupid" + "y" * 300):
+        assert score(word) > 0.5, word
+    for word in ("anormi", "thorlomi", "talomithor", "an or ta lo", "", "x" * 5000, "mi" * 2000):
+        assert score(word) < 0.5, word
+
+
+def test_labels_without_spaces_and_with_many_characters(spark):
+    rng = random.Random(6)
+    sign = lambda: chr(0x4E00 + rng.randrange(2000))
+    rows = []
+    for i in range(400):
+        text, bad = [sign() for _ in range(rng.randint(5, 60))], rng.random() < 0.3
+        if bad:
+            text.insert(rng.randrange(len(text)), " \u50bb\u74dc\u86cb ")
+        rows.append((i, "".join(text), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = {r.doc_id: r for r in t.score(df, t.trained(df, df)).collect()}
+    held = [r for r in out.values() if r.held_out]
+    assert sum(r.predicted == rows[r.doc_id][2] for r in held) / len(held) > 0.95
