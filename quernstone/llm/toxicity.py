@@ -74,6 +74,8 @@ def words_of(text: str | None) -> set[str]:
 
 def forms(word: str) -> list[str]:
     """A word without edge marks, and without any marks."""
+    if word.isalnum():
+        return [word]
     plain = EDGE.sub("", word)
     bare = MARKS.sub("", plain)
     return [x for x in ({plain: 0, bare: 0} if bare else {}) if x]
@@ -130,14 +132,25 @@ class Triples:
         size = len(self.chars) + 1
         self.ends = np.full(size * size, not len(self.codes))
         self.ends[self.codes // size] = True
+        self.code_of = np.zeros(int(self.chars.max(initial=0)) + 2, np.int64)
+        self.code_of[self.chars] = np.arange(1, size)
+        # the codes in an open-addressing table, an eighth full
+        self.bits = max(4, (8 * len(self.codes)).bit_length())
+        self.slots, self.at = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1)
+        for i, (code, h) in enumerate(zip(self.codes.tolist(), self.slot(self.codes).tolist(), strict=True)):
+            while self.slots[h] >= 0:
+                h = (h + 1) % (1 << self.bits)
+            self.slots[h], self.at[h] = code, i
+
+    def slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def each(self, text: Stream) -> Iterator[tuple[np.ndarray, np.ndarray, int, float]]:
         """(first places, codes, span, weight) of the triples of known characters, for each pair of steps; with codes, of
         those triples only whose first and last characters some landmark has."""
         if not len(self.chars):
             return
-        at = np.minimum(np.searchsorted(self.chars, text.points), len(self.chars) - 1)
-        code = np.where(self.chars[at] == text.points, at + 1, 0)
+        code = self.code_of[np.minimum(text.points, len(self.code_of) - 1)]
         size = len(self.chars) + 1
         open_places = np.flatnonzero((text.left > 2) & (code > 0))
         for b in range(2, WIDTH):
@@ -155,10 +168,15 @@ class Triples:
 
     def number(self, codes: np.ndarray) -> np.ndarray:
         """Place of each code among the landmarks' triples, or -1."""
-        if not len(self.codes):
-            return np.full(len(codes), -1)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, at, -1)
+        out, left = np.full(len(codes), -1), np.arange(len(codes))
+        h = self.slot(codes)
+        while len(left):
+            seen = self.slots[h]
+            hit = seen == codes
+            out[left[hit]] = self.at[h[hit]]
+            more = np.flatnonzero((seen >= 0) & ~hit)
+            left, codes, h = left[more], codes[more], (h[more] + 1) % len(self.slots)
+        return out
 
     def map(self, strings: list[str]) -> np.ndarray:
         """Weight of each landmark triple in each string, which has its end marks as characters; rows are strings."""
