@@ -4,18 +4,25 @@ Every byte that a `length`-byte string covers which also starts anywhere else is
 input. Suffixes that agree in `length` bytes must meet in one bucket, and buckets must be small:
 
 1. Fingerprints. The bucket of a suffix is the least fingerprint of the GRAM-byte strings inside its first `length` bytes.
-   Neighbouring suffixes mostly share it, so a text gives one row for each run of them (about one in 80 bytes). A run
-   whose bucket occurs nowhere else, and only once in its own bytes, can have no repeated string.
-2. Equal runs. Runs of one bucket with equal bytes (their digest and the bucket, 128 bits) repeat as a whole.
-3. Suffix sorting. One run of each kind, of the buckets that hold different kinds, is fetched with its bytes. Buckets
+   Neighbouring suffixes mostly share it, and the place of its first occurrence, so a text gives one row for each run of them
+   (about one in 80 bytes). A run whose bucket occurs nowhere else can have no repeated string.
+2. Equal runs. Runs of one bucket with equal bytes (their digest and the bucket, 128 bits) are one kind, and are collapsed before
+   anything is sorted, first inside each text, so that a text of one repeated line gives few rows, then by partial sums.
+   A kind that occurs twice repeats as a whole.
+3. Division. Buckets with more than BUCKET_KINDS kinds are divided: the suffixes of a run are dealt to PARTS ranges of places before
+   the fingerprint, and each range's new bucket is a digest of all bytes that its suffixes share. Equal suffixes stay together, since
+   the fingerprint stands at the same place in both. This repeats until the buckets are small; at the latest, a range is one
+   suffix and its bucket one kind.
+4. Suffix sorting. One run of each kind, of the buckets that hold different kinds, is fetched with its bytes. Buckets
    are sorted one after another, a bounded number of bytes at a time. Suffixes are ordered by the place of the
    bucket's fingerprint in them and by their first bytes up to a sample position; longer ties are resolved by the ranks of
    a difference-cover sample, made by doubling before. The cover is laid out from the fingerprint's place, so that
    suffixes that can tie meet a sample position at the same offset, under PERIOD. Neighbours in that order that agree in
    `length` bytes are repeated.
-   Buckets of more than BUCKET_RUNS kinds, and those whose fingerprint occurs twice in a run, aren't sorted in one task:
-   their suffixes go to sub-buckets by a 128-bit digest of `length` bytes, which are counted with partial sums.
-4. The repeated strings come back to their texts as intervals, which are merged and cut out.
+5. The repeated strings come back to their texts as intervals, which are merged and cut out.
+
+Hot buckets and kinds: counts are partial sums, and the joins that bring them back broadcast the few hot keys (see skew.py).
+Texts are fingerprinted BLOCK bytes at a time, so a very long one needs no more memory than its bytes and its rows.
 
 Matches never cross documents. Rows are told apart by id and a digest of the text: rows that repeat both share their
 result, and their strings count as repeated. Edge cases: null and empty texts have n_bytes 0; texts shorter than `length` stay whole; an
@@ -26,17 +33,19 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.session import cut, ship
+from quernstone.llm.skew import split_join
+from quernstone.session import cut, drop_cut, ship
 
 LENGTH, GRAM, PERIOD = 200, 48, 64
-BUCKET_RUNS = 2048
+BUCKET_KINDS, PARTS = 2048, 4
+BLOCK = 1 << 20
 BASE = 0xA0761D6478BD642F
 WORD = 1 << 64
 
@@ -92,21 +101,49 @@ def window_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(bucket, first suffix, last suffix, digest of the run's bytes, whether the fingerprint occurs twice in them)."""
-    width = length - gram + 1
-    if len(raw) < length:
-        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64), np.zeros(0, bool))
-    prints = Prints(raw)
+    """(bucket, digest of the run's bytes, first suffix, last suffix, place of the fingerprint) of the runs of a text."""
+    out = [_block_runs(raw[at : at + BLOCK + length - 1], at, length, gram) for at in range(0, len(raw) - length + 1, BLOCK)]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (*(np.zeros(0, np.uint64),) * 2, *(np.zeros(0, np.int64),) * 3)
+
+
+def _block_runs(raw: bytes, base: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    width, prints = length - gram + 1, Prints(raw)
     h = prints.all(gram)
     least = window_min(h, width)
     start = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     end = np.concatenate([start[1:] - 1, [len(least) - 1]])
-    view = np.lib.stride_tricks.sliding_window_view(h, width)
-    twice = np.empty(len(start), bool)
+    view, place, twice = np.lib.stride_tricks.sliding_window_view(h, width), np.empty(len(start), np.int64), np.empty(len(start), bool)
     for at in range(0, len(start), 4096):
         s, e = start[at : at + 4096], end[at : at + 4096]
-        twice[at : at + 4096] = s + view[s].argmin(1) != e + width - 1 - view[e][:, ::-1].argmin(1)
-    return least[start], start, end, prints.of(start, end + length), twice
+        place[at : at + 4096] = s + view[s].argmin(1)
+        twice[at : at + 4096] = place[at : at + 4096] != e + width - 1 - view[e][:, ::-1].argmin(1)
+    if twice.any():  # the fingerprint occurs again: a run for each occurrence
+        parts = [(start[~twice], end[~twice], place[~twice])]
+        for s, e in zip(start[twice].tolist(), end[twice].tolist(), strict=True):
+            at = s + np.flatnonzero(h[s : e + width] == least[s])
+            at = at[: 1 + np.searchsorted(at, e)]
+            first = np.concatenate([[s], at[:-1] + 1])
+            parts.append((first, np.minimum(at, e), at))
+        start, end, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(start)
+        start, end, place = start[order], end[order], place[order]
+    return h[place], prints.of(start, end + length), start + base, end + base, place + base
+
+
+def kinds_of(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int]]]:
+    """(runs() of a text, one of each kind, and how often each occurs; the intervals of the kinds that occur twice)."""
+    found = runs(raw, length, gram)
+    if not len(found[0]):
+        return (*found, np.zeros(0, np.int64)), []
+    order = np.lexsort((found[2], found[1], found[0]))
+    bucket, digest = found[0][order], found[1][order]
+    first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (digest[1:] != digest[:-1])]))
+    copies = np.diff(np.append(first, len(order)))
+    again = np.sort(order[np.repeat(copies > 1, copies)])
+    s, e = found[2][again], found[3][again] + length
+    gap = np.flatnonzero(s[1:] > e[:-1]) if len(s) else s
+    spans = zip(s[np.append(0, gap + 1)].tolist(), e[np.append(gap, len(e) - 1)].tolist(), strict=True) if len(s) else ()
+    return (*(x[order[first]] for x in found), copies), list(spans)
 
 
 @functools.lru_cache(maxsize=4)
@@ -191,7 +228,7 @@ def flags(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """Union of intervals: overlapping and touching ones become one."""
     out: list[list[int]] = []
     for s, e in sorted(spans):
@@ -202,26 +239,37 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def run_table(texts: DataFrame, length: int) -> DataFrame:
-    """(id, t, bucket, digest, first, last, twice): a row for each run of each text."""
+RUN = "bucket long, digest long, first int, last int, place int, copies long"
+
+
+def run_table(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(id, t, bucket, digest, first, last, place, copies): a row for each kind of run of each text. Rows without a bucket are intervals
+    [first, last) of kinds that occur twice in their text."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [runs((x.as_py() or "").encode(), length) for x in part.column(2)]
-                rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-                bucket, first, last, digest, twice = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(bucket.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(twice)], ["id", "t", "bucket", "digest", "first", "last", "twice"])
+                found = [kinds_of((x.as_py() or "").encode(), length, gram) for x in part.column(2)]
+                sizes = [len(f[0][0]) for f in found]
+                bucket, digest, first, last, place, copies = (np.concatenate(x) for x in zip(*(f[0] for f in found), strict=True))
+                rows = pa.array(np.repeat(np.arange(len(found)), sizes))
+                names = ["id", "t", "bucket", "digest", "first", "last", "place", "copies"]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *(pa.array(x.view(np.int64)) for x in (bucket, digest)), *(pa.array(x.astype(np.int32)) for x in (first, last, place)), pa.array(copies.astype(np.int64))], names)
+                spans = [(i, s, e) for i, f in enumerate(found) for s, e in f[1]]
+                if spans:
+                    rows = pa.array([x[0] for x in spans])
+                    none, zero = pa.nulls(len(spans), pa.int64()), pa.array(np.zeros(len(spans), np.int32))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), none, none, pa.array([x[1] for x in spans], pa.int32()), pa.array([x[2] for x in spans], pa.int32()), zero, none], names)
 
-    return texts.select("id", "t", "text").mapInArrow(run, f"id {kind}, t long, bucket long, digest long, first int, last int, twice boolean")
+    return texts.select("id", "t", "text").mapInArrow(run, f"id {kind}, t long, {RUN}")
 
 
 def fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted runs: (id, t, first, bucket, copies, sub, piece binary)."""
+    """The wanted runs (id, t, bucket, digest, first, last, place, copies, kinds) with their bytes, `piece`."""
     kind = texts.schema["id"].dataType.simpleString()
-    lists = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("first", "last", "bucket", "copies", "sub")).alias("runs"))
+    lists = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("bucket", "digest", "first", "last", "place", "copies", "kinds")).alias("runs"))
     joined = texts.join(lists.withColumnRenamed("id", "rid").withColumnRenamed("t", "rt"), texts["id"].eqNullSafe(F.col("rid")) & (texts["t"] == F.col("rt")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,25 +279,24 @@ def fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 raw = text.as_py().encode()
                 for w in wants.as_py():
                     at.append(i)
-                    out.append((w["first"], w["bucket"], w["copies"], w["sub"], raw[w["first"] : w["last"] + length]))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                    out.append((*w.values(), raw[w["first"] : w["last"] + length]))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))], ["id", "t", "first", "bucket", "copies", "sub", "piece"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))], ["id", "t", "bucket", "digest", "first", "last", "place", "copies", "kinds", "piece"])
 
-    return joined.select("id", "t", "text", "runs").mapInArrow(run, f"id {kind}, t long, first int, bucket long, copies long, sub boolean, piece binary").dropDuplicates(["id", "t", "first"])
+    return joined.select("id", "t", "text", "runs").mapInArrow(run, f"id {kind}, t long, {RUN}, kinds long, piece binary").dropDuplicates(["id", "t", "first", "last"])
 
 
-def sorted_buckets(pieces: DataFrame, length: int, gram: int, most: int = 2 << 20) -> DataFrame:
-    """(id, t, s, e): intervals of repeated strings of single pieces; whole buckets at a time, about `most` bytes."""
+def sorted_buckets(pieces: DataFrame, length: int, most: int = 2 << 20) -> DataFrame:
+    """(id, t, s, e): intervals of repeated strings of the pieces that occur once; whole buckets at a time, about `most` bytes."""
     kind = pieces.schema["id"].dataType.simpleString()
     placed = pieces.repartition("bucket").sortWithinPartitions("bucket")
 
-    def one(rows: list[tuple]) -> pa.RecordBatch:
-        buckets, raws = np.array([r[3] for r in rows], np.int64), [r[5] for r in rows]
-        anchor = np.array([int(np.flatnonzero(Prints(r).all(gram).view(np.int64) == b)[0]) for r, b in zip(raws, buckets.tolist(), strict=True)])
-        out = []
+    def one(rows: list[tuple]) -> list[tuple]:
+        buckets, raws = np.array([r[3] for r in rows], np.int64), [r[6] for r in rows]
+        anchor, out = np.array([r[4] - r[2] for r in rows]), []
         for r, hit in zip(rows, repeated(buckets, raws, anchor, length), strict=True):
-            if r[4] == 1:
+            if r[5] == 1:
                 out += [(r[0], r[1], r[2] + a, r[2] + b - 1 + length) for a, b in flags(hit)]
         return out
 
@@ -262,7 +309,7 @@ def sorted_buckets(pieces: DataFrame, length: int, gram: int, most: int = 2 << 2
                     out += one(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[6])
             yield table_of(out, batch.schema.field(0).type)
         if held:
             yield table_of(one(held), batch.schema.field(0).type)
@@ -270,40 +317,79 @@ def sorted_buckets(pieces: DataFrame, length: int, gram: int, most: int = 2 << 2
     def table_of(out: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((id_type, pa.int64(), pa.int64(), pa.int64()))], ["id", "t", "s", "e"])
 
-    return placed.select("id", "t", "first", "bucket", "copies", "piece").mapInArrow(run, f"id {kind}, t long, s long, e long")
+    return placed.select("id", "t", "first", "bucket", "place", "copies", "piece").mapInArrow(run, f"id {kind}, t long, s long, e long")
 
 
-def counted_buckets(pieces: DataFrame, length: int) -> DataFrame:
-    """(id, t, s, e) as sorted_buckets(), by 128-bit digests of the strings, for buckets too large to sort."""
-    kind = pieces.schema["id"].dataType.simpleString()
+def divided(pieces: DataFrame, width: int, length: int, gram: int) -> DataFrame:
+    """The pieces in ranges of `width` places before their fingerprint, with the bytes that all of a range's suffixes share as bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "digest", "first", "last", "piece"]
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw = batch.column(3)[i].as_py()
-                digests = [hashlib.blake2b(raw[p : p + length], digest_size=16).digest() for p in range(len(raw) - length + 1)]
-                at = pa.array(np.full(len(digests), i))
-                first = batch.column(2)[i].as_py()
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.arange(first, first + len(digests), dtype=np.int64)), pa.array(digests, pa.binary()), batch.column(4).take(at)], ["id", "t", "s", "name", "copies"])
-
-    named = pieces.select("id", "t", "first", "piece", "copies").mapInArrow(run, f"id {kind}, t long, s long, name binary, copies long")
-    often = named.groupBy("name").agg(F.sum("copies").alias("times")).where("times > 1").select("name")
-    return named.where("copies = 1").join(often, "name").select("id", "t", "s", (F.col("s") + length).alias("e"))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows, out = [], []
+                for i, (bucket, first, last, place, raw) in enumerate(zip(*(part.column(c).to_pylist() for c in ("bucket", "first", "last", "place", "piece")), strict=True)):
+                    prints = Prints(raw)
+                    # suffixes s with the same (place - s) // width
+                    s = np.arange(first, last + 1)
+                    cell = (place - s) // width
+                    lo = s[np.flatnonzero(np.diff(cell, prepend=-1))]
+                    hi = np.append(lo[1:] - 1, last)
+                    cell = (place - lo) // width
+                    # what the whole range shares, also where this run has a part of it only
+                    far = np.minimum(cell * width + width - 1, length - gram)
+                    key = prints.of(place - cell * width - first, place - far + length - first) ^ mixed(np.uint64(bucket & (WORD - 1)) + cell.astype(np.uint64))
+                    digest = prints.of(lo - first, hi - first + length)
+                    rows += [i] * len(lo)
+                    out += zip(key.view(np.int64).tolist(), digest.view(np.int64).tolist(), lo.tolist(), hi.tolist(), [raw[a:b] for a, b in zip((lo - first).tolist(), (hi - first + length).tolist(), strict=True)], strict=True)
+                taken = part.take(pa.array(rows, pa.int64()))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                fresh = {n: pa.array([o[j] for o in out], t) for j, (n, t) in enumerate(zip(names, kinds, strict=True))}
+                yield pa.RecordBatch.from_arrays([fresh.get(n, taken.column(k)) for k, n in enumerate(part.schema.names)], part.schema.names)
+
+    return pieces.mapInArrow(run, pieces.schema)
+
+
+def settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of stored runs: (the once-occurring runs, (id, t, s, e), of kinds that occur twice in all; one run of each kind of the buckets
+    that hold different kinds, some of them single, with copies and the bucket's `kinds`, stored)."""
+    rest = [c for c in rows.columns if c not in ("bucket", "digest", "copies")]
+    kinds = cut(rows.groupBy("bucket", "digest").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"), F.min(F.struct(*rest)).alias("one")), "kinds")
+    again = split_join(rows.where("copies = 1").select("id", "t", "first", "last", "bucket", "digest"), kinds.where("all > 1").select("bucket", "digest", "rows"), ["bucket", "digest"], "rows", ["id", "t", "first"])
+    buckets = cut(kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.min("all").alias("least")).where("kinds > 1 AND least = 1").drop("least"), "open")
+    opened = split_join(kinds.select("bucket", "digest", F.col("all").alias("copies"), "one"), buckets, ["bucket"], "kinds", ["digest"])
+    again = cut(again.select("id", "t", F.col("first").cast("long").alias("s"), F.col("last").cast("long").alias("e")), "again")
+    opened = cut(opened.select(*(F.col(f"one.{c}").alias(c) for c in rest), "bucket", "digest", "copies", "kinds"), "open")
+    drop_cut(kinds)
+    drop_cut(buckets)
+    return again, opened
 
 
 def intervals(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, t, s, e): intervals that cover the repeated bytes of the texts (id, t, text)."""
-    from pyspark.sql import Window as W
-
-    by_run, by_bucket = W.partitionBy("bucket", "digest"), W.partitionBy("bucket")
-    found = run_table(texts, length).repartition("bucket")
-    found = found.withColumn("n", F.row_number().over(by_run.orderBy("id", "t", "first"))).withColumn("copies", F.count(F.lit(1)).over(by_run))
-    found = found.withColumns({"kinds": F.sum(F.when(F.col("n") == 1, 1)).over(by_bucket), "single": F.sum(F.when(F.col("copies") == 1, 1)).over(by_bucket), "any_twice": F.max("twice").over(by_bucket)})
-    open_bucket = (F.col("n") == 1) & (F.col("single") > 0) & ((F.col("kinds") > 1) | F.col("any_twice"))
-    found = cut(found.where((F.col("copies") > 1) | open_bucket).select("id", "t", "bucket", "first", "last", "copies", open_bucket.alias("open"), (F.col("any_twice") | (F.col("kinds") > BUCKET_RUNS)).alias("sub")), "runs")
-    whole = found.where("copies > 1").select("id", "t", F.col("first").cast("long").alias("s"), (F.col("last") + length).cast("long").alias("e"))
-    pieces = cut(fetched(texts, found.where("open"), length), "pieces")
-    return whole.unionByName(sorted_buckets(pieces.where("NOT sub"), length, gram)).unionByName(counted_buckets(pieces.where("sub"), length))
+    """(id, t, s, e): intervals that cover the repeated bytes of the texts (id, t, text). Stored."""
+    found = run_table(texts, length, gram)
+    shared = cut(found.where("bucket IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("runs"), F.sum("copies").alias("c")).where("c > 1").drop("c"), "shared")
+    rows = cut(split_join(found, shared, ["bucket"], "runs", ["id", "t", "first"], keep_null=True).drop("runs"), "runs")
+    drop_cut(shared)
+    out = [rows.where("bucket IS NULL").select("id", "t", F.col("first").cast("long").alias("s"), F.col("last").cast("long").alias("e"))]
+    held, (again, opened) = [rows], settled(rows.where("bucket IS NOT NULL"))
+    pieces, width = cut(fetched(texts, opened, length), "pieces"), length - gram + 1
+    drop_cut(opened)
+    while True:
+        held += [again, pieces]
+        out += [again.select("id", "t", "s", (F.col("e") + length).alias("e")), sorted_buckets(pieces.where(F.col("kinds") <= BUCKET_KINDS), length)]
+        large = pieces.where(F.col("kinds") > BUCKET_KINDS)
+        if large.isEmpty():
+            break
+        width = -(-width // PARTS)
+        parts = cut(divided(large.drop("kinds"), width, length, gram), "parts")
+        again, pieces = settled(parts)
+        held.append(parts)
+    spans = cut(functools.reduce(DataFrame.unionByName, out), "spans")
+    for x in held:
+        drop_cut(x)
+    return spans
 
 
 def deduplicated(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

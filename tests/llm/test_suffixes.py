@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quernstone.llm import suffixes
+from quernstone.llm import skew, suffixes
 
 
 def brute(rows, n):
@@ -58,13 +58,18 @@ def rows():
     out = []
     for i in range(60):
         out.append((i, text(rng.randint(0, 300)) + rng.choice(shared) + text(rng.randint(0, 300)) + (rng.choice(shared) if i % 3 else ""), "x"))
-    out += [(60, None, "x"), (61, "", "x"), (62, "q" * 500, "x"), (63, "xy" * 300, "x"), (64, out[3][1], "x"), (64, out[3][1], "x"), (64, "short", "x"), (None, shared[5] + "!", "x"), (None, None, "x"), (65, text(150) * 3, "x")]
+    out += [(60, None, "x"), (61, "", "x"), (62, "q" * 500, "x"), (63, "xy" * 300, "x"), (64, out[3][1], "x"), (64, out[3][1], "x"), (64, "short", "x"), (None, shared[5] + "!", "x"), (None, None, "x"), (65, text(150) * 3, "x"), (66, "ab" * 90 + shared[5] + "q" * 300, "x")]
+    line = text(60)  # one line in many contexts: a bucket of many kinds
+    out += [(100 + i, text(rng.randint(80, 200)) + line + text(rng.randint(80, 200)), "x") for i in range(20)]
     return out
 
 
-@pytest.mark.parametrize("kinds", [2048, 1])
-def test_all_strings(spark, rows, kinds, monkeypatch):
-    monkeypatch.setattr(suffixes, "BUCKET_RUNS", kinds)
+@pytest.mark.parametrize(("kinds", "block", "share"), [(2048, 1 << 20, 4096), (1, 1 << 20, 4096), (3, 150, 2), (1, 64, 1)])
+def test_all_strings(spark, rows, kinds, block, share, monkeypatch):
+    """Buckets divided at most sizes, texts read in blocks, all keys hot or none."""
+    monkeypatch.setattr(suffixes, "BUCKET_KINDS", kinds)
+    monkeypatch.setattr(suffixes, "BLOCK", block)
+    monkeypatch.setattr(skew, "HOT_SHARE", share)
     df = spark.createDataFrame(rows, "doc_id long, text string, n_bytes string")
     out = sorted((tuple(r) for r in suffixes.deduplicated(df).drop("kept").collect()), key=str)
     assert out == brute(rows, 200)
@@ -72,3 +77,25 @@ def test_all_strings(spark, rows, kinds, monkeypatch):
 
 def test_empty(spark):
     assert suffixes.deduplicated(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_runs_cover_all_suffixes():
+    """Each suffix is in one run, and its run's place is the first least fingerprint of its first bytes."""
+    rng = random.Random(4)
+    for text in (bytes(rng.choice(b"ab") for _ in range(900)), b"q" * 500, b"xyz" * 200, bytes(rng.randrange(256) for _ in range(120)) * 6):
+        h = suffixes.Prints(text).all(suffixes.GRAM)
+        bucket, _, first, last, place = suffixes.runs(text)
+        assert [i for a, b in zip(first, last, strict=True) for i in range(a, b + 1)] == list(range(len(text) - 199))
+        for k, a, b, p in zip(bucket, first, last, place, strict=True):
+            assert all(s + int(np.argmin(h[s : s + 153])) == p and h[p] == k for s in range(a, b + 1))
+
+
+def test_a_long_periodic_text(spark):
+    """5 MB of one short line: few rows, one interval."""
+    line = "the same line over and over again\n"
+    df = spark.createDataFrame([(1, line * 150_000), (2, "z" + line * 9), (3, "q" * 1_000_000)], "doc_id long, text string")
+    found, spans = suffixes.kinds_of((line * 150_000).encode())
+    assert len(found[0]) < 200 and len(spans) == 1 and spans[0][1] - spans[0][0] > len(line) * 149_990
+    out = {r.doc_id: r for r in suffixes.deduplicated(df).collect()}
+    assert (out[1].n_removed, out[1].n_spans) == (len(line) * 150_000, 1) and out[3].n_removed == 1_000_000
+    assert bytes(out[2].kept) == b"z"
