@@ -4,18 +4,22 @@ A document's set is its distinct k-word shingles (with fewer words, the whole se
 linked with nothing). Words are separated by ASCII white space and lower-cased A-Z. Documents whose word sequences are
 equal form one class from the start, named by a 16-byte digest of the sequence; only classes are compared.
 
-1. One pass over the texts gives each class a signature: ROWS * BANDS minima of multiply-add hashes of its shingles.
+1. One pass over the texts gives each class a signature: ROWS * BANDS minima of multiply-add hashes of its shingles. A second one
+   stores the full shingle sets of the classes that share a band with another.
 2. Star rounds: in each band's bucket every class is a candidate of one member, the bucket's centre. The candidates are
    confirmed on their full shingle sets and joined to components. A second round takes other centres, for buckets
    that still hold several components.
 3. Block round: members of buckets that still hold several components are compared in blocks of bounded size, block by
-   block, by their signatures; pairs of different components whose signatures agree often enough are confirmed on full
-   sets. So a link is lost only where banding or the signature check misses it: with 24 bands of 4, a pair at 0.8 shares
-   no bucket with probability 3e-6, and agrees in fewer than 55 of 96 minima with probability 2e-7.
-4. Alternating large-star and small-star give each class the least document id of its component.
+   block, by their signatures; of the pairs of different components whose signatures agree often enough, the block confirms on full
+   sets those that its other links don't join already, so it gives fewer links than it has members. A link is lost only where
+   banding or the signature check misses it: with 24 bands of 4, a pair at 0.8 shares no bucket with probability 3e-6, and agrees in
+   fewer than 55 of 96 minima with probability 2e-7.
+4. Alternating large-star and small-star give each class the least document id of its component; after each round over
+   the components found before, not over all links again.
 
-Hot buckets: their least member comes from partial minima, and the joins that bring it back can be split; blocks divide
-a bucket's members over tasks. Nothing is gathered on the driver but counts.
+Hot buckets, classes and components: counts and least members come from partial minima and sums, and joins broadcast the few hot keys
+(see skew.py); a centre's shingle set is repeated for every PAIRS candidates, and blocks divide a bucket's members over tasks.
+Nothing is gathered on the driver but counts.
 
 Edge cases: null, empty and white-space texts have n_shingles 0 and are their own component; rows that repeat an id are
 rows of their own whose component is the least id of their class's component; null ids never name a component unless
@@ -33,18 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.components import components
-from quernstone.session import cut, ship
+from quernstone.llm.skew import split_join
+from quernstone.session import cut, drop_cut, ship
 
 BANDS, ROWS, SEED = 24, 4, 20_240_601
 #: A pair at the threshold agrees in fewer minima with probability 2e-7.
 AGREE = 55
-#: Members of a block in the block round, and the candidates for each member up to which a block gives pairs.
-BLOCK, SPARSE = 256, 2
+#: Members of a block in the block round; candidates of one centre that share a copy of its set.
+BLOCK, PAIRS = 256, 256
 WORD_TABLE = 300_000
 CHUNK = 4096
 
 
-
 class _Words(dict):
     """64-bit digests of words, kept while they fit."""
 
@@ -152,15 +156,18 @@ def shingle_sets(df: DataFrame, k: int, wanted: DataFrame, id_col: str, text_col
     return found.mapInArrow(run, "class binary, hashes array<long>").dropDuplicates(["class"])
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Stored."""
-    pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    involved = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = cut(shingle_sets(df, k, involved.join(classes.select("class", F.col("min_id").alias("id")), "class"), id_col, text_col), "sets")
-    right = pairs.join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("hb")), "b")
-    both = right.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("ha")), "a")
-    common = both.select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("common"), (F.size("ha") + F.size("hb")).cast("long").alias("total"))
-    return cut(common.where(f"100 * common >= {percent} * (total - common)").select("a", "b"), "links")
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(ca, cb): the components of the pairs (a, b, ca, cb) whose full sets reach the threshold. b may be hot."""
+    pairs = cut(pairs.distinct(), "pairs")
+    counts = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("m")), "counts")
+    dealt = split_join(pairs, counts, ["b"], "m", ["a"]).withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / PAIRS)))
+    centres = sets.join(counts.withColumnRenamed("b", "class"), "class").select(F.col("class").alias("b"), F.col("hashes").alias("hb"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / PAIRS) - 1)).alias("part"))
+    both = dealt.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("ha")), "a").join(centres, ["b", "part"])
+    common = both.select("ca", "cb", F.size(F.array_intersect("ha", "hb")).cast("long").alias("common"), (F.size("ha") + F.size("hb")).cast("long").alias("total"))
+    out = cut(common.where(f"100 * common >= {percent} * (total - common)").select("ca", "cb").distinct(), "links")
+    drop_cut(pairs)
+    drop_cut(counts)
+    return out
 
 
 def fits(n: str, m: str, percent: int):
@@ -168,17 +175,21 @@ def fits(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def star_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's centre, which differs from turn to turn."""
+def star_pairs(members: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """((a, b, ca, cb): each member of a bucket with the bucket's centre, which differs from turn to turn; the stored centres)."""
     order = F.xxhash64("class", F.lit(turn))
-    centres = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("class").alias("centre"), F.col("n").alias("m"), F.col("comp").alias("centre_comp"))).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "c.centre", "c.m", "c.centre_comp")
-    return members.join(centres, "key").where((F.col("comp") != F.col("centre_comp")) & fits("n", "m", percent)).select(F.col("class").alias("a"), F.col("centre").alias("b"))
+    least = F.min(F.struct(order.alias("o"), F.col("class").alias("centre"), F.col("n").alias("m"), F.col("comp").alias("cb")))
+    centres = cut(members.groupBy("key").agg(least.alias("c"), F.count(F.lit(1)).alias("size")).select("key", "size", "c.centre", "c.m", "c.cb"), "centres")
+    found = split_join(members, centres, ["key"], "size", ["class"]).where((F.col("comp") != F.col("cb")) & fits("n", "m", percent))
+    return found.select(F.col("class").alias("a"), F.col("centre").alias("b"), F.col("comp").alias("ca"), "cb"), centres
 
 
 def open_members(members: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components."""
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
-    return members.join(mixed, "key")
+    """Members of the buckets that hold several components. Stored."""
+    mixed = cut(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size"), "mixed")
+    out = cut(split_join(members, mixed, ["key"], "size", ["class"]).drop("size"), "members")
+    drop_cut(mixed)
+    return out
 
 
 def candidates(key: int, same_block: bool, own: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, codes: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -198,12 +209,12 @@ def candidates(key: int, same_block: bool, own: np.ndarray, sigs: np.ndarray, si
 
 
 def opened(group: pa.Table) -> tuple:
-    """What candidates() takes of a group's rows, and the names of its members."""
+    """The components of a group's members, and what candidates() takes of them."""
     key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
-    names, comp = (group.column(c).to_pylist() for c in ("class", "comp"))
+    comp = group.column("comp").to_pylist()
     number = {c: x for x, c in enumerate(dict.fromkeys(comp))}
-    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(len(names), -1)
-    return names, (key, i == j, np.array(group.column("own").to_pylist()) == i, sigs, np.array(group.column("n").to_pylist()), np.array([number[c] for c in comp]))
+    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(len(comp), -1)
+    return comp, (key, i == j, np.array(group.column("own").to_pylist()) == i, sigs, np.array(group.column("n").to_pylist()), np.array([number[c] for c in comp]))
 
 
 def blocks(members: DataFrame) -> DataFrame:
@@ -213,8 +224,8 @@ def blocks(members: DataFrame) -> DataFrame:
     others only. The others, few where star rounds have joined most, stand in blocks from 0 on, which meet all blocks.
     """
     counts = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    main = counts.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("x"), F.sum("m").alias("all")).select("key", F.col("x.comp").alias("main"), F.ceil(F.col("x.m") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("x.m")) / BLOCK).cast("int").alias("others"))
-    rows = members.join(main, "key").withColumn("is_main", F.col("comp") == F.col("main"))
+    main = cut(counts.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("x"), F.sum("m").alias("all")).select("key", "all", F.col("x.comp").alias("main"), F.ceil(F.col("x.m") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("x.m")) / BLOCK).cast("int").alias("others")), "main")
+    rows = split_join(members, main, ["key"], "all", ["class"]).withColumn("is_main", F.col("comp") == F.col("main"))
     own = F.when(F.col("is_main"), -1 - F.pmod(F.xxhash64("class"), F.col("mains")).cast("int")).otherwise(F.pmod(F.xxhash64("class"), F.col("others")).cast("int"))
     rows = rows.withColumn("own", own)
     rest = F.sequence(F.lit(0), F.col("others") - 1)
@@ -223,35 +234,21 @@ def blocks(members: DataFrame) -> DataFrame:
     return placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "n", "comp")
 
 
-def block_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidates of blocks, compared by signatures: (class, other) pairs, or - where a block has more than SPARSE for a
-    member, as in a large group of near copies - the members that take part, with dense set. So rows grow with members."""
+def block_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(ca, cb): links of components, found in blocks by signatures and confirmed there on full sets. A pair whose members other links
+    of the block join already isn't confirmed, so no component is lost."""
+    kinds = "key long, i int, j int, own int, class binary, n long, comp binary"
 
     def compare(group: pa.Table) -> pa.Table:
-        names, what = opened(group)
-        pairs, part = [], set()
-        for x, ys in candidates(*what, percent):
-            part |= {x, *ys.tolist()}
-            if len(pairs) <= SPARSE * len(names):
-                pairs += [(x, y) for y in ys.tolist()]
-        dense = len(pairs) > SPARSE * len(names)
-        pairs = [(x, x) for x in sorted(part)] if dense else pairs
-        left, right = pa.array([p[0] for p in pairs], pa.int64()), pa.array([names[p[1]] for p in pairs], pa.binary())
-        rows = group.select(["key", "i", "j", "own", "class", "n", "comp"]).take(left)
-        return rows.append_column("other", right).append_column("dense", pa.array([dense] * len(pairs), pa.bool_()))
-
-    kinds = "key long, i int, j int, own int, class binary, n long, comp binary, other binary, dense boolean"
-    return cut(blocks(members).join(classes.select("class", "sig"), "class").groupBy("key", "i", "j").applyInArrow(compare, kinds), "candidates")
-
-
-def dense_links(found: DataFrame, classes: DataFrame, df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): links of the dense blocks, confirmed on full sets inside each block. A pair whose members other links of the block
-    join already isn't compared, so a block gives fewer links than it has members, and no component is lost."""
+        """The members that have a candidate."""
+        _, what = opened(group)
+        part = sorted({z for x, ys in candidates(*what, percent) for z in (x, *ys.tolist())})
+        return group.select(["key", "i", "j", "own", "class", "n", "comp"]).take(pa.array(part, pa.int64()))
 
     def confirmed(group: pa.Table) -> pa.Table:
-        names, what = opened(group)
+        comp, what = opened(group)
         sets = [np.array(x, np.int64) for x in group.column("hashes").to_pylist()]
-        root = list(range(len(names)))
+        root = list(range(len(sets)))
 
         def top(x: int) -> int:
             while root[x] != x:
@@ -269,42 +266,65 @@ def dense_links(found: DataFrame, classes: DataFrame, df: DataFrame, k: int, per
                     common = len(np.intersect1d(sets[x], sets[y], True))
                     if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
                         root[top(x)] = top(y)
-                        out.append((names[x], names[y]))
-        return pa.table({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
+                        out.append((comp[x], comp[y]))
+        return pa.table({"ca": pa.array([p[0] for p in out], pa.binary()), "cb": pa.array([p[1] for p in out], pa.binary())})
+
+    sigs = classes.select("class", "sig")
+    compared = cut(blocks(members).join(sigs, "class").groupBy("key", "i", "j").applyInArrow(compare, kinds), "candidates")
+    rows = compared.join(sets, "class").join(sigs, "class")
+    out = cut(rows.groupBy("key", "i", "j").applyInArrow(confirmed, "ca binary, cb binary").distinct(), "links")
+    drop_cut(compared)
+    return out
+
 
-    dense = found.where("dense")
-    wanted = dense.select("class").distinct().join(classes.select("class", F.col("min_id").alias("id")), "class")
-    rows = dense.drop("other", "dense").join(shingle_sets(df, k, wanted, id_col, text_col), "class").join(classes.select("class", "sig"), "class")
-    return cut(rows.groupBy("key", "i", "j").applyInArrow(confirmed, "a binary, b binary"), "links")
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, comp) after components that links (ca, cb) join became one. Stored; comps are deleted."""
+    roots = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    sizes = comps.groupBy(F.col("comp").alias("node")).agg(F.count(F.lit(1)).alias("size"))
+    moved = cut(roots.where("node <> root").join(sizes, "node").select(F.col("node").alias("comp"), "root", "size"), "moved")
+    hot = split_join(comps, moved, ["comp"], "size", ["class"]).select("class", "root")
+    out = cut(comps.join(hot, "class", "left").select("class", F.coalesce("root", "comp").alias("comp")), "comps")
+    drop_cut(moved)
+    drop_cut(comps)
+    return out
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of df; id is named id_col."""
     rows = cut(signatures(df, k, id_col, text_col), "signatures")
-    classes = cut(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("min_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    members = cut(bucketed(classes), "buckets")
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    members = cut(members.join(shared, "key"), "members")
+    classes = cut(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("min_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    buckets = cut(bucketed(classes), "buckets")
+    shared = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
+    members = cut(split_join(buckets, shared, ["key"], "size", ["class"]).drop("size"), "members")
+    drop_cut(buckets)
+    drop_cut(shared)
+    comps = cut(members.select("class", F.col("class").alias("comp")).distinct(), "comps")
+    sets = cut(shingle_sets(df, k, comps.select("class").join(classes.select("class", F.col("min_id").alias("id")), "class"), id_col, text_col), "sets")
 
-    links, comps = None, None
     for turn in range(3):
-        now = members.withColumn("comp", F.col("class")) if comps is None else members.join(comps.withColumnRenamed("node", "class").withColumnRenamed("root", "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        now = members.join(comps, "class")
         if turn:
-            now = cut(open_members(now), "open")
+            now = open_members(now)
+            drop_cut(members)
+            members = now.drop("comp")
             if now.isEmpty():
                 break
         if turn < 2:
-            found = confirm(star_pairs(now, turn, percent), classes, df, k, percent, id_col, text_col)
+            pairs, centres = star_pairs(now, turn, percent)
+            links = confirm(pairs, sets, percent)
+            drop_cut(centres)
         else:
-            compared = block_pairs(now, classes, percent)
-            found = confirm(compared.where("NOT dense").select(F.col("class").alias("a"), F.col("other").alias("b")), classes, df, k, percent, id_col, text_col)
-            if not compared.where("dense").isEmpty():
-                found = found.unionByName(dense_links(compared, classes, df, k, percent, id_col, text_col))
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
-    named = classes.select("class", "min_id").join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    named = named.join(least, "root").select("class", "component_id")
-    out = rows.select("id", "n_shingles", "class").join(named, "class", "left")
+            links = block_links(now, classes, sets, percent)
+        comps = merged(comps, links)
+        drop_cut(links)
+    drop_cut(members)
+    drop_cut(sets)
+    named = classes.select("class", "min_id", "copies").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    least = cut(named.groupBy("comp").agg(F.min("min_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "least")
+    named = cut(split_join(named, least, ["comp"], "size", ["class"]).select("class", "component_id", "copies"), "named")
+    drop_cut(least)
+    drop_cut(comps)
+    drop_cut(classes)
+    out = split_join(rows.select("id", "n_shingles", "class"), named, ["class"], "copies", ["id"], keep_null=True)
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
