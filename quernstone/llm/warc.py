@@ -6,9 +6,9 @@ a lost executor leaves no half archive, and any file system that Spark can write
 files as they are.
 
 deduplicate() works on headers: (digest, length) of each payload is grouped - partial sums before the shuffle - and only
-the largest id of each payload that occurs more than once comes back to the records; that join's rows of one hot payload
-can be split, as nothing gathers them. The kept response and its revisits get fresh headers. resolve() joins revisit
-records to their responses again.
+the largest id of each payload that occurs more than once comes back to the records, hot payloads by broadcast (see skew.py). Payloads
+pass through that one join, once, on their way into the archives. The kept response and its revisits get fresh headers. resolve() joins
+the headers of revisit records to their responses again; give it stored headers, so that archives are read once.
 
 Edge cases: a null payload is an empty one; payloads smaller than min_bytes are always responses; rows that repeat both
 id and payload share one verdict; a null id never is the one that others refer to, unless all ids of a payload are null,
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.llm.skew import split_join
 from quernstone.session import cut, ship
 
 #: Compressed bytes after which a segment ends; one record is never divided.
@@ -102,8 +103,9 @@ def deduplicate(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     heads = rows.select("page_id", "digest", F.octet_length("payload").alias("n")).where(F.col("n") >= min_bytes)
-    groups = heads.groupBy("digest").agg(F.max("page_id").alias("keep_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1 AND keep_id IS NOT NULL").drop("copies")
-    return rows.join(groups, "digest", "left").select("page_id", "url", "payload", "keep_id", (F.col("keep_id").isNotNull() & ~F.col("keep_id").eqNullSafe(F.col("page_id"))).alias("revisit"))
+    groups = cut(heads.groupBy("digest").agg(F.max("page_id").alias("keep_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1 AND keep_id IS NOT NULL"), "payloads")
+    held = split_join(rows, groups, ["digest"], "copies", ["page_id", "url"], keep_missing=True)
+    return held.select("page_id", "url", "payload", "keep_id", (F.col("keep_id").isNotNull() & ~F.col("keep_id").eqNullSafe(F.col("page_id"))).alias("revisit"))
 
 
 def write(records: DataFrame, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
@@ -156,11 +158,14 @@ def heads(archives: DataFrame) -> DataFrame:
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """Headers with the payload length of each revisit's original response, joined on id and digest."""
+    """Headers with the payload length of each revisit's original response, joined on id and digest. found is read several times: store it."""
+    keys = ["refers_to", "payload_digest"]
     originals = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("original_bytes"))
-    revisits = found.where("record_type = 'revisit'").join(originals, ["refers_to", "payload_digest"], "left").withColumn("payload_bytes", F.col("original_bytes"))
+    revisits = found.where("record_type = 'revisit'")
+    wanted = cut(revisits.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).join(originals, keys), "originals")
+    joined = split_join(revisits, wanted, keys, "copies", ["page_id", "url"], keep_missing=True).withColumn("payload_bytes", F.col("original_bytes"))
     columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return found.where("record_type = 'response'").select(columns).unionByName(revisits.select(columns))
+    return found.where("record_type = 'response'").select(columns).unionByName(joined.select(columns))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
