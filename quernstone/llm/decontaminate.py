@@ -6,14 +6,14 @@ many words as the item, and a document with fewer words leaks nothing. Words are
 
 1. Prune, without loss. A window within t edits of an item of n words shares n - 1 - 2 t of its word pairs, and one more for
    each word that it is longer than the item. So the n - 1 pairs from its start on, and those before its end, hold n - 1 - 2 t of
-   the benchmark's whatever its length; only places with so many go on, pairs beyond the text's ends counting as none. The pairs are a Bloom filter of a fixed 2**BITS bits, whatever the
-   benchmark's size: it can err only by letting windows through.
+   the benchmark's whatever its length; only places with so many go on, pairs beyond the text's ends counting as none. The pairs are a
+   Bloom filter of 32 to 64 bits a pair, at most 64 MB: it can err only by letting windows through.
 2. Embed. WALKS CGK walks run over the words from a window's start, and as many backwards from its end: at step j the
    symbol is read, and the pointer moves on or stays as a random function of (walk, j, symbol) says. Words that are inserted,
    deleted or changed put two walks out of step for a while only, so edit distance becomes Hamming distance. A walk
    reads about three quarters of the octave's shortest length, so edits crowded at one end spare the walks from the other.
 3. Sample. Each walk gives DRAWS keys of SAMPLED random steps. Items of one octave of lengths share walks and steps;
-   the steps stay within the shortest of them. A second fixed Bloom filter drops keys that no item has. Windows with
+   the steps stay within the shortest of them. A second Bloom filter drops keys that no item has. Windows with
    further keys that begin near each other form a region with room on both sides; its distinct keys are
    equi-joined with the items' keys.
 4. Verify. Each (region, item) that shares a key is compared by exact edit distance; the best window of each pair stays.
@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from quernstone.session import cut, ship
 
 EDIT = 0.2
-BITS = 23
+#: Bounds of a filter's bits (as powers of two; the larger is 64 MB), and places an entry.
+LEAST_BITS, MOST_BITS, HASHES = 16, 29, 6
 WALKS, DRAWS, SAMPLED, SEED = 16, 4, 4, 11
 WORDS = re.compile(r"[^\W_]+")
 WORD_TABLE = 300_000
@@ -71,17 +72,41 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def pair_bits(s: np.ndarray) -> np.ndarray:
-    """Places of the word pairs in the filter."""
-    return (mixed(s[:-1] * np.uint64(0x9E3779B97F4A7C15) + s[1:]) >> np.uint64(64 - BITS)).astype(np.int64)
+def pair_hashes(s: np.ndarray) -> np.ndarray:
+    return s[:-1] * np.uint64(0x9E3779B97F4A7C15) + s[1:]
 
 
-def word_bits(s: np.ndarray) -> np.ndarray:
-    return (mixed(s ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - BITS)).astype(np.int64)
+def word_hashes(s: np.ndarray) -> np.ndarray:
+    return s ^ np.uint64(0xA0761D6478BD642F)
 
 
-def key_bits(keys: np.ndarray) -> np.ndarray:
-    return (mixed(keys) >> np.uint64(64 - BITS)).astype(np.int64)
+class Filter:
+    """A Bloom filter of 2**size bits with HASHES places an entry, packed."""
+
+    def __init__(self, size: int, data: np.ndarray | None = None):
+        self.size, self.data = size, np.zeros(1 << size >> 3, np.uint8) if data is None else data
+
+    @staticmethod
+    def bits(entries: int) -> int:
+        """Size for so many entries: 32 to 64 bits each, within LEAST_BITS and MOST_BITS."""
+        return min(MOST_BITS, max(LEAST_BITS, (32 * entries - 1).bit_length()))
+
+    def places(self, h: np.ndarray, j: int) -> np.ndarray:
+        return (mixed(h + np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(64 - self.size)).astype(np.int64)
+
+    def add(self, h: np.ndarray) -> None:
+        for j in range(HASHES):
+            at = self.places(h, j)
+            np.bitwise_or.at(self.data, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(h.shape, bool)
+        left, flat = np.arange(h.size), h.ravel()
+        for j in range(HASHES):
+            at = self.places(flat if j == 0 else flat[left], j)
+            left = left[(self.data[at >> 3] >> (at & 7)) & 1 == 1]
+        out.ravel()[left] = True
+        return out
 
 
 def allowed(n: int, edit: float = EDIT) -> int:
@@ -219,49 +244,50 @@ def item_table(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
     return cut(benchmark.select(id_col, text_col).mapInArrow(run, f"item_id {kind}, tokens array<long>, n int, keys array<long>"), "items")
 
 
-def filters(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bit filters of the items' pairs and words, and of their keys; each partition gives one of fixed size."""
+def filters(items: DataFrame) -> tuple[Filter, Filter]:
+    """Filters of the items' pairs and words, and of their keys, as large as their numbers ask for; each partition gives one of either."""
+    sizes = items.agg(F.sum(F.col("n").cast("long")), F.sum(F.size("keys").cast("long"))).first()
+    sizes = [Filter.bits(x or 1) for x in sizes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, keys = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, bool)
+        pairs, keys = (Filter(x) for x in sizes)
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 s = np.array(x.as_py(), np.int64).view(np.uint64)
-                pairs[pair_bits(s)] = True
-                pairs[word_bits(s[:1] if len(s) == 1 else s[:0])] = True
-                keys[key_bits(np.array(y.as_py(), np.int64).view(np.uint64))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(pairs).tobytes()], pa.binary()), pa.array([np.packbits(keys).tobytes()], pa.binary())], ["pairs", "keys"])
+                pairs.add(pair_hashes(s) if len(s) > 1 else word_hashes(s))
+                keys.add(np.array(y.as_py(), np.int64).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([pairs.data.tobytes()], pa.binary()), pa.array([keys.data.tobytes()], pa.binary())], ["pairs", "keys"])
 
-    pairs, keys = np.zeros(1 << BITS >> 3, np.uint8), np.zeros(1 << BITS >> 3, np.uint8)
+    out = tuple(Filter(x) for x in sizes)
     for row in items.select("tokens", "keys").coalesce(8).mapInArrow(run, "pairs binary, keys binary").toLocalIterator():
-        pairs |= np.frombuffer(row[0], np.uint8)
-        keys |= np.frombuffer(row[1], np.uint8)
-    return pairs, keys
+        for own, data in zip(out, row, strict=True):
+            own.data |= np.frombuffer(data, np.uint8)
+    return out
 
 
 def candidate_regions(df: DataFrame, items: DataFrame, edit: float, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, region, start, tokens, keys): stretches around the windows that share a key with some item, with these keys."""
-    lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # distinct item lengths, in words
+    lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # distinct item lengths in words: no more than the longest item has
     kind = df.schema[id_col].dataType.simpleString()
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(filters(items))  # two filters of a fixed size
+    sent = spark.sparkContext.broadcast(filters(items))  # two filters of bounded size
     width, least = sparse_bound(lengths, edit) if lengths else (1, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, known = (np.unpackbits(x).view(bool) for x in sent.value)
+        pairs, known = sent.value
         for batch in batches:
             found: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
             for i, x in enumerate(batch.column(1)):
                 s = symbols(x.as_py())
                 if not len(s) or not lengths:
                     continue
-                hit = pairs[pair_bits(s)]
+                hit = pairs.has(pair_hashes(s))
                 if least:
                     sums = np.concatenate([[0], np.cumsum(hit)])
                     span = min(width, len(hit))
                     if int((sums[span:] - sums[: len(sums) - span]).max()) < least:
                         continue
-                word_hit = pairs[word_bits(s)] if lengths[0] == 1 else None
+                word_hit = pairs.has(word_hashes(s)) if lengths[0] == 1 else None
                 ends = windows(hit[::-1], None if word_hit is None else word_hit[::-1], lengths, edit)
                 for g, starts in windows(hit, word_hit, lengths, edit).items():
                     found.setdefault(g, []).append((i, s, starts, len(s) - 1 - ends[g]))  # a stretch that some start finds, its mirror finds too
@@ -279,7 +305,7 @@ def candidate_regions(df: DataFrame, items: DataFrame, edit: float, id_col: str,
                     starts = local + first[part]
                     for at in range(0, len(starts), BLOCK):
                         keys = walk_keys(tokens, starts[at : at + BLOCK], g, back)
-                        row, column = np.nonzero(known[key_bits(keys)])
+                        row, column = np.nonzero(known.has(keys))
                         low = local[at + row] - spare - (longest - 1 if back else 0)
                         begun.append(np.stack([part[at + row], low, keys[row, column].view(np.int64)]))
                 own, low, keys = np.concatenate(begun, 1)
