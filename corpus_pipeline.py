@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import bpe, decontaminate, minhash, pii, toxicity
-from quernstone.llm.queries import VOCABULARY
+from quernstone.llm.queries import vocabulary
 from quernstone.session import cut, table
 
 
@@ -53,7 +53,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens) of all documents."""
-    return bpe.encode(docs, VOCABULARY)
+    return bpe.encode(docs, vocabulary())
 
 
 STAGES = [

@@ -7,52 +7,65 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import bpe, decontaminate, html_text, minhash, pii, suffixes, telephony, toxicity, url_rules, warc
-from quernstone.session import table
+from quernstone.session import cut, table
 
-#: The public vocabulary of the registered queries; any path that the executors can read will do.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+def vocabulary() -> str:
+    """The public vocabulary of the registered queries; any path that the executors can read will do."""
+    import public_tokenizers  # only these queries need it
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, as the minimum cut labels its blocks. Null html gives the empty text."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the five rules on every url. Null urls and those without :// have empty host and path, and no rule."""
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item: a window within a fifth of its words in edits. Null texts leak nothing."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), free_ends=True)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text: those of the base patterns and those that the random field adds. Null texts have none."""
     return pii.spans(table(spark, sf_dir, "documents"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
+    """Digests of every text's token ids and of the text decoded from them. A null text is an empty one."""
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under four-word shingles at similarity 0.8. Texts without words are alone."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the bytes of repeated 200-byte strings. A null text is an empty one."""
     return suffixes.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from labels of rows that aren't held out. Empty texts are scored, too."""
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.trained(documents, table(spark, sf_dir, "labels")))
 
 
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.read_back(telephony.store_texts(table(spark, sf_dir, "documents")))
+    """Every text as stored telephony audio, read back: digests of the bytes, features of the resampled PCM. A null text is an empty one."""
+    return telephony.read_back(cut(telephony.store_texts(table(spark, sf_dir, "documents")), "media"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of stored archives, equal payloads as revisits, read back and resolved. A null payload is an empty one."""
     archives = warc.write(warc.deduplicate(table(spark, sf_dir, "pages")))
-    return warc.resolve(warc.heads(archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.resolve(cut(warc.heads(archives), "heads")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

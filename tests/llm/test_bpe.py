@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 
 from quernstone.llm import bpe
-from quernstone.llm.queries import VOCABULARY
+from quernstone.llm.queries import vocabulary
 
-pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
+pytest.importorskip("public_tokenizers")
+VOCABULARY = vocabulary()
 TEXTS = ["", " ", "Hello world", "don't  stop\n\n\t now ", "naïve café 漢字 🙂", "x<|endoftext|>y <|endoftext|>", "a" * 5000, "\u0085\u00a0\u3000 \u2028z", "1234567 3.14", "\x00\x01"]
 
 

@@ -6,7 +6,7 @@ import random
 
 import corpus_pipeline
 from quernstone.llm import bpe, minhash, pii
-from quernstone.llm.queries import VOCABULARY
+from quernstone.llm.queries import vocabulary
 
 
 def test_stages(spark, tmp_path):
@@ -37,7 +37,7 @@ def test_stages(spark, tmp_path):
     assert gone == {"toxicity": toxic, "near_duplicates": {200}, "decontamination": {201}, "pii": set()}
     kept = {r.doc_id: r for r in now.collect()}
     assert kept[202].text.endswith("mail [EMAIL]") and kept[202].n_chars == len(kept[202].text) and kept[203].text is None
-    model = bpe.load(VOCABULARY)
+    model = bpe.load(vocabulary())
     last = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert last.keys() == kept.keys()
     assert all(r.n_tokens == len(r.ids) == len(model.encode(kept[i].text)) // 4 for i, r in last.items())

@@ -53,7 +53,8 @@ def test_resampling_keeps_a_tone_and_its_length():
 
 
 def test_texts_come_back(spark):
-    texts = [None, "", "a" * 64, "é" * 1000, "\x00x", "y" * 200_000]
+    texts = [None, "", "a" * 64, "é" * 1000, "\x00x", "y" * 200_000, *(f"text {i} " * i for i in range(1, 20))]
+    assert {t.read_wav(t.pack_text(x)[1])[0] for x in texts} == {t.MULAW, t.ALAW, t.IMA}
     rows = [(i, x, b"clash") for i, x in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, media binary")
     for r in t.read_back(t.store_texts(df)).collect():
@@ -61,6 +62,9 @@ def test_texts_come_back(spark):
         padded = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
         assert r.tail_crc32 == zlib.crc32(padded[-64:]) and r.media_bytes > len(padded)
+        _, media = t.pack_text(texts[r.doc_id])
+        assert r.format_tag == (t.MULAW, t.ALAW, t.IMA)[zlib.crc32(padded) % 3] == t.read_wav(media)[0]
+        assert (r.media_sha256, r.pcm_sha256) == (hashlib.sha256(media).hexdigest(), hashlib.sha256(t.to_pcm(media)).hexdigest())
     assert t.read_back(t.store_texts(df.limit(0))).collect() == []
 
 
