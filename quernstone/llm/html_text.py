@@ -1,7 +1,8 @@
 """HTML main text by minimum-cut labelling of a page's blocks.
 
-A page is cut into blocks at block-level tags; scripts, styles and other parts without prose are skipped. Each block is a
-node. A logistic classifier gives it a cost of being content and one of being boilerplate, which become the capacities of its links with
+A page is read into tags by HTML's rules for quotes, comments and raw text, in linear time. It is cut into blocks at block-level tags,
+and around inline elements that say they are an advert, a notice or the like; scripts, styles and other parts without prose are skipped,
+unless their end is missing: then only the tag is. Each block is a node. A logistic classifier gives it a cost of being content and one of being boilerplate, which become the capacities of its links with
 source and sink; smoothness links join neighbouring blocks and successive blocks of the same container. The minimum
 cut - found by maximum flow - divides content from boilerplate. Blocks whose own cost exceeds all their smoothness links
 are settled first, which changes no minimum cut and leaves small graphs.
@@ -10,7 +11,8 @@ The classifier's weights are fitted on the driver over generated pages with know
 of a table takes part. Pages are independent rows: there is no shuffle, and memory is one page's blocks.
 
 White space inside a block becomes one space; blocks are trimmed and joined in page order by one space. Edge cases: null
-and empty pages, and pages without content, have the empty text; broken markup is read as far as it goes; whole pages
+and empty pages, and pages without content, have the empty text; a quoted value without its end ends at the next >; a nav, form or the like that its
+parent's end tag closes says nothing of what it holds; whole pages
 are read; rows repeat as given; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -23,6 +25,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +33,18 @@ from pyspark.sql import DataFrame
 
 from quernstone.session import ship
 
-#: Elements whose inside is no prose: the first run to the page's end when they aren't closed; of the others, only the tag is dropped then.
-RAW = "script|style|noscript|textarea|iframe|title"
-SKIPPED = {x: re.compile(rf"</{x}\s*>", re.I) for x in "template select svg math object button canvas audio video".split()}
-TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>(?:.*?</\1\s*>|.*\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Elements whose inside is no text of the page, to their end tag or the page's end.
+RAW = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in "script style noscript textarea iframe title".split()}
+#: Elements whose inside is no prose, if they have an end tag; those that can't hold one another.
+SKIPPED = frozenset("template select svg math object button canvas audio video".split())
+FLAT = frozenset("select button canvas audio video form".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+MARK = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?/])")
+ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:(["'])|([^\s>]*)))?)""")
 
 CONTAINERS = frozenset("div article section nav aside footer header main form ul ol dl table tbody tr td th blockquote body html figure details fieldset center".split())
-BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr br figcaption caption address legend summary option thead tfoot col title head".split())
+ITEMS = frozenset("li dt dd option".split())
+BREAKS = CONTAINERS | ITEMS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr br figcaption caption address legend summary option thead tfoot col title head".split())
 
 #: What a class, id or role says of a container; and what tags say. Plain lists.
 SAYS = {
@@ -51,6 +58,8 @@ SAYS = {
     "form": re.compile(r"\b(?:form|search\w*|login|signup|signin)\b"),
     "content": re.compile(r"\b(?:article\w*|content|main|post|entry|story|body|text|prose)\b"),
 }
+#: Words of the group "side" that say nothing where the same class speaks of text.
+SOFT = re.compile(r"\b(?:related|recommended|trending|popular|share|social)\b")
 TAG_SAYS = {"nav": "nav", "menu": "nav", "aside": "side", "footer": "foot", "header": "head", "form": "form", "fieldset": "form", "article": "content", "main": "content"}
 GROUPS = tuple(SAYS)
 HARD = frozenset(("nav", "ad", "side", "foot", "note", "comment", "form"))
@@ -62,17 +71,102 @@ TRAIN_PAGES, TRAIN_SEED = 300, 3
 
 
 @lru_cache(maxsize=4096)
-def hints(attributes: str) -> tuple[frozenset[str], bool]:
+def says_of(value: str) -> frozenset[str]:
+    """What a class, id or role says."""
+    found = set()
+    for name in value.split():
+        plain = re.sub("[_-]+", " ", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name)).lower()
+        if SAYS["content"].search(plain):
+            plain = SOFT.sub(" ", plain)
+        found |= {g for g, p in SAYS.items() if p.search(plain)}
+    return frozenset(found)
+
+
+def hints(attributes: dict[str, str]) -> tuple[frozenset[str], bool]:
     """(what class, id and role say, whether the element is hidden)."""
-    found, hidden = set(), False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("hidden",) or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            hidden = True
-        elif name in ("class", "id", "role"):
-            plain = re.sub("[_-]+", " ", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", value))
-            found |= {g for g, p in SAYS.items() if p.search(plain)}
-    return frozenset(found), hidden
+    found = frozenset().union(*(says_of(attributes[k]) for k in ("class", "id", "role") if k in attributes))
+    hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "style" in attributes and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes["style"].lower()))
+    return found, hidden
+
+
+class Tag(NamedTuple):
+    start: int
+    end: int
+    name: str  # "" for what is no element
+    closing: bool
+    empty: bool
+    attributes: dict[str, str]
+
+
+def tags(page: str) -> Iterator[Tag]:
+    """The tags of a page in order; a raw element is one tag with its inside, comments and declarations have no name."""
+    at, last, size = 0, page.rfind(">"), len(page)
+    while m := MARK.search(page, at):
+        start, name = m.start(), m.group(2)
+        if name is None:
+            if m.group() == "<!--":
+                short = 4 if page.startswith(">", start + 4) else 5 if page.startswith("->", start + 4) else 0
+                end = start + short + 1 if short else page.find("-->", start + 4) + 3
+                at = end if end > 2 else size
+            else:
+                at = page.find(">", start) + 1 or size
+            yield Tag(start, at, "", False, False, {})
+            continue
+        name, at, attributes, empty = name.lower(), m.end(), {}, False
+        while True:
+            a = ATTRIBUTE.match(page, at) if at <= last else None
+            if a is None:  # the page ends inside a tag
+                at = size
+                break
+            at = a.end()
+            if a.group(1):
+                empty = page[at - 2] == "/"
+                break
+            value = a.group(4) or ""
+            if quote := a.group(3):
+                close = page.find(quote, at)
+                if close < 0 or page[close + 1 : close + 2] not in ("", " ", "\t", "\n", "\r", "\f", "/", ">") and ">" in page[at:close]:
+                    close = page.find(">", at)  # no end of the value: the tag ends here
+                    value, at = page[at:close], close if close >= 0 else size
+                else:
+                    value, at = page[at:close], close + 1
+            attributes.setdefault(a.group(2).lower(), value)
+        if name in RAW and not m.group(1) and not empty:
+            end = RAW[name].search(page, at)
+            at = page.find(">", end.end()) + 1 or size if end else size
+            yield Tag(start, at, "", False, False, {})
+        else:
+            yield Tag(start, at, name, bool(m.group(1)), empty, attributes)
+
+
+def ends(found: list[Tag]) -> tuple[dict[int, int], set[int]]:
+    """(place of the end tag of each closed element of SKIPPED, places of containers that an outer end tag closed)."""
+    closed: dict[int, int] = {}
+    broken: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    depth: dict[str, list[int]] = {}
+    for i, tag in enumerate(found):
+        name = tag.name
+        if name not in CONTAINERS and name not in SKIPPED:
+            continue
+        if not tag.closing:
+            if not tag.empty:
+                if name in FLAT and depth.get(name):
+                    k = depth[name].pop()
+                    broken.add(stack[k][1])
+                    stack[k] = ("", stack[k][1])
+                depth.setdefault(name, []).append(len(stack))
+                stack.append((name, i))
+        elif depth.get(name):
+            k = depth[name][-1]
+            for other, place in stack[k:]:
+                if other:
+                    depth[other].pop()
+                if place != stack[k][1]:
+                    broken.add(place)
+            closed[stack[k][1]] = i
+            del stack[k:]
+    return closed, broken
 
 
 class Block:
@@ -82,10 +176,23 @@ class Block:
         self.text, self.hints, self.parent, self.linked, self.heading, self.item = text, says, parent, linked, heading, item
 
 
+class Open(NamedTuple):
+    name: str
+    says: frozenset[str]
+    serial: int
+    hidden: bool
+    kind: int
+
+
+#: Kinds of open elements: inline ones, paragraphs and items end by themselves when something larger ends or begins.
+INLINE, PARAGRAPH, ITEM, CONTAINER = range(4)
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], int, bool]] = [("", frozenset(), 0, False)]
+    stack = [Open("", frozenset(), 0, False, CONTAINER)]
+    count: dict[str, int] = {}
     parts: list[str] = []
     at, serial, linked, anchor, heading, item = 0, 0, 0, False, False, False
 
@@ -94,57 +201,78 @@ def blocks(page: str) -> list[Block]:
         if parts:
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
-            if text and not stack[-1][3]:
-                out.append(Block(text, stack[-1][1], stack[-1][2], linked, heading, item))
+            if text and not stack[-1].hidden:
+                out.append(Block(text, stack[-1].says, stack[-1].serial, linked, heading, item))
             parts.clear()
         linked = 0
 
-    unclosed: set[str] = set()
-    while m := TAG.search(page, at):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    def pop() -> None:
+        count[stack.pop().name] -= 1
+
+    found = list(tags(page))
+    closed, broken = ends(found)
+    k = -1
+    while (k := k + 1) < len(found):
+        tag = found[k]
+        if tag.start > at:
+            parts.append(page[at : tag.start])
             if anchor:
-                linked += m.start() - at
-        at = m.end()
-        name = m.group(3)
-        if name is None:
+                linked += tag.start - at
+        at, name = tag.end, tag.name
+        if not name:
             continue
-        name = name.lower()
         if name in SKIPPED:
-            attributes = m.group(4)
-            if not m.group(2) and not attributes.endswith("/") and (not attributes or attributes[0] in " \t\r\n\f/") and name not in unclosed:
-                if end := SKIPPED[name].search(page, at):
-                    at = end.end()
-                else:
-                    unclosed.add(name)
-            continue
-        if name == "a":
-            anchor = not m.group(2)
-            continue
-        if name not in BREAKS:
+            if k in closed:
+                k = closed[k]
+                at = found[k].end
             continue
         if name == "br":
             parts.append(" ")
             continue
-        flush()
-        closing = m.group(2)
-        heading, item = not closing and name in ("h1", "h2", "h3", "h4", "h5", "h6"), not closing and name in ("li", "dt", "dd")
-        if name not in CONTAINERS:
+        larger = name in BREAKS
+        if larger:
+            flush()
+            heading, item = not tag.closing and name in ("h1", "h2", "h3", "h4", "h5", "h6"), not tag.closing and name in ("li", "dt", "dd")
+            if name in CONTAINERS:
+                anchor = False
+        if name == "a":
+            anchor = not tag.closing
+        if tag.closing:
+            if count.get(name):
+                inside = len(stack) - 1
+                while stack[inside].name != name and (stack[inside].kind != CONTAINER or name in CONTAINERS):
+                    inside -= 1
+                if stack[inside].name == name:
+                    if not larger:
+                        flush()
+                    while len(stack) > inside:
+                        pop()
+            continue
+        if larger:
+            while stack[-1].kind in (INLINE, PARAGRAPH):
+                pop()
+            if name in ITEMS:
+                while stack[-1].kind != CONTAINER:
+                    pop()
+        if name in VOID or tag.empty and larger:
             continue
-        anchor = False
-        if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        elif not m.group(4).endswith("/"):
-            says, hidden = hints(m.group(4)) if m.group(4) else (frozenset(), False)
+        says, hidden = hints(tag.attributes) if tag.attributes else (frozenset(), False)
+        above = stack[-1]
+        if name in CONTAINERS:
             own = TAG_SAYS.get(name)
-            above = stack[-1][1]
-            if own == "head" and "content" in above:
-                own = None  # the heading part of an article
+            if own == "head" and "content" in above.says or own in HARD and k in broken:
+                own = None  # the heading part of an article; an element without an end
             serial += 1
-            stack.append((name, above | says | ({own} if own else set()), serial, stack[-1][3] or hidden))
+            opened = Open(name, above.says | says | ({own} if own else set()), serial, above.hidden or hidden, CONTAINER)
+        elif hidden or (says & HARD if not larger else says - {"head"}):
+            if not larger:
+                flush()
+            kind = INLINE if not larger else ITEM if name in ITEMS else PARAGRAPH
+            opened = Open(name, above.says | says - {"head"}, above.serial, above.hidden or hidden, kind)
+        else:
+            continue
+        stack.append(opened)
+        count[name] = count.get(name, 0) + 1
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -226,24 +354,28 @@ def minimum_cut(gain: list[float], links: list[tuple[int, int, float]]) -> list[
                         queue.append(j)
             if sink not in level:
                 break
-            onward = {i: iter(list(room[i])) for i in level}
+            onward, tried = {i: list(room[i]) for i in level}, dict.fromkeys(level, 0)
             path = [source]
-            while path:
+            while path:  # a blocking flow: an arc that was tried in vain is not tried again
                 i = path[-1]
                 if i == sink:
-                    least = min(room[a][b] for a, b in zip(path, path[1:], strict=False))
-                    for a, b in zip(path, path[1:], strict=False):
+                    steps = list(zip(path, path[1:], strict=False))
+                    least = min(room[a][b] for a, b in steps)
+                    for a, b in steps:
                         room[a][b] -= least
                         room[b][a] = room[b].get(a, 0.0) + least
-                    path = [source]
-                    onward = {i: iter(list(room[i])) for i in level}
+                    del path[1 + next(j for j, (a, b) in enumerate(steps) if room[a][b] <= 1e-12) :]
                     continue
-                for j in onward[i]:
+                while tried[i] < len(onward[i]):
+                    j = onward[i][tried[i]]
                     if room[i][j] > 1e-12 and level.get(j, -1) == level[i] + 1:
                         path.append(j)
                         break
+                    tried[i] += 1
                 else:
                     path.pop()
+                    if path:
+                        tried[path[-1]] += 1
         for i in rest:
             side[i] = i in level
     return [bool(x) for x in side]
@@ -283,6 +415,7 @@ def generated(rng: random.Random) -> tuple[str, str]:
             f"<form><label>{word()}</label> <p>{sentence(2, 8)}</p></form>",
             f'<header><div class="logo">{line(1, 3)}</div></header>',
             f"<p><a href='/'>{line(1, 4)}</a></p>",
+            f'<p class="{pick("advert", "cookie-notice", "sponsored", "notice", "newsletter", "comment")}">{text}</p>',
         )
 
     text, body = [], ""
@@ -297,7 +430,7 @@ def generated(rng: random.Random) -> tuple[str, str]:
             text += items
             body += "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>"
         elif kind == 2 and rng.random() < 0.5:
-            body += pick(f'<div class="ad">{sentence()}</div>', f'<aside class="related"><p>{sentence()}</p></aside>')
+            body += pick(f'<div class="ad">{sentence()}</div>', f'<aside class="related"><p>{sentence()}</p></aside>', f'<p class="{pick("advert", "ad", "notice", "comment")}">{sentence()}</p>', f'<span class="ad">{sentence(2, 8)}</span>')
         else:
             s = " ".join(sentence(1, 30) for _ in range(rng.randint(1, 4)))
             text.append(s)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 from quernstone.llm import html_text as h
 
@@ -53,6 +54,41 @@ def test_custom_and_unclosed_elements():
         assert h.main_text(PAGE.replace("<br>Next", f"<{tag}>Next"), h.fitted()) == "A title & more First paragraph here."
 
 
+THREE = ["First of three paragraphs, long enough to be read as such.", "A second one follows it here, with some more words.", "The last one ends the article, as the last ones do."]
+
+
+def article(*inserted):
+    """A page with three paragraphs and, after the first, what is inserted."""
+    body = "".join(f"<p>{x}</p>" for x in THREE[:1]) + "".join(inserted) + "".join(f"<p>{x}</p>" for x in THREE[1:])
+    return f"<html><body><nav><a href=/>Home</a></nav><article>{body}</article><footer><p>All rights reserved.</p><form><button>Go</button></form><svg></svg></footer></body></html>"
+
+
+def test_faults_of_markup():
+    for inserted in ("<p title=it's></p>", '<p class="x>', "<p class='x>", "<svg>", "<button>", "<form>", "<select>", "<nav>", "<!-- c > -->", "<!-->", "</nav>", "</p></form>", "<a b=\"x>y\" c>", "<p data-x='<b>no</b>'>", "<a b=\"1\"c=\"2\">", "<", "<1", "</>", "<?x?>"):
+        text = h.main_text(article(inserted), h.fitted())
+        assert text.replace("< ", "").replace("<1 ", "") == " ".join(THREE), inserted
+
+
+def test_hints_of_all_elements():
+    for inserted in ('<p class="advert">Buy these things now, they are cheap today.</p>', '<p class="cookie-notice">We use cookies on this site, accept them.', "<p hidden>Not to be seen by anyone who reads this.</p>", '<span class="ad">Cheap things here.</span>', '<b style="display: none">Not seen.</b>', '<div><em class="sponsored">Paid for.</em></div>', '<ul><li class="comment">I liked this very much, thank you.</li></ul>'):
+        assert h.main_text(article(inserted), h.fitted()) == " ".join(THREE), inserted
+    kept = "A text that its readers may share with others, as they like."
+    assert h.main_text(article(f'<div class="share-text">{kept}</div>'), h.fitted()) == " ".join([THREE[0], kept, *THREE[1:]])
+    split = article().replace("second one", 'second <span class="ad">buy it</span> one')
+    assert h.main_text(split, h.fitted()) == " ".join(THREE)
+
+
+def test_long_pages_take_linear_time():
+    begun = time.process_time()
+    for unit in ('<a "', "<a b=\"", "<a b='x>", "<!--", "<p ", "</nav>", "<div>", "<span class=ad>", "<svg>", "<button>", "&", "<", "<script>", '<a "x>'):
+        h.main_text(unit * (1_000_000 // len(unit)) if unit in ('<a "', "&", "<") else unit * 20_000, h.fitted())
+    assert time.process_time() - begun < 30
+    n, rng = 4000, random.Random(3)
+    begun = time.process_time()
+    h.minimum_cut([rng.uniform(-0.6, 0.6) for _ in range(n)], [(i, i + 1, 0.5) for i in range(n - 1)] + [(i, i + 2, 0.5) for i in range(n - 2)])
+    assert time.process_time() - begun < 5
+
+
 def test_frames(spark):
     rows = [(1, "u", None, "x"), (2, "u", "", "x"), (3, None, PAGE, "x"), (3, None, PAGE, "x"), (None, "u", "<p", "x"), (5, "u", "<div>" * 3000 + "deep words in here." + "</div>" * 10, "x"), (6, "u", "just plain words without a tag.", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
