@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -14,8 +14,9 @@ TARGET, HARD = 600, 800
 HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
 ITEM = re.compile(r" {0,3}(?:[-*+]|\d{1,9}[.)])[ \t]+")
-SENTENCE = re.compile(r"(?<=[.!?。！？])\s*")
-
+#: The end of a sentence, with the white space behind it.
+SENTENCE = re.compile(r"[.!?。！？]+(?:\s+|\Z)")
+BLANK_QUOTE = re.compile(r"\s*>\s*\Z")
 
 SYMBOL = re.compile(r"[$+<=>^`|~]")
 
@@ -146,48 +147,93 @@ def cut_scalars(text: str, most: int) -> Iterator[str]:
         text = text[low:]
 
 
-def packed(parts: list[str], most: int, joint: str) -> list[str]:
-    """Parts joined while they fit; a part that doesn't fit alone is cut by scalars."""
-    out: list[list[str]] = []
+def packed(parts: Iterable[str], joint: str, over: Callable[[str], list[str]]) -> list[str]:
+    """Parts joined while they fit TARGET; a part over TARGET stands for itself, as over() divides it."""
+    out: list[str] = []
+    held: list[str] = []
     total, between = (0, 0, 0), sizes(joint)
+
+    def close() -> None:
+        if held:
+            out.append(joint.join(held))
+            held.clear()
+
     for part in parts:
         size = sizes(part)
-        if out and estimate(plus(total, between, size)) <= most:
-            out[-1].append(part)
-            total = plus(total, between, size)
-        elif estimate(size) <= most:
-            out.append([part])
-            total = size
+        if estimate(size) > TARGET:
+            close()
+            out += over(part)
+            continue
+        if held and estimate(both := plus(total, between, size)) <= TARGET:
+            total = both
         else:
-            out += [[p] for p in cut_scalars(part, most)]
-            total = sizes(out[-1][0])
-    return [joint.join(x) for x in out]
+            close()
+            total = size
+        held.append(part)
+    close()
+    return out
+
 
+def scalars(text: str) -> list[str]:
+    return list(cut_scalars(text, TARGET))
 
-def split_block(kind: str, text: str, most: int = TARGET) -> list[str]:
-    """A block over the limit, divided as its kind allows."""
+
+def by_lines(text: str, whole: int = TARGET) -> list[str]:
+    """Lines packed; those of up to `whole` tokens stay whole."""
+    cut = lambda line: [line] if tokens(line) <= whole else scalars(line.rstrip("\n"))
+    return [y for x in packed(text.splitlines(keepends=True), "", cut) if (y := x.rstrip("\n"))]
+
+
+def by_sentences(text: str) -> list[str]:
+    ends = [0, *(m.end() for m in SENTENCE.finditer(text)), len(text)]
+    parts = [text[a:b] for a, b in zip(ends, ends[1:], strict=False) if a < b]
+    return [y for x in packed(parts, "", lambda x: by_lines(x) if "\n" in x else scalars(x)) if (y := x.rstrip())]
+
+
+def by_units(units: Iterable[str]) -> list[str]:
+    """Structural units packed by lines; those over HARD are divided by lines, others stay whole."""
+    parts = [y for x in units for y in ([x] if tokens(x) <= HARD else by_lines(x))]
+    return packed(parts, "\n", lambda x: [x])
+
+
+def grouped(lines: list[str], begins: Callable[[int], bool]) -> list[str]:
+    """Lines joined to units, each from a line that begins one on."""
+    at = [i for i in range(len(lines)) if i == 0 or begins(i)]
+    return ["\n".join(lines[i:j]) for i, j in zip(at, [*at[1:], len(lines)], strict=True)]
+
+
+def indent(line: str) -> int:
+    return len(line.expandtabs(4)) - len(line.expandtabs(4).lstrip())
+
+
+def split_block(kind: str, text: str) -> list[str]:
+    """A block over the limit, divided as its kind allows. A code block's fences stay with its first and last piece."""
     lines = text.split("\n")
     if kind == "code":
-        fence = FENCE.match(lines[0])
-        closed = len(lines) > 1 and FENCE.match(lines[-1])
-        head, tail = lines[0], (fence.group(1) if fence else "```")
-        room = max(1, most - tokens(head + "\n\n" + tail))
-        return [f"{head}\n{p}\n{tail}" for p in packed(lines[1 : -1 if closed else None], room, "\n")]
-    if kind == "table" and len(lines) > 2 and set(lines[1]) <= set("|:- \t"):
-        head = "\n".join(lines[:2])
-        room = max(1, most - tokens(head + "\n"))
-        return [f"{head}\n{p}" if i == 0 else p for i, p in enumerate(packed(lines[2:], room, "\n"))]
+        closed = len(lines) > 2 and not fence_mask([*lines, ""])[-1]
+        inner = by_lines("\n".join(lines[1 : -1 if closed else None]), HARD)
+        if inner:
+            inner[0] = f"{lines[0]}\n{inner[0]}"
+            inner[-1] += f"\n{lines[-1]}" if closed else ""
+            if all(tokens(x) <= HARD for x in inner):
+                return inner
+        return by_lines(text)
+    if kind == "table":
+        if len(lines) < 3 or not set(lines[1]) <= set("|:- \t"):
+            return by_lines(text)
+        head = "\n".join(lines[:3])
+        return by_units([head, *lines[3:]] if tokens(head) <= HARD else ["\n".join(lines[:2]), *lines[2:]])
     if kind == "list":
-        entries: list[str] = []
-        for line in lines:
-            if entries and not ITEM.match(line):
-                entries[-1] += "\n" + line
-            else:
-                entries.append(line)
-        return packed([p for e in entries for p in ([e] if tokens(e) <= most else packed(e.split("\n"), most, "\n"))], most, "\n")
-    if kind in ("quote", "table"):
-        return packed(lines, most, "\n")
-    return packed([s for line in lines for s in SENTENCE.split(line) if s], most, " ")
+        base = indent(lines[0])
+        return by_units(grouped(lines, lambda i: bool(ITEM.match(lines[i].lstrip())) and indent(lines[i]) == base))
+    if kind == "quote":
+        return by_units(grouped(lines, lambda i: bool(BLANK_QUOTE.match(lines[i - 1]))))
+    return by_sentences(text)
+
+
+def dashed(text: str) -> str:
+    """Letters and digits of a text, its blanks and dashes as one dash; other characters are left out."""
+    return "-".join("".join(c if c.isalnum() else " " if c in " -" else "" for c in text).split())
 
 
 def chunks(text: str) -> list[str]:

@@ -16,9 +16,10 @@ def unchanged(planned: DataFrame, manifest: DataFrame, version: int) -> DataFram
 
 def conflicts(planned: DataFrame, manifest: DataFrame, existing: DataFrame) -> DataFrame:
     """(source_id, reason): two plans of one id or output, an output that another source has, or a file nobody registered."""
-    ids, outputs = W.partitionBy("source_id"), W.partitionBy("output_path")
-    owners = manifest.select("output_path", F.col("source_id").alias("owner")).where("output_path IS NOT NULL")
-    rows = planned.withColumns({"same_id": F.count(F.lit(1)).over(ids), "same_output": F.count(F.lit(1)).over(outputs)}).join(owners, "output_path", "left").join(existing.select(F.col("path").alias("output_path"), F.lit(True).alias("there")).distinct(), "output_path", "left")
+    ids = planned.groupBy("source_id").agg(F.count(F.lit(1)).alias("same_id"))
+    outputs = planned.groupBy("output_path").agg(F.count(F.lit(1)).alias("same_output"))
+    owners = manifest.where("output_path IS NOT NULL").groupBy("output_path").agg(F.min("source_id").alias("owner"))
+    rows = planned.select("source_id", "output_path").distinct().join(ids, "source_id").join(outputs, "output_path").join(owners, "output_path", "left").join(existing.select(F.col("path").alias("output_path"), F.lit(True).alias("there")).distinct(), "output_path", "left")
     reason = (
         F.when(F.col("same_id") > 1, "repeated_id")
         .when(F.col("same_output") > 1, "repeated_output")
@@ -97,3 +98,12 @@ def rendered_sessions(exchanges: DataFrame) -> DataFrame:
     ))
     ordered = exchanges.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("turn", "user_locator", "assistant_locator", "user_text", "assistant_text"))).alias("x"))
     return ordered.select("session", F.array_join(part, "\n").alias("body"), F.size("x").alias("exchange_count"))
+
+
+def inventory_order(units: DataFrame) -> DataFrame:
+    return units.orderBy("raw_path", "raw_locator", "source_id")
+
+
+def repeated_outputs(manifest: DataFrame) -> DataFrame:
+    """(output_path, sources): outputs of several sources."""
+    return manifest.where("output_path IS NOT NULL").groupBy("output_path").agg(F.count(F.lit(1)).alias("sources")).where("sources > 1")

@@ -68,3 +68,14 @@ def common_prefix(children: DataFrame, parents: DataFrame) -> DataFrame:
     counted = met.groupBy("child", "parent").agg(first_miss.alias("miss"), F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("low"))
     shared = F.coalesce(F.col("miss") - F.col("low"), F.col("n"))
     return counted.select("child", "parent", shared.cast("long").alias("shared"), (F.col("n") - shared).cast("long").alias("delta"))
+
+
+def occurrences(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+    """rows with occurrence: how often the group came so far."""
+    return rows.withColumn("occurrence", F.row_number().over(W.partitionBy(*group).orderBy(order)).cast("long"))
+
+
+def bundle_order(messages: DataFrame) -> DataFrame:
+    """Messages of exchanges with place: people first, then answers, in order."""
+    rows = with_exchange(messages).where("exchange > 0")
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("session", "exchange").orderBy(F.desc("role"), "turn")).cast("long"))

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 
 def exact_duplicates(rows: DataFrame, layer: str, fingerprint: Column, order: str) -> DataFrame:
-    """rows with duplicate_of: the earliest row of the layer with the same fingerprint, null for that row itself."""
-    least = F.min(order).over(W.partitionBy(layer, "fingerprint"))
-    marked = rows.withColumn("fingerprint", fingerprint).withColumn("first", least)
-    return marked.withColumn("duplicate_of", F.when(F.col("first") != F.col(order), F.col("first"))).drop("first")
+    """rows with duplicate_of: the earliest row of the layer with the same fingerprint, null for that row itself.
+
+    The least of each fingerprint comes from partial minima; only fingerprints that occur twice come back to the rows, and a join's
+    rows of one hot fingerprint can be split.
+    """
+    marked = rows.withColumn("fingerprint", fingerprint)
+    repeated = marked.groupBy(F.col(layer).alias("_layer"), F.col("fingerprint").alias("_fingerprint")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    met = marked.join(repeated, F.col(layer).eqNullSafe(F.col("_layer")) & F.col("fingerprint").eqNullSafe(F.col("_fingerprint")), "left")
+    return met.withColumn("duplicate_of", F.when(F.col("first") != F.col(order), F.col("first"))).drop("first", "_layer", "_fingerprint")
 
 
 def mismatch(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -71,5 +76,51 @@ def provider_stats(units: DataFrame) -> DataFrame:
 
 
 def removal_blockers(target: Column, sources: DataFrame) -> DataFrame:
-    """Sources that depend on the target: as its duplicate, as its fork, or by a shared asset."""
+    """Sources that depend on the target: as its duplicate or as its fork."""
     return sources.where((F.col("duplicate_of") == target) | (F.col("fork_parent_source_id") == target))
+
+
+def removal_plan(target: str, sources: DataFrame, assets: DataFrame) -> DataFrame:
+    """(action, path) of removing a source: its output, and those of its assets that no other source uses, are deleted; shared assets
+    are kept. Empty if another source depends on it or it isn't there. assets: (source_id, path)."""
+    free = removal_blockers(F.lit(target), sources).limit(1).select(F.lit(True).alias("blocked"))
+    own = sources.where(F.col("source_id") == target).select(F.lit("delete").alias("action"), F.col("output_path").alias("path")).where("path IS NOT NULL")
+    users = assets.groupBy("path").agg(F.max(F.col("source_id") == target).alias("own"), F.max(F.col("source_id") != target).alias("shared")).where("own")
+    files = users.select(F.when(F.col("shared"), "keep").otherwise("delete").alias("action"), "path")
+    there = sources.where(F.col("source_id") == target).limit(1).select(F.lit(True).alias("there"))
+    return own.unionByName(files).join(F.broadcast(free), F.lit(True), "left_anti").join(F.broadcast(there), F.lit(True), "left_semi")  # one row at most each
+
+
+def unprocessed(units: DataFrame) -> DataFrame:
+    """Sources that no curation has read yet, in the order of date and id."""
+    return units.where("curation_status = 'unprocessed' AND ingest_status = 'ready'").orderBy(F.coalesce("created", F.lit("unknown")), "source_id")
+
+
+def with_status(manifest: DataFrame, changes: DataFrame) -> DataFrame:
+    """manifest with the curation_status that changes (source_id, curation_status) give."""
+    new = changes.select("source_id", F.col("curation_status").alias("_new"))
+    return manifest.join(new, "source_id", "left").withColumn("curation_status", F.coalesce("_new", "curation_status")).drop("_new")
+
+
+def reparsed_differences(manifest: DataFrame, parsed: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(source_id, problem, left_value, right_value) between ready sources and what their raw files give now: not there any more, not
+    registered, or a field that differs."""
+    ready = manifest.where("ingest_status = 'ready'")
+    sides = mismatch(ready, parsed, "source_id").select("source_id", F.when(F.col("side") == "left", "raw source is gone").otherwise("raw source isn't registered").alias("problem"), F.lit(None).cast("string").alias("left_value"), F.lit(None).cast("string").alias("right_value"))
+    return sides.unionByName(field_differences(ready, parsed, "source_id", fields).withColumnRenamed("field", "problem"))
+
+
+def log_differences(log: DataFrame, history: DataFrame) -> DataFrame:
+    """(path, logged, committed) where what a log says of a path isn't what the version control's history says.
+
+    Both are (path, action, sha256, at). A path's state before its first change and after its last one count, so changes that undo each
+    other need no entry: added and deleted again is nothing.
+    """
+
+    def net(rows: DataFrame, name: str) -> DataFrame:
+        ends = rows.groupBy("path").agg(F.min_by("action", "at").alias("first"), F.max_by(F.struct("action", "sha256"), "at").alias("last"))
+        before, after = F.col("first") != "added", F.col("last.action") != "deleted"
+        action = F.when(~before & after, "added").when(before & after, "updated").when(before & ~after, "deleted")
+        return ends.select("path", action.alias("action"), F.col("last.sha256").alias("sha256")).where("action IS NOT NULL").select("path", F.concat_ws(" ", "action", "sha256").alias(name))
+
+    return net(log, "logged").join(net(history, "committed"), "path", "full_outer").where("NOT logged <=> committed")

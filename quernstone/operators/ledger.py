@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CALLS = "task_id string, call_id string, sequence int, kind string, state string, reserved long, used long, n_items int"
@@ -126,3 +127,23 @@ def summary(calls: DataFrame) -> DataFrame:
 def last_seen(cited: DataFrame) -> DataFrame:
     """(task_id, item_id, last_sequence, calls)."""
     return cited.groupBy("task_id", "item_id").agg(F.max("sequence").alias("last_sequence"), F.count_distinct("call_id").alias("calls"))
+
+
+def latest(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """The last n rows of each group (a report's limit), with `back`, 1 for the last."""
+    return rows.withColumn("back", F.row_number().over(W.partitionBy(group).orderBy(F.desc(order)))).where(F.col("back") <= n)
+
+
+def citations(calls: DataFrame, cited: DataFrame) -> DataFrame:
+    """(task_id, item_id, searches, reads, was_read): calls that cite an item, by kind, and whether a read that succeeded began at it.
+
+    calls has seed, the item that a read begins at."""
+    kinds = cited.join(calls.where("state = 'succeeded'").select("task_id", "call_id", "kind"), ["task_id", "call_id"])
+    counts = kinds.groupBy("task_id", "item_id").agg(F.count_if(F.col("kind") == "search").alias("searches"), F.count_if(F.col("kind") == "read").alias("reads"))
+    seeds = calls.where("kind = 'read' AND state = 'succeeded'").select("task_id", F.col("seed").alias("item_id"), F.lit(True).alias("was_read")).distinct()
+    return counts.join(seeds, ["task_id", "item_id"], "left").withColumn("was_read", F.coalesce("was_read", F.lit(False)))
+
+
+def health(tasks: DataFrame, capacity: int) -> DataFrame:
+    """One row: tasks, open tasks, and whether a new one would be taken. tasks: (task_id, state)."""
+    return tasks.agg(F.count(F.lit(1)).alias("tasks"), F.count_if(F.col("state") == "open").alias("open")).withColumn("accepts", F.col("tasks") < capacity)

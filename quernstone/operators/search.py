@@ -1,8 +1,8 @@
 """Ranking: postings, prefix and phrase clauses, BM25, reciprocal-rank fusion.
 
-Tables: items (item_id, scope, title, body). Clauses are rows of a compiled query: at most 6 queries of at most a few dozen
-clauses, validated on the driver, so their table is broadcast. Only postings that match some clause are grouped; document lengths are
-computed without exploding; candidates are ranked on ids and joined with texts last.
+Tables: items (item_id, scope, title, body). Queries are lists of prefixes, at most 6 queries of at most a few dozen prefixes,
+validated on the driver. Without an index, each item's matches are counted inside its row, so nothing is exploded or shuffled
+but the candidates; with one, only the postings of matching terms are read (plans/retrieval.py). Candidates are ranked on ids.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import terms
+from quernstone.session import cut
 
 K1, B, TITLE_WEIGHT, BODY_WEIGHT, FLOOR_IDF = 1.2, 0.75, 4.0, 1.0, 1e-6
 CANDIDATES, RRF_K = 20, 60
@@ -21,6 +22,12 @@ CANDIDATES, RRF_K = 20, 60
 RRF_LCM = 205_543_280_508_215_814_964_800
 
 
+def document_frequency(items: DataFrame) -> DataFrame:
+    """(term, df): a term is given once a row, so only one shuffle of partial counts is left."""
+    own = F.array_union(F.array_distinct(terms(F.col("title"))), terms(F.col("body")))
+    return items.select(F.explode(own).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def postings(items: DataFrame) -> DataFrame:
     """(term, item_id, field, tf)."""
     words = items.select("item_id", F.explode(F.array(F.struct(F.lit("title").alias("field"), terms(F.col("title")).alias("words")), F.struct(F.lit("body").alias("field"), terms(F.col("body")).alias("words")))).alias("x"))
@@ -57,13 +64,45 @@ def clause_hits(found: DataFrame, clauses: DataFrame) -> DataFrame:
     return matched.groupBy("query_ix", "clause_ix", "item_id").agg(F.sum(F.col("tf") * weight).alias("f"))
 
 
-def bm25(items: DataFrame, clauses: DataFrame, found: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
-    """(query_ix, item_id, scope, score) of the items that match all clauses of a query; lower scores are better.
+def matches(items: DataFrame, queries: Sequence[Sequence[str]]) -> DataFrame:
+    """(item_id, scope, n, f): an item's number of terms, and for each query and prefix the weighted count of its terms that begin so.
+    Stored, so that texts are read once for statistics and scores."""
+    word = r"[\p{L}\p{N}\p{Co}]"
+    title, body = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "body"))
+    count = lambda pattern: (F.regexp_count(title, F.lit(pattern)), F.regexp_count(body, F.lit(pattern)))
+    begins = lambda p: rf"(?<!{word})" + "".join("\\" + c if not c.isalnum() else c for c in p)
+    weighted = lambda p: (lambda t, b: t * TITLE_WEIGHT + b * BODY_WEIGHT)(*count(begins(p)))
+    n = sum(count(word + "+"), F.lit(0))
+    return cut(items.select("item_id", "scope", n.cast("long").alias("n"), F.array(*(F.array(*(weighted(p) for p in q)) for q in queries)).alias("f")), "matches")
+
+
+def clause_counts(found: DataFrame, queries: Sequence[Sequence[str]]) -> DataFrame:
+    """(query_ix, clause_ix, df, total): items and weighted terms of each prefix that has any."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("query_ix"), F.lit(j).alias("clause_ix"), F.col("f")[i][j].alias("f")) for i, q in enumerate(queries) for j in range(len(q)))))
+    return found.select(each.alias("x")).select("x.*").where("f > 0").groupBy("query_ix", "clause_ix").agg(F.count(F.lit(1)).alias("df"), F.sum("f").alias("total"))
+
+
+def all_met(found: DataFrame, queries: Sequence[Sequence[str]]) -> DataFrame:
+    """(query_ix, item_id): items that have every prefix of a query."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("query_ix"), F.forall(F.col("f")[i], lambda x: x > 0).alias("met")) for i in range(len(queries)))))
+    return found.select("item_id", each.alias("x")).where("x.met").select("x.query_ix", "item_id")
+
+
+def bm25(found: DataFrame, queries: Sequence[Sequence[str]]) -> DataFrame:
+    """(query_ix, item_id, scope, score) of the items in matches() that have all prefixes of a query; lower scores are better.
+
+    Statistics are those of all items, whatever scope is asked for: one row, joined by broadcast."""
+    places = [(i, j) for i, q in enumerate(queries) for j in range(len(q))]
+    stats = found.agg(F.count(F.lit(1)).alias("total"), F.avg("n").alias("avg_n"), *(F.count_if(F.col("f")[i][j] > 0).alias(f"df_{i}_{j}") for i, j in places))
+    idf = lambda df: (lambda x: F.when(x <= 0, FLOOR_IDF).otherwise(x))(F.log((F.col("total") - df + 0.5) / (df + 0.5)))
+    part = lambda i, j: -idf(F.col(f"df_{i}_{j}")) * (F.col("f")[i][j] * (K1 + 1)) / (F.col("f")[i][j] + K1 * (1 - B + B * F.col("n") / F.col("avg_n")))
+    scores = [F.when(F.forall(F.col("f")[i], lambda x: x > 0), sum((part(i, j) for j in range(len(q))), F.lit(0.0))) for i, q in enumerate(queries)]
+    each = F.posexplode(F.array(*scores)).alias("query_ix", "score")
+    return found.crossJoin(F.broadcast(stats)).select("item_id", "scope", each).where("score IS NOT NULL").select("query_ix", "item_id", "scope", "score")
+
 
-    Statistics are those of all items, whatever scope is asked for. found and sizes: postings and lengths of an index.
-    """
-    found = postings(items) if found is None else found
-    sizes = lengths(items) if sizes is None else sizes
+def bm25_indexed(clauses: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """As bm25(), from an index: found holds the postings of matching terms, sizes all items' lengths."""
     hits = clause_hits(found, clauses)
     stats = sizes.agg(F.count(F.lit(1)).alias("total"), F.avg("n").alias("avg_n"))
     frequency = hits.groupBy("query_ix", "clause_ix").agg(F.count(F.lit(1)).alias("df"))

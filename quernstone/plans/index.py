@@ -1,11 +1,13 @@
 """Immutable, versioned indexes: postings, positions, lengths and items as Parquet, found by the digest of their content.
 
-A version is a folder idx_<20 hex> with the tables and a manifest table; `current` and `previous` are small tables that
-name a version. A reader resolves `current` once and keeps to that version. Building what exists already is a no-op.
+A version is a folder idx_<20 hex> with the tables and a manifest table; numbered small tables under `published`
+name versions, the last one the current. A reader resolves `current` once and keeps to that version. Building what exists already is a no-op.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from quernstone.functions.analyzer import analyzed
 from quernstone.functions.text import spaced_cjk
 from quernstone.operators.projection import invariant_violations
+from quernstone.session import exists, versions
 
 VERSIONS = {"item_schema": "1.3", "analyzer": "porter-fold-1", "projection": "item-projection-v1"}
 TABLES = ("items", "postings", "lengths")
@@ -23,17 +26,10 @@ class IndexFault(ValueError):
     """An index that may not be built or opened."""
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def content_digest(items: DataFrame) -> str:
-    """A digest of the items' ids and bodies that their order doesn't change: sums of two 64-bit hashes, and the count."""
-    row = items.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.xxhash64(F.lit(s), "item_id", "body_sha256", "locator").cast("decimal(38,0)")).cast("string").alias(f"h{s}") for s in (1, 2))).first()
-    import hashlib
-
-    return hashlib.sha256(f"{sorted(VERSIONS.items())}|{row['n']}|{row['h1']}|{row['h2']}".encode()).hexdigest()
+    """A digest of all columns of the items that their order doesn't change: sums of two 64-bit hashes of each row, and the count."""
+    row = items.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.xxhash64(F.lit(s), *sorted(items.columns)).cast("decimal(38,0)")).cast("string").alias(f"h{s}") for s in (1, 2))).first()
+    return hashlib.sha256(f"{sorted(VERSIONS.items())}|{sorted(items.columns)}|{row['n']}|{row['h1']}|{row['h2']}".encode()).hexdigest()
 
 
 def postings(items: DataFrame) -> DataFrame:
@@ -67,22 +63,31 @@ def build(items: DataFrame, root: str, check: bool = True) -> str:
 
 
 def pointer(spark: SparkSession, root: str, name: str) -> str | None:
-    path = f"{root}/{name}"
-    return spark.read.parquet(path).first()["index_id"] if exists(spark, f"{path}/_SUCCESS") else None
+    """The id of the current version, or of the previous one."""
+    numbers = versions(spark, f"{root}/published")
+    back = {"current": 1, "previous": 2}[name]
+    return spark.read.parquet(f"{root}/published/{numbers[-back]}").first()["index_id"] if len(numbers) >= back else None
 
 
 def publish(spark: SparkSession, root: str, index_id: str) -> bool:
-    """Make a valid version current and keep the one before; False if it is current already."""
+    """Make a valid version current and keep the one before; False if it is current already.
+
+    A pointer is never overwritten: publishing adds the next number, which counts once its commit mark is there.
+    """
     Index.open(spark, root, index_id)
-    before = pointer(spark, root, "current")
-    if before == index_id:
+    if pointer(spark, root, "current") == index_id:
         return False
-    for name, value in (("previous", before), ("current", index_id)):
-        if value:
-            spark.createDataFrame([(value,)], "index_id string").coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}")
+    number = (versions(spark, f"{root}/published") or [0])[-1] + 1
+    spark.createDataFrame([(index_id,)], "index_id string").coalesce(1).write.mode("errorifexists").parquet(f"{root}/published/{number}")
     return True
 
 
+def scope_counts(items: DataFrame, scopes: Sequence[str]) -> DataFrame:
+    """(scope, n) of the given scopes, also those without items."""
+    named = items.sparkSession.createDataFrame([(s,) for s in scopes], "scope string")
+    return named.join(items.groupBy("scope").agg(F.count(F.lit(1)).alias("n")), "scope", "left").select("scope", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @dataclass(frozen=True)
 class Index:
     """One pinned version."""
@@ -109,6 +114,5 @@ class Index:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.home}/{name}")
 
-    def scope_counts(self, scopes=("article", "conversation", "note")) -> dict[str, int]:
-        counts = {r["scope"]: r["count"] for r in self.table("items").groupBy("scope").count().collect()}
-        return {s: counts.get(s, 0) for s in scopes}
+    def scope_counts(self, scopes: Sequence[str] = ("article", "conversation", "note")) -> dict[str, int]:
+        return {r["scope"]: r["n"] for r in scope_counts(self.table("items"), scopes).collect()}

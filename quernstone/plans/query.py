@@ -12,8 +12,8 @@ from quernstone.functions.text import CJK_RANGES
 MAX_SCALARS, MAX_BYTES, MAX_ANCHORS, MAX_QUERIES, MAX_RESULTS, DEFAULT_RESULTS = 256, 1024, 6, 6, 20, 8
 SCOPES = ("article", "conversation", "note")
 #: Characters and words that a search syntax reserves.
-SYNTAX = frozenset('"*()^{}[]')
-BIDI = frozenset("؜‎‏‪‫‬‭‮⁦⁧⁨⁩")
+SYNTAX = frozenset('"*()^{}')
+BIDI = frozenset("\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069")
 RESERVED = frozenset(("and", "near", "not", "or"))
 
 
@@ -45,22 +45,26 @@ def is_cjk(ch: str) -> bool:
     return any(a <= ord(ch) <= b for a, b in CJK_RANGES)
 
 
+#: Why a query as it was given isn't accepted, in the order in which that is tested.
+REFUSALS = (
+    ("wrong_type", lambda q: not isinstance(q, str)),
+    ("unicode_scalar_limit", lambda q: len(q) > MAX_SCALARS),
+    ("invalid_unicode_scalar", lambda q: re.search("[\ud800-\udfff]", q)),
+    ("utf8_byte_limit", lambda q: len(q.encode()) > MAX_BYTES),
+    ("control_character", lambda q: re.search("[\x00-\x1f\x7f-\x9f]", q)),
+    ("bidi_control", lambda q: BIDI & set(q)),
+    ("raw_fts_syntax", lambda q: SYNTAX & set(q)),
+    ("column_filter_separator", lambda q: ":" in q.replace("::", "")),
+    ("empty_query", lambda q: not q.strip()),
+)
+
+
 def checked(query: object) -> str:
     """The query in composed form, if it may be compiled."""
-    if not isinstance(query, str):
-        raise QueryError("type", "a query is a string")
-    if any(unicodedata.category(c) == "Cc" and c not in "\t\n\r" for c in query):
-        raise QueryError("control_character", "control characters aren't allowed")
-    if BIDI & set(query):
-        raise QueryError("bidi_control", "direction controls aren't allowed")
-    text = unicodedata.normalize("NFC", query).strip()
-    if not text:
-        raise QueryError("empty", "a query holds at least one word")
-    if len(text) > MAX_SCALARS or len(text.encode()) > MAX_BYTES:
-        raise QueryError("too_long", f"at most {MAX_SCALARS} characters and {MAX_BYTES} bytes")
-    if SYNTAX & set(text) or re.search(r"(?<!:):(?!:)", text):
-        raise QueryError("raw_syntax", "search syntax isn't allowed")
-    return text
+    for reason, holds in REFUSALS:
+        if holds(query):
+            raise QueryError(reason, f"the query isn't accepted: {reason.replace('_', ' ')}")
+    return unicodedata.normalize("NFC", query).strip()
 
 
 def dedupe_key(query: str) -> str:

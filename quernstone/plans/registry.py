@@ -13,7 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
-from quernstone.operators import exchanges, governance, projection, search
+from quernstone.operators import batches, exchanges, governance, ledger, projection, search
+from quernstone.plans import index, ingest
+from quernstone.sources import files, notes, rollouts, transcripts
 from quernstone.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,7 +145,7 @@ def part_links(spark, sf_dir):
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS occurrence FROM conversations")
 def occurrence_number(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(W.partitionBy("conv_id", "role").orderBy("turn")).cast("long").alias("occurrence"))
+    return exchanges.occurrences(table(spark, sf_dir, "conversations"), ["conv_id", "role"], "turn").select("conv_id", "turn", "occurrence")
 
 
 @query(PAIRS + """, i AS (SELECT conv_id, exchange, role, turn, row_number() OVER (PARTITION BY conv_id, exchange, role ORDER BY turn) AS part FROM g WHERE exchange > 0)
@@ -170,7 +172,7 @@ def postings(spark, sf_dir):
 
 @query(POSTINGS + "SELECT term, count(DISTINCT doc_id) AS df FROM post GROUP BY term")
 def doc_freq(spark, sf_dir):
-    return search.postings(items(spark, sf_dir)).groupBy("term").agg(F.count_distinct("item_id").alias("df"))
+    return search.document_frequency(items(spark, sf_dir))
 
 
 @query(f"SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms, min(n) AS least, max(n) AS most, round(avg(n), 9) AS avg_terms FROM (SELECT len({TERMS.format('text')}) AS n FROM documents)")
@@ -201,14 +203,13 @@ RANKED = SCORED + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY query_
 
 
 def scored(spark, sf_dir):
-    out = search.bm25(items(spark, sf_dir), search.clause_table(spark, SEARCHES))
+    out = search.bm25(search.matches(items(spark, sf_dir), SEARCHES), SEARCHES)
     return out.withColumn("score", F.round("score", 9))  # as the SQL, so that ties agree
 
 
 @query(HITS + "SELECT query_ix, clause_ix, count(*) AS df, sum(f)::DOUBLE AS total FROM hits GROUP BY ALL")
 def prefix_match(spark, sf_dir):
-    hits = search.clause_hits(search.postings(items(spark, sf_dir)), search.clause_table(spark, SEARCHES))
-    return hits.groupBy("query_ix", "clause_ix").agg(F.count(F.lit(1)).alias("df"), F.sum("f").alias("total"))
+    return search.clause_counts(search.matches(items(spark, sf_dir), SEARCHES), SEARCHES)
 
 
 @query(f"""WITH w AS (SELECT doc_id, {TERMS.format('text')} AS w FROM documents)
@@ -219,10 +220,7 @@ def phrase_match(spark, sf_dir):
 
 @query(HITS + "SELECT h.query_ix, doc_id FROM hits h JOIN (SELECT query_ix, count(*) AS needed FROM clauses GROUP BY ALL) USING (query_ix) GROUP BY h.query_ix, doc_id, needed HAVING count(*) = needed")
 def and_match(spark, sf_dir):
-    clauses = search.clause_table(spark, SEARCHES)
-    hits = search.clause_hits(search.postings(items(spark, sf_dir)), clauses).groupBy("query_ix", "item_id").agg(F.count(F.lit(1)).alias("met"))
-    needed = clauses.groupBy("query_ix").agg(F.count(F.lit(1)).alias("needed"))
-    return hits.join(F.broadcast(needed), "query_ix").where("met = needed").select("query_ix", F.col("item_id").alias("doc_id"))
+    return search.all_met(search.matches(items(spark, sf_dir), SEARCHES), SEARCHES).withColumnRenamed("item_id", "doc_id")
 
 
 @query(RANKED + "SELECT query_ix, doc_id, score, rank FROM ranked")
@@ -248,15 +246,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lang AS scope, count(d.doc_id) AS n FROM (VALUES ('en'), ('de'), ('fr'), ('es'), ('zh')) s(lang) LEFT JOIN documents d USING (lang) GROUP BY lang")
 def scope_counts(spark, sf_dir):
-    scopes = spark.sql("SELECT * FROM VALUES ('en'), ('de'), ('fr'), ('es'), ('zh') AS t(scope)")
-    counts = documents(spark, sf_dir).groupBy(F.col("lang").alias("scope")).agg(F.count(F.lit(1)).alias("n"))
-    return scopes.join(counts, "scope", "left").select("scope", F.coalesce("n", F.lit(0)).alias("n"))
+    return index.scope_counts(documents(spark, sf_dir).withColumnRenamed("lang", "scope"), ("en", "de", "fr", "es", "zh"))
 
 
 @query(PAIRS + "SELECT conv_id, exchange, role, turn, row_number() OVER (PARTITION BY conv_id, exchange ORDER BY role DESC, turn) AS place FROM g WHERE exchange > 0")
 def bundle_members(spark, sf_dir):
-    rows = exchanges.with_exchange(messages(spark, sf_dir)).where("exchange > 0")
-    return rows.select(F.col("session").alias("conv_id"), "exchange", "role", "turn", F.row_number().over(W.partitionBy("session", "exchange").orderBy(F.desc("role"), "turn")).cast("long").alias("place"))
+    return exchanges.bundle_order(messages(spark, sf_dir)).select(F.col("session").alias("conv_id"), "exchange", "role", "turn", "place")
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY abs(turn - 2), turn DESC) AS priority FROM conversations")
@@ -283,20 +278,30 @@ def manifest_orphans(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0),
-a AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0)
+a AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0 OR doc_id % 10 = 0)
 SELECT path, CASE WHEN b.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'deleted' ELSE 'updated' END AS action FROM b FULL JOIN a USING (path) WHERE b.h IS DISTINCT FROM a.h""")
 def change_classify(spark, sf_dir):
     d = documents(spark, sf_dir)  # two states of the same sources: some are added, some deleted, some edited
     before = d.where("doc_id % 10 <> 0").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
-    after = d.where("doc_id % 11 <> 0").select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("sha256"))
+    after = d.where("doc_id % 11 <> 0 OR doc_id % 10 = 0").select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("sha256"))
     return governance.changes(before, after)
 
 
-@query("""SELECT source, count(*) AS units, count(DISTINCT lang) AS langs, count(*) FILTER (n_chars < 500) AS short, min(n_chars) FILTER (n_chars > 0) AS least, max(n_chars) AS most,
-count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY source""")
+@query("""
+WITH u AS (SELECT source AS provider, 'raw/' || (doc_id % 97) AS raw_path, CASE WHEN n_chars < 500 THEN 'short' WHEN lang <> 'en' THEN 'foreign' ELSE '' END AS skip_reason,
+  CASE WHEN lang = 'en' THEN 'main' ELSE 'subagent' END AS thread_kind, CASE WHEN n_chars % 3 = 0 THEN 'unknown' ELSE 'd' || n_chars END AS created FROM documents),
+r AS (SELECT provider, skip_reason, count(*) AS n FROM u WHERE skip_reason <> '' GROUP BY ALL)
+SELECT u.provider, count(*) AS units, count(DISTINCT raw_path) AS documents, count(*) FILTER (thread_kind = 'main') AS main_threads, min(created) FILTER (created <> 'unknown') AS first, max(created) FILTER (created <> 'unknown') AS last,
+  (SELECT coalesce(sum(n) FILTER (skip_reason = 'short'), 0)::BIGINT FROM r WHERE r.provider = u.provider) AS short, (SELECT coalesce(sum(n) FILTER (skip_reason = 'foreign'), 0)::BIGINT FROM r WHERE r.provider = u.provider) AS foreign_
+FROM u GROUP BY u.provider""")
 def inventory_rollup(spark, sf_dir):
-    langs = [F.count_if(F.col("lang") == x).alias(x) for x in ("en", "de", "es", "fr")]
-    return documents(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("units"), F.count_distinct("lang").alias("langs"), F.count_if(F.col("n_chars") < 500).alias("short"), F.min(F.when(F.col("n_chars") > 0, F.col("n_chars"))).alias("least"), F.max("n_chars").alias("most"), *langs)
+    n = F.col("n_chars")
+    units = documents(spark, sf_dir).select(
+        F.col("source").alias("provider"), F.concat(F.lit("raw/"), F.col("doc_id") % 97).alias("raw_path"), F.when(n < 500, "short").when(F.col("lang") != "en", "foreign").otherwise("").alias("skip_reason"),
+        F.when(F.col("lang") == "en", "main").otherwise("subagent").alias("thread_kind"), F.when(n % 3 == 0, "unknown").otherwise(F.concat(F.lit("d"), n)).alias("created"),
+    )
+    count = lambda k: F.coalesce(F.try_element_at("reasons", F.lit(k)), F.lit(0))
+    return batches.inventory_summary(units).select("provider", "units", "documents", "main_threads", "first", "last", count("short").alias("short"), count("foreign").alias("foreign_"))
 
 
 @query("SELECT source AS provider, count(*) AS discovered, count(*) FILTER (n_chars >= 1000) AS imported, count(*) FILTER (n_chars < 1000 AND n_chars >= 500) AS unchanged, count(*) FILTER (n_chars < 500) AS skipped FROM documents GROUP BY ALL")
@@ -306,21 +311,28 @@ def provider_stats(spark, sf_dir):
     return governance.provider_stats(units).drop("skip_reasons")
 
 
-@query("""SELECT user_id, count(*) AS calls, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'purchase') AS purchases, coalesce(round(sum(value) FILTER (event_type = 'purchase'), 6), 0) AS spent FROM events GROUP BY user_id""")
+CALLS = """user_id::VARCHAR AS task_id, event_id AS call_id, CASE WHEN event_type = 'view' THEN 'search' ELSE 'read' END AS kind, CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'uncertain' WHEN 2 THEN 'pending' ELSE 'succeeded' END AS state, event_id % 700 AS reserved, CASE event_id % 5 WHEN 2 THEN 0 ELSE event_id % 300 END AS used"""
+
+
+def calls(spark, sf_dir):
+    """events as rows of the usage ledger: a user is a task."""
+    return table(spark, sf_dir, "events").selectExpr("cast(user_id as string) AS task_id", "event_id AS call_id", "event_id AS sequence", "CASE WHEN event_type = 'view' THEN 'search' ELSE 'read' END AS kind", "CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'uncertain' WHEN 2 THEN 'pending' ELSE 'succeeded' END AS state", "event_id % 700 AS reserved", "CASE event_id % 5 WHEN 2 THEN 0 ELSE event_id % 300 END AS used", "event_type AS item_id", "event_type AS seed")
+
+
+@query(f"""SELECT task_id, count(*) FILTER (kind = 'search') AS searches, count(*) FILTER (kind = 'read') AS reads, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'uncertain') AS uncertain,
+sum(used)::BIGINT AS used, coalesce(sum(reserved) FILTER (state = 'pending'), 0)::BIGINT AS reserved FROM (SELECT {CALLS} FROM events) GROUP BY task_id""")
 def ledger_summary(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("event_type") == "view").alias("views"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.coalesce(F.round(F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))), 6), F.lit(0.0)).alias("spent"))
+    return ledger.summary(calls(spark, sf_dir))
 
 
-@query("SELECT user_id, event_type, max(event_id) AS last_seen, count(DISTINCT event_id) AS n FROM events GROUP BY ALL")
+@query("SELECT user_id::VARCHAR AS task_id, event_type AS item_id, max(event_id) AS last_sequence, count(DISTINCT event_id) AS calls FROM events GROUP BY ALL")
 def last_seen_items(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("last_seen"), F.count_distinct("event_id").alias("n"))
+    return ledger.last_seen(calls(spark, sf_dir))
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events QUALIFY back <= 3")
 def latest_details(spark, sf_dir):
-    back = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("event_id")))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", back.cast("long").alias("back")).where("back <= 3")
+    return ledger.latest(table(spark, sf_dir, "events"), "user_id", "event_id", 3).select("user_id", "event_id", F.col("back").cast("long").alias("back"))
 
 
 @query(r"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) AS host, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages)
@@ -334,14 +346,14 @@ def url_provider(spark, sf_dir):
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS target FROM pages)
 SELECT page_id, target, count(*) AS n FROM l GROUP BY ALL""")
 def url_link_scan(spark, sf_dir):
-    links = F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1)))
-    return table(spark, sf_dir, "pages").select("page_id", links.alias("target")).groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("n"))
+    found = notes.scan(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("body")))
+    return found.where("kind = 'link'").groupBy(F.col("path").cast("long").alias("page_id"), "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT user_id, count(*) FILTER (ts < before) AS n FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY value, event_id) AS before FROM events) GROUP BY user_id")
 def nonmonotonic_time(spark, sf_dir):
-    back = F.col("ts") < F.lag("ts").over(W.partitionBy("user_id").orderBy("value", "event_id"))
-    return table(spark, sf_dir, "events").select("user_id", back.alias("back")).groupBy("user_id").agg(F.count_if("back").alias("n"))
+    rows = table(spark, sf_dir, "events").select("user_id", F.struct("value", "event_id").alias("place"), "ts")
+    return exchanges.out_of_order(rows, "user_id", "place", "ts")
 
 
 @query("""WITH c AS (SELECT conv_id AS child, conv_id - 1 AS parent, turn, sha256(CASE WHEN turn < 2 THEN role ELSE text END) AS digest FROM conversations),
@@ -388,10 +400,147 @@ def raw_range_read(spark, sf_dir):
     return rows.select("doc_id", T.lines_between(F.col("text"), F.col("x.first"), F.col("x.last")).alias("lines"), "locator")
 
 
-@query("SELECT o.o_orderpriority AS field, count(*) AS n, round(sum(l.l_quantity), 4) AS quantity FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY ALL")
-def item_join_rollup(spark, sf_dir):
-    o, x = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    return o.join(x, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderpriority").alias("field")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
+@query(f"""WITH c AS (SELECT {CALLS}, event_type AS item_id FROM events), k AS (SELECT task_id, item_id, count(*) FILTER (kind = 'search') AS searches, count(*) FILTER (kind = 'read') AS reads FROM c WHERE state = 'succeeded' GROUP BY ALL)
+SELECT *, reads > 0 AS was_read FROM k""")
+def ledger_citations(spark, sf_dir):
+    rows = calls(spark, sf_dir)
+    return ledger.citations(rows, rows.select("task_id", "call_id", "item_id"))
+
+
+@query("SELECT count(DISTINCT user_id) AS tasks, count(DISTINCT user_id) FILTER (user_id % 3 = 0) AS open, count(DISTINCT user_id) < 10000 AS accepts FROM events")
+def ledger_health(spark, sf_dir):
+    tasks = table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", F.when(F.col("user_id") % 3 == 0, "open").otherwise("closed").alias("state"))
+    return ledger.health(tasks, 10_000)
+
+
+#: documents as what a batch plans and a manifest has: ids and outputs that collide, outputs of others, files that nobody registered.
+PLANNED = """SELECT 's' || (doc_id - doc_id % 50 // 49) AS source_id, CASE WHEN doc_id % 40 = 7 THEN 'out/shared' ELSE 'out/' || doc_id END AS output_path FROM documents"""
+REGISTERED = """SELECT 's' || (doc_id + doc_id % 30 // 29) AS source_id, 'out/' || doc_id AS output_path FROM documents WHERE lang <> 'en'"""
+
+
+def planned(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    planned_ = d.selectExpr("concat('s', doc_id - doc_id % 50 div 49) AS source_id", "CASE WHEN doc_id % 40 = 7 THEN 'out/shared' ELSE concat('out/', doc_id) END AS output_path")
+    return planned_, d.where("lang <> 'en'").selectExpr("concat('s', doc_id + doc_id % 30 div 29) AS source_id", "concat('out/', doc_id) AS output_path"), d.where("n_chars < 2000").selectExpr("concat('out/', doc_id) AS path")
+
+
+@query(f"""WITH p AS ({PLANNED}), m AS (SELECT output_path, min(source_id) AS owner FROM ({REGISTERED}) GROUP BY ALL), e AS (SELECT 'out/' || doc_id AS output_path FROM documents WHERE n_chars < 2000),
+i AS (SELECT source_id, count(*) AS n FROM p GROUP BY ALL), o AS (SELECT output_path, count(*) AS n FROM p GROUP BY ALL)
+SELECT DISTINCT source_id, CASE WHEN i.n > 1 THEN 'repeated_id' WHEN o.n > 1 THEN 'repeated_output' WHEN owner <> source_id THEN 'output_of_another_source' WHEN owner IS NULL AND output_path IN (FROM e) THEN 'unregistered_file' END AS reason
+FROM p JOIN i USING (source_id) JOIN o USING (output_path) LEFT JOIN m USING (output_path) WHERE reason IS NOT NULL""")
+def target_conflicts(spark, sf_dir):
+    return batches.conflicts(*planned(spark, sf_dir))
+
+
+@query(f"WITH p AS ({PLANNED}) SELECT output_path, count(*) AS sources FROM p GROUP BY ALL HAVING sources > 1")
+def repeated_outputs(spark, sf_dir):
+    return batches.repeated_outputs(planned(spark, sf_dir)[0])
+
+
+@query("""WITH a AS (SELECT doc_id AS source_id, lang, source, n_chars FROM documents), b AS (SELECT doc_id AS source_id, CASE WHEN doc_id % 9 = 0 THEN 'xx' ELSE lang END AS lang, source, n_chars + doc_id % 2 AS n_chars FROM documents)
+SELECT source_id, 'lang' AS field, a.lang AS left_value, b.lang AS right_value FROM a JOIN b USING (source_id) WHERE a.lang IS DISTINCT FROM b.lang
+UNION ALL SELECT source_id, 'n_chars', a.n_chars::VARCHAR, b.n_chars::VARCHAR FROM a JOIN b USING (source_id) WHERE a.n_chars IS DISTINCT FROM b.n_chars""")
+def field_differences(spark, sf_dir):
+    d = documents(spark, sf_dir).withColumnRenamed("doc_id", "source_id")
+    other = d.selectExpr("source_id", "CASE WHEN source_id % 9 = 0 THEN 'xx' ELSE lang END AS lang", "source", "n_chars + source_id % 2 AS n_chars")
+    return governance.field_differences(d, other, "source_id", ["lang", "source", "n_chars"])
+
+
+@query("""WITH k AS (SELECT doc_id, 'old' AS state FROM documents), n AS (SELECT doc_id, 'new' AS state FROM documents WHERE lang = 'en'), s AS (SELECT doc_id FROM documents WHERE lang IN ('en', 'de'))
+SELECT doc_id AS source_id, state FROM n UNION ALL SELECT doc_id, state FROM k WHERE doc_id NOT IN (FROM s)""")
+def inventory_merge(spark, sf_dir):
+    units = documents(spark, sf_dir).select(F.col("doc_id").alias("source_id"), F.concat(F.lit("raw/"), F.col("doc_id")).alias("raw_path"), F.lit("all").alias("raw_locator"), F.lit("old").alias("state"), "lang")
+    new = units.where("lang = 'en'").withColumn("state", F.lit("new"))
+    return batches.merged_inventory(units, new, units.where("lang IN ('en', 'de')")).select("source_id", "state")
+
+
+@query("SELECT doc_id AS source_id, 'raw/' || doc_id AS raw_path, CASE WHEN lang = 'en' THEN 'units' ELSE 'manifest' END AS reason FROM documents WHERE n_chars < 1000")
+def review_queue(spark, sf_dir):
+    d = documents(spark, sf_dir).where("n_chars < 1000").select(F.col("doc_id").cast("string").alias("source_id"), "lang", F.lit("t").alias("title"), F.col("source").alias("provider"), F.lit("unknown").alias("created"), F.concat(F.lit("raw/"), F.col("doc_id")).alias("raw_path"))
+    manifest = d.select("*", F.lit("review").alias("ingest_status"), F.lit("manifest").alias("reason"))
+    units = d.where("lang = 'en'").select("*", F.lit("review").alias("parse_status"), F.lit("units").alias("reason"))
+    return batches.review_items(manifest, units).select(F.col("source_id").cast("long").alias("source_id"), "raw_path", "reason")
+
+
+@query("""WITH m AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 'out/' || (doc_id - (doc_id % 60) // 59) END AS p, sha256(text) AS h, CASE WHEN doc_id % 13 = 0 THEN doc_id + 1 END AS dup, CASE WHEN doc_id % 17 = 0 THEN -doc_id - 1 END AS fork FROM documents),
+f AS (SELECT 'out/' || doc_id AS p, CASE WHEN doc_id % 19 = 0 THEN doc_id + 1 ELSE doc_id END AS id, CASE WHEN doc_id % 23 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 29 <> 0),
+b AS (SELECT m.id AS mid, f.id AS fid, coalesce(m.p, f.p) AS path, m.h AS mh, f.h AS fh FROM (FROM m WHERE p IS NOT NULL) m FULL JOIN f ON m.p = f.p)
+SELECT coalesce(mid, fid) AS source_id, path, CASE WHEN mid IS NULL THEN 'orphan file' WHEN fid IS NULL THEN 'missing file' WHEN fid <> mid THEN 'id' WHEN fh IS DISTINCT FROM mh THEN 'hash' END AS problem FROM b WHERE problem IS NOT NULL
+UNION ALL SELECT min(id), p, 'repeated output' FROM m WHERE p IS NOT NULL GROUP BY p HAVING count(*) > 1
+UNION ALL SELECT id, p, 'duplicate isn''t there' FROM m WHERE dup IS NOT NULL AND dup NOT IN (SELECT id FROM m)
+UNION ALL SELECT id, p, 'fork parent isn''t there' FROM m WHERE fork IS NOT NULL AND fork NOT IN (SELECT id FROM m)""")
+def corpus_consistency(spark, sf_dir):
+    d, h = documents(spark, sf_dir), "sha2(text, 256)"
+    manifest = d.selectExpr("doc_id AS source_id", "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE concat('out/', doc_id - (doc_id % 60) div 59) END AS output_path", f"{h} AS source_hash", "CASE WHEN doc_id % 13 = 0 THEN doc_id + 1 END AS duplicate_of", "CASE WHEN doc_id % 17 = 0 THEN -doc_id - 1 END AS fork_parent_source_id")
+    standard = d.where("doc_id % 29 <> 0").selectExpr("concat('out/', doc_id) AS path", "CASE WHEN doc_id % 19 = 0 THEN doc_id + 1 ELSE doc_id END AS source_id", f"CASE WHEN doc_id % 23 = 0 THEN 'x' ELSE {h} END AS source_hash")
+    return batches.consistency(manifest, standard)
+
+
+@query("""WITH RECURSIVE f AS (SELECT doc_id AS path, CASE WHEN doc_id % 100 = 0 THEN NULL WHEN doc_id % 100 = 50 THEN -1 WHEN doc_id % 1000 = 777 THEN doc_id ELSE doc_id - 1 END AS parent FROM documents),
+w(path, up, depth) AS (SELECT path, parent, (parent IS NOT NULL)::BIGINT FROM f UNION ALL SELECT w.path, f.parent, w.depth + (f.parent IS NOT NULL)::BIGINT FROM w JOIN f ON f.path = w.up WHERE w.depth < 200),
+e AS (SELECT path, max(depth) AS depth, bool_or(up IS NULL) AS ok FROM w GROUP BY path)
+SELECT path, CASE WHEN depth < 200 THEN depth END AS depth, CASE WHEN depth >= 200 THEN 'cycle' WHEN ok THEN 'ok' ELSE 'missing' END AS state FROM e""")
+def fork_ancestors(spark, sf_dir):
+    return rollouts.ancestors(documents(spark, sf_dir).selectExpr("doc_id AS path", "CASE WHEN doc_id % 100 = 0 THEN NULL WHEN doc_id % 100 = 50 THEN -1 WHEN doc_id % 1000 = 777 THEN doc_id ELSE doc_id - 1 END AS parent"))
+
+
+def exports(spark, sf_dir):
+    """conversations as chat exports: a file for each, with a tool call, an error and a thought in every third answer."""
+    mark = F.when(F.col("turn") % 3 == 0, F.lit("> **Tool: run**\n> x\n\n<details><summary>💭 Thinking</summary>hm</details>\n")).otherwise(F.lit(""))
+    one = F.when(F.col("role") == "user", F.concat(F.lit("## 👤 User\n\n"), "text")).when(F.col("role") == "assistant", F.concat(F.lit("## 🤖 Assistant\n\n"), mark, "text")).otherwise(F.lit(""))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", one.alias("m"))))
+    body = F.concat(F.lit("# Session: about "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.array_join(F.transform(ordered, lambda x: x["m"]), "\n\n"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(body.alias("text")).select(F.col("conv_id").cast("string").alias("path"), "text")
+
+
+@query("""SELECT conv_id::VARCHAR AS path, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants, count(*) FILTER (role = 'assistant' AND turn % 3 = 0) AS tools, count(*) FILTER (role = 'assistant' AND turn % 3 = 0) AS thoughts FROM conversations GROUP BY conv_id""")
+def export_counts(spark, sf_dir):
+    return transcripts.export_counts(transcripts.export_messages(exports(spark, sf_dir))).select("path", "users", "assistants", "tools", "thoughts")
+
+
+@query("""WITH g AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS e FROM conversations WHERE role IN ('user', 'assistant')),
+t AS (SELECT *, max(turn) FILTER (role = 'assistant' AND turn % 3 = 0) OVER (PARTITION BY conv_id, e) AS tool FROM g WHERE e > 0),
+s AS (SELECT conv_id, bool_or(role = 'user') AND bool_or(role = 'assistant') AS whole FROM conversations GROUP BY ALL)
+SELECT t.conv_id::VARCHAR AS path, e::INT AS turn, CASE WHEN count(*) FILTER (role = 'assistant' AND turn > coalesce(tool, -1)) > 0 THEN 'paired' ELSE 'unpaired' END AS status FROM t JOIN s USING (conv_id) WHERE whole GROUP BY t.conv_id, e""")
+def export_exchanges(spark, sf_dir):
+    return transcripts.parse(exports(spark, sf_dir), "export").select("path", "turn", "status")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'match' WHEN doc_id % 4 IN (1, 2) THEN 'mismatch' ELSE '' END AS resolution FROM documents""")
+def review_resolutions(spark, sf_dir):
+    units = documents(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("source_id"), F.sha2("text", 256).alias("source_hash"), F.lit("x@L1-L2").alias("source_locator"), F.lit(2).alias("markers"), F.lit(1).alias("labels"))
+    made = units.where("doc_id % 4 <> 3").select("source_id", F.when(F.col("doc_id") % 4 == 1, "x").otherwise(F.col("source_hash")).alias("source_hash"), "source_locator", "markers", "labels", F.lit(transcripts.OMIT_CITATIONS).alias("decision"), F.lit("2024-01-01").alias("reviewed_at"), F.when(F.col("doc_id") % 4 == 2, "").otherwise("me").alias("reviewed_by"))
+    return transcripts.resolved(units, made).select("doc_id", "resolution")
+
+
+@query("SELECT doc_id, 'm/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '@L1-L9' ELSE '' END AS requested, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'm/' || doc_id || '@L2-L3' END AS locator, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 3 <> 0 END AS range_matches FROM documents")
+def semantic_locators(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    found = d.where("doc_id % 5 <> 0").select(F.concat(F.lit("m/"), "doc_id", F.lit("@L2-L3")).alias("locator"), F.lit("human").alias("kind"), F.lit("raw").alias("path"))
+    wanted = d.select(F.concat(F.lit("m/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, "@L1-L9").otherwise("")).alias("locator"))
+    return files.located(found, wanted).select(F.regexp_extract("requested", "m/([0-9]+)", 1).cast("long").alias("doc_id"), "requested", "locator", "range_matches")
+
+
+@query("""WITH l AS (SELECT doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'deleted' WHEN doc_id % 2 = 0 THEN 'added' ELSE 'updated' END AS action FROM documents),
+c AS (SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'updated' WHEN doc_id % 5 = 0 THEN 'deleted' WHEN doc_id % 2 = 0 THEN 'added' ELSE 'updated' END AS action FROM documents WHERE doc_id % 3 <> 0)
+SELECT path, l.action AS logged, c.action AS committed FROM l LEFT JOIN c USING (path) WHERE l.action IS DISTINCT FROM c.action""")
+def log_differences(spark, sf_dir):
+    none = "cast(null as string) AS sha256", "1 AS at"
+    d = documents(spark, sf_dir)
+    log = d.selectExpr("doc_id AS path", "CASE WHEN doc_id % 5 = 0 THEN 'deleted' WHEN doc_id % 2 = 0 THEN 'added' ELSE 'updated' END AS action", *none)
+    history = d.where("doc_id % 3 <> 0").selectExpr("doc_id AS path", "CASE WHEN doc_id % 7 = 0 THEN 'updated' WHEN doc_id % 5 = 0 THEN 'deleted' WHEN doc_id % 2 = 0 THEN 'added' ELSE 'updated' END AS action", *none)
+    return governance.log_differences(log, history)
+
+
+@query("""WITH u AS (SELECT source AS provider, doc_id - doc_id % 20 // 19 AS id, doc_id FROM documents), c AS (SELECT id FROM u GROUP BY ALL HAVING count(*) > 1)
+SELECT provider, count(*) AS discovered, count(*) FILTER (id NOT IN (FROM c)) AS imported, 0::BIGINT AS unchanged, count(*) FILTER (id IN (FROM c)) AS skipped, count(*) FILTER (id IN (FROM c)) > 0 AS blocked FROM u GROUP BY provider""")
+def batch_plan(spark, sf_dir):
+    """A batch in which every twentieth raw file has the id of another provider's."""
+    d = documents(spark, sf_dir)
+    units = d.select(F.col("source").alias("provider"), F.expr("concat('s', doc_id - doc_id % 20 div 19)").alias("source_id"), F.concat(F.lit("raw/"), "doc_id").alias("raw_path"), F.lit("all").alias("raw_locator"), F.lit("ready").alias("parse_status"), F.lit("").alias("skip_reason"))
+    plans = units.select("provider", "source_id", F.col("raw_path").alias("source_path"), F.concat(F.lit("out/"), "raw_path").alias("output_path"), F.lit("h").alias("source_hash"), F.lit("").alias("text"))
+    nothing = ingest.empty(spark)
+    return ingest.prepare(plans, units, nothing.manifest, nothing.inventory, nothing.outputs).stats.drop("skip_reasons")
 
 
 @query()

@@ -72,7 +72,7 @@ class Retrieval:
             hits = hits.unionByName(p)
         markers = hits.select(F.concat(F.lit("\x01"), "query_ix", F.lit(":"), "clause_ix", F.lit(";")).alias("term"), "item_id", "field", "tf")
         clauses = ranking.clause_table(spark, [[f"\x01{i}:{j};" for j in range(len(q.clauses))] for i, q in enumerate(compiled)])
-        return ranking.bm25(None, clauses, markers, self.index.table("lengths"))
+        return ranking.bm25_indexed(clauses, markers, self.index.table("lengths"))
 
     def search(self, queries: Sequence[object], scopes: Sequence[str] = requests.SCOPES, limit: int = requests.DEFAULT_RESULTS, max_tokens: int = MAX_TOKENS) -> dict:
         """The longest ranked prefix of results that fits the limits."""

@@ -59,6 +59,20 @@ def _own_dir() -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbered folders under path that were written in full, in order."""
+    if not exists(spark, path):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = (x.getPath().getName() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p))
+    return sorted(int(n) for n in names if n.isdigit() and exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession

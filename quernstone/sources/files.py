@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import fingerprint, lines_between, parsed_locator
@@ -25,12 +26,20 @@ def markdown(spark: SparkSession, root: str, includes: Sequence[str] | None = No
 
 
 def jsonl_lines(spark: SparkSession, root: str, exclude_subagents: bool = False) -> DataFrame:
-    """(path, line, content) of the JSONL files under root, blank lines left out, numbered from 1."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    """(path, line, content) of the JSONL files under root, blank lines left out, numbered from 1.
+
+    Files are split: lines are numbered within each block that a task reads, and blocks by the sums of those before.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
+    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("content"))
     if exclude_subagents:
-        files = files.where(~F.col("path").contains("/subagents/"))
-    lines = files.withColumn("path", relative(root)).select("path", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line", "content"))
-    return lines.where(F.trim("content") != "").withColumn("line", F.col("line") + 1)
+        rows = rows.where(~F.col("path").contains("/subagents/"))
+    sizes = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select("path", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(W.partitionBy("path", "block").orderBy("at"))
+    lines = rows.withColumn("own", own).join(starts, ["path", "block"]).withColumn("path", relative(root))
+    return lines.select("path", (F.col("own") + F.col("before")).cast("int").alias("line"), "content").where(F.trim("content") != "")
 
 
 def parsed_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -83,3 +92,19 @@ def read_ranges(files: DataFrame, locators: DataFrame) -> DataFrame:
     found = wanted.join(files.select("path", "text"), "path", "left")
     inside = F.col("last") <= F.size(F.split("text", "\n"))
     return found.select("locator", F.when(inside, lines_between(F.col("text"), F.col("first"), F.col("last"))).alias("lines"))
+
+
+def located(messages: DataFrame, locators: DataFrame) -> DataFrame:
+    """Semantic locators, with or without @Lx-Ly, read from parsed sources: (requested, locator, kind, path, first, last, range_matches).
+
+    messages: (locator, kind, path), where locator ends in its own lines. A locator that no message has gives nulls; whether a
+    given range is the message's own is said, not demanded.
+    """
+    apart = lambda c: F.regexp_extract(c, r"(?s)\A(.*?)(?:@L[0-9]+-L[0-9]+)?\z", 1)
+    own = messages.where(parsed_locator(F.col("locator")).isNotNull()).withColumn("name", apart(F.col("locator")))
+    own = own.groupBy("name").agg(F.min(F.struct("locator", "kind", "path")).alias("m"))
+    wanted = locators.select(F.col("locator").alias("requested")).withColumn("name", apart(F.col("requested")))
+    at = parsed_locator(F.col("m.locator"))
+    met = wanted.join(own, "name", "left").withColumn("at", at)
+    same = (F.col("requested") == F.col("name")) | (F.col("requested") == F.col("m.locator"))
+    return met.select("requested", F.col("m.locator").alias("locator"), F.col("m.kind").alias("kind"), F.col("m.path").alias("path"), F.col("at.first").alias("first"), F.col("at.last").alias("last"), F.when(F.col("m").isNotNull(), same).alias("range_matches"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import clean_message, meaningless_exchange, noise
-from quernstone.session import cut
+from quernstone.session import cut, drop_cut
 
 RECORD = "timestamp string, type string, payload struct<type: string, role: string, phase: string, id: string, timestamp: string, cwd: string, thread_source: string, forked_from_id: string, content: array<struct<type: string, text: string>>>"
 
@@ -113,16 +113,36 @@ def fork_delta(sessions: DataFrame, forks: DataFrame) -> DataFrame:
     return met.withColumn("own", differs == 1).where(F.col("own") | F.col("parent").isNull()).drop("own", "parent_digest", "digest")
 
 
-def ancestors(forks: DataFrame, rounds: int = 64) -> DataFrame:
-    """(path, depth, state): depth of each fork in its chain; state is ok, missing or cycle. rounds bounds a chain's length."""
-    known = forks.select("path", "parent")
-    now = known.select("path", F.col("parent").alias("at"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
-    done = now.where("at IS NULL").select("path", "depth", F.lit("ok").alias("state"))
-    now = now.where("at IS NOT NULL")
-    for _ in range(rounds):
-        if now.isEmpty():
-            return done
-        step = cut(now.join(known.select(F.col("path").alias("at"), F.col("parent").alias("next"), F.lit(True).alias("there")), "at", "left"), "ancestors")
-        done = done.unionByName(step.where("there IS NULL").select("path", "depth", F.lit("missing").alias("state"))).unionByName(step.where("there AND next IS NULL").select("path", "depth", F.lit("ok").alias("state")))
-        now = step.where("there AND next IS NOT NULL").select("path", F.col("next").alias("at"), (F.col("depth") + 1).alias("depth"))
-    return done.unionByName(now.select("path", "depth", F.lit("cycle").alias("state")))
+def ancestors(forks: DataFrame) -> DataFrame:
+    """(path, depth, state): depth of each fork in its chain; state is ok, missing (some forebear isn't there) or cycle. Stored.
+
+    Each round doubles the jump: a path takes over the end, or the forebear, that its present forebear has reached. A round that
+    ends no chain leaves only those that never end.
+    """
+    known = forks.select("path", "parent").distinct()
+    there = known.select(F.col("path").alias("at"), F.lit(True).alias("there"))
+    first = known.withColumn("at", F.col("parent")).join(there, "at", "left")
+    end = F.when(F.col("at").isNull(), "ok").when(F.col("there").isNull(), "missing")
+    now = cut(first.select("path", F.when(F.col("there"), F.col("at")).alias("at"), F.when(F.col("at").isNull(), 0).otherwise(1).cast("long").alias("depth"), end.alias("state")), "ancestors")
+    left = None
+    while (open_ := now.where("state IS NULL").count()) and open_ != left:
+        left = open_
+        far = now.select(F.col("path").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("state").alias("met"))
+        step = now.join(far, "at", "left")
+        then = cut(step.select("path", F.when(F.col("state").isNull(), F.col("next")).alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("state", "met").alias("state")), "ancestors")
+        drop_cut(now)
+        now = then
+    return now.select("path", F.when(F.col("state").isNotNull(), F.col("depth")).alias("depth"), F.coalesce("state", F.lit("cycle")).alias("state"))
+
+
+def thread_kind(thread_source: Column, source: Column) -> Column:
+    """subagent, main or unknown; source is the field as JSON, an object or a plain word."""
+    spawned = (thread_source == "subagent") | F.get_json_object(source, "$.subagent").isNotNull()
+    return F.when(F.coalesce(spawned, F.lit(False)), "subagent").when((thread_source == "user") | source.isin("cli", '"cli"'), "main").otherwise("unknown")
+
+
+def id_of_path(path: Column) -> Column:
+    """The session id at the end of a file's name, else the name without rollout-."""
+    name = F.regexp_replace(F.regexp_extract(path, r"([^/]+)\z", 1), r"(?<=.)\.[^.]*\z", "")
+    hexes = F.regexp_extract(name, r"([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\z", 1)
+    return F.when(hexes != "", hexes).otherwise(F.regexp_replace(name, r"\Arollout-", ""))

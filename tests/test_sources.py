@@ -50,8 +50,14 @@ def test_forks(spark):
     forks = spark.createDataFrame([("c", "p"), ("p", None)], "path string, parent string")
     assert sorted((r.path, r.turn) for r in rollouts.fork_delta(sessions, forks).collect()) == [("c", 2), ("c", 3), ("c", 4), ("p", 1), ("p", 2), ("p", 3)]
     chain = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "gone"), ("y", "z"), ("z", "y")], "path string, parent string")
-    assert {r.path: (r.depth, r.state) for r in rollouts.ancestors(chain, 4).collect() if r.state != "cycle"} == {"a": (0, "ok"), "b": (1, "ok"), "c": (2, "ok"), "x": (1, "missing")}
-    assert {r.path for r in rollouts.ancestors(chain, 4).where("state = 'cycle'").collect()} == {"y", "z"}
+    found = {r.path: (r.depth, r.state) for r in rollouts.ancestors(chain).collect()}
+    assert found["y"] == found["z"] == (None, "cycle")
+    long = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(100)] + [("lost", "nobody"), ("after", "lost")], "path string, parent string")
+    depths = {r.path: (r.depth, r.state) for r in rollouts.ancestors(long).collect()}
+    assert all(depths[str(i)] == (i, "ok") for i in range(100)) and depths["lost"] == (1, "missing") and depths["after"] == (2, "missing")
+    assert rollouts.ancestors(chain.limit(0)).collect() == []
+    assert {k: v for k, v in found.items() if v[1] != "cycle"} == {"a": (0, "ok"), "b": (1, "ok"), "c": (2, "ok"), "x": (1, "missing")}
+    assert {r.path for r in rollouts.ancestors(chain).where("state = 'cycle'").collect()} == {"y", "z"}
 
 
 WEB = """> From: https://chatgpt.com/c/1
