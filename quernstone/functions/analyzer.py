@@ -97,3 +97,21 @@ def _batch(texts: pd.Series) -> pd.Series:
 def analyzed(text: Column) -> Column:
     """Terms of a text; stemming has no builtin, so Arrow batches go to Python."""
     return F.pandas_udf(_batch, ArrayType(StringType()))(text)
+
+
+POSTING = "array<struct<term: string, tf: long, positions: array<int>>>"
+
+
+def _counted(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> list[tuple[str, int, list[int]]]:
+        places: dict[str, list[int]] = {}
+        for i, term in enumerate(analyze(text)):
+            places.setdefault(term, []).append(i)
+        return [(t, len(at), at) for t, at in sorted(places.items())]
+
+    return texts.map(one)
+
+
+def counted_terms(text: Column) -> Column:
+    """POSTING of a text: its terms with counts and places, made in the batch that stems them, so that postings need no shuffle."""
+    return F.pandas_udf(_counted, POSTING)(text)

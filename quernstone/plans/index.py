@@ -1,4 +1,5 @@
-"""Immutable, versioned indexes: postings, positions, lengths and items as Parquet, found by the digest of their content.
+"""Immutable, versioned indexes: postings with positions, lengths, items by bundle, and where each item is, as Parquet, found by the
+digest of their content.
 
 A version is a folder idx_<20 hex> with the tables and a manifest table; numbered small tables under `published`
 name versions, the last one the current. A reader resolves `current` once and keeps to that version. Building what exists already is a no-op.
@@ -13,13 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions.analyzer import analyzed
+from quernstone.functions.analyzer import counted_terms
 from quernstone.functions.text import spaced_cjk
-from quernstone.operators.projection import invariant_violations
+from quernstone.operators.projection import bundle_key, invariant_violations
 from quernstone.session import exists, versions
 
 VERSIONS = {"item_schema": "1.3", "analyzer": "porter-fold-1", "projection": "item-projection-v1"}
-TABLES = ("items", "postings", "lengths")
+TABLES = ("items", "seeds", "postings", "lengths")
 
 
 class IndexFault(ValueError):
@@ -35,8 +36,8 @@ def content_digest(items: DataFrame) -> str:
 def postings(items: DataFrame) -> DataFrame:
     """(term, item_id, field, tf, positions) of titles and bodies after the analyzer."""
     fields = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), spaced_cjk(F.col(c)).alias("text")) for f, c in (("title", "source_title"), ("body", "body")))))
-    words = items.select("item_id", fields.alias("x")).select("item_id", "x.field", F.posexplode(analyzed(F.col("x.text"))).alias("pos", "term"))
-    return words.groupBy("term", "item_id", "field").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    found = items.select("item_id", fields.alias("x")).select("item_id", "x.field", F.explode(counted_terms(F.col("x.text"))).alias("p"))
+    return found.select("p.term", "item_id", "field", "p.tf", "p.positions")
 
 
 def build(items: DataFrame, root: str, check: bool = True) -> str:
@@ -50,7 +51,9 @@ def build(items: DataFrame, root: str, check: bool = True) -> str:
     home = f"{root}/{index_id}"
     if exists(spark, f"{home}/manifest/_SUCCESS"):
         return index_id
-    items.repartitionByRange("item_id").sortWithinPartitions("item_id").write.mode("overwrite").parquet(f"{home}/items")
+    keyed = items.withColumn("bundle_key", bundle_key(F.col("source_path"), F.col("session_id"), F.col("turn_index"), F.col("locator")))
+    keyed.repartitionByRange("bundle_key").sortWithinPartitions("bundle_key").write.mode("overwrite").parquet(f"{home}/items")  # a bundle is one place
+    spark.read.parquet(f"{home}/items").select("item_id", "bundle_key").repartitionByRange("item_id").sortWithinPartitions("item_id").write.mode("overwrite").parquet(f"{home}/seeds")
     found = postings(items)
     found.repartitionByRange("term").sortWithinPartitions("term", "item_id").write.mode("overwrite").parquet(f"{home}/postings")  # row groups can be skipped by a term's range
     stored = spark.read.parquet(f"{home}/postings")

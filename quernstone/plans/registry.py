@@ -552,6 +552,7 @@ def projected_items(spark, sf_dir):
 @query()
 def analyzed_postings(spark, sf_dir):
     """Postings after stemming and folding of diacritics."""
-    from quernstone.functions.analyzer import analyzed
+    from quernstone.functions.analyzer import counted_terms
 
-    return documents(spark, sf_dir).select("doc_id", F.explode(analyzed(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    found = documents(spark, sf_dir).select("doc_id", F.explode(counted_terms(F.col("text"))).alias("p"))
+    return found.select("p.term", "doc_id", "p.tf")

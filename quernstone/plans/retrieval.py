@@ -12,7 +12,6 @@ from quernstone.functions.analyzer import folded, stem
 from quernstone.functions.markdown import tokens
 from quernstone.functions.snippets import safe_prefix, snippet
 from quernstone.operators import search as ranking
-from quernstone.operators.projection import bundle_key
 from quernstone.plans import query as requests
 from quernstone.plans.index import Index
 
@@ -88,7 +87,7 @@ class Retrieval:
         for r in ranked:
             key = (0, 0) if r["query_ix"] == 0 else (r["rank"], r["query_ix"])
             best[r["item_id"]] = min(best.get(r["item_id"], (99, 99)), key)
-        items = {r["item_id"]: r for r in self.with_bundles().where(F.col("item_id").isin([r["item_id"] for r in fused])).collect()}
+        items = {r["item_id"]: r for r in self.items([r["item_id"] for r in fused])}
         results = []
         for r in sorted(fused, key=lambda r: r["final_rank"]):
             item = items.get(r["item_id"])
@@ -102,8 +101,12 @@ class Retrieval:
                 return out
         raise RetrievalError("budget_too_small", "not even an empty response fits")
 
-    def with_bundles(self) -> DataFrame:
-        return self.index.table("items").withColumn("bundle_key", bundle_key(F.col("source_path"), F.col("session_id"), F.col("turn_index"), F.col("locator")))
+    def items(self, ids: Sequence[str]) -> list:
+        """A few items by id: their bundles are looked up first, by which the items are sorted."""
+        places = self.index.table("seeds").where(F.col("item_id").isin(*ids)).collect()
+        if not places:
+            return []
+        return self.index.table("items").where(F.col("bundle_key").isin(*sorted({p["bundle_key"] for p in places})) & F.col("item_id").isin(*ids)).collect()
 
     def read_item(self, item_id: str, index_id: str, max_tokens: int = READ_TOKENS) -> dict:
         """One item, cut at a safe place."""
@@ -114,7 +117,7 @@ class Retrieval:
     def _seed(self, item_id: str, index_id: str):
         if index_id != self.index.index_id:
             raise RetrievalError("index_mismatch", "the request names another index")
-        found = self.with_bundles().where(F.col("item_id") == item_id).limit(2).collect()
+        found = self.items([item_id])
         if len(found) != 1:
             raise RetrievalError("item_not_found", "no such item")
         return found[0]
@@ -122,7 +125,7 @@ class Retrieval:
     def read_bundle(self, item_id: str, index_id: str, max_tokens: int = MAX_TOKENS) -> dict:
         """The seed's section: the seed first, then the nearest parts, as long as they fit; damage fails the whole read."""
         seed = self._seed(item_id, index_id)
-        found = self.with_bundles().where((F.col("source_path") == seed["source_path"]) & (F.col("bundle_key") == seed["bundle_key"])).collect()  # one section or exchange
+        found = self.index.table("items").where((F.col("bundle_key") == seed["bundle_key"]) & (F.col("source_path") == seed["source_path"])).collect()  # one section or exchange
         members = sorted(found, key=lambda m: (m["role"] == "assistant", m["part"]))
         links = [m["item_id"] for m in members]
         for role in {m["role"] for m in members}:

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 ENTRY = "version int, timestamp timestamp, importer string, changes array<struct<action: string, path: string, sha256: string>>"
 
 
+#: Changes of one record; a larger batch is several records.
+RECORD_CHANGES = 10_000
+
+
 def append(changes: DataFrame, path: str, importer: str, timestamp: str) -> None:
-    """One record with all changes (path, action, sha256) of a batch; the writer's commit makes it visible as a whole."""
-    entry = changes.agg(F.array_sort(F.collect_list(F.struct("action", "path", "sha256"))).alias("changes"))  # one record a batch, as the format has it
-    entry = entry.where(F.size("changes") > 0).select(F.lit(1).alias("version"), F.lit(timestamp).cast("timestamp").alias("timestamp"), F.lit(importer).alias("importer"), "changes")
-    entry.coalesce(1).write.mode("append").json(path)
+    """Records of a batch's changes (path, action, sha256); the writer's commit makes them visible as a whole."""
+    part = F.pmod(F.xxhash64("path"), F.lit(max(1, -(-changes.count() // RECORD_CHANGES))))
+    entry = changes.groupBy(part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("action", "path", "sha256"))).alias("changes"))
+    entry.select(F.lit(1).alias("version"), F.lit(timestamp).cast("timestamp").alias("timestamp"), F.lit(importer).alias("importer"), "changes").write.mode("append").json(path)
 
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
