@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quernstone.functions.text import clean_message, redact, redaction_count
+
 
 def unchanged(planned: DataFrame, manifest: DataFrame, version: int) -> DataFrame:
     """planned rows with `unchanged`: the same hash and importer version as registered, and an output."""
@@ -107,3 +109,30 @@ def inventory_order(units: DataFrame) -> DataFrame:
 def repeated_outputs(manifest: DataFrame) -> DataFrame:
     """(output_path, sources): outputs of several sources."""
     return manifest.where("output_path IS NOT NULL").groupBy("output_path").agg(F.count(F.lit(1)).alias("sources")).where("sources > 1")
+
+
+def session_pages(sessions: DataFrame, exchanges: DataFrame) -> DataFrame:
+    """(session, text): standardised pages of sessions (session, title, metadata map, notes array of paragraphs that stand before the
+    exchanges, such as where it was forked and what a review left out).
+
+    exchanges: (session, turn, user_text, assistant_text, user_locator, user_locators array of all its messages, assistant_locator,
+    recovered). Texts are cleaned and secrets taken out; an exchange whose either side is empty then is left out; metadata gets the
+    counts of exchanges and of what was taken out.
+    """
+    sides = ("user_text", "assistant_text")
+    clean = {c: clean_message(F.col(c)) for c in sides}
+    rows = exchanges.select("session", "turn", "user_locator", "user_locators", "assistant_locator", "recovered", *(redact(clean[c]).alias(c) for c in sides), (redaction_count(clean["user_text"]) + redaction_count(clean["assistant_text"])).alias("secrets")).where("user_text <> '' AND assistant_text <> ''")
+    field = lambda name, value: F.concat(F.lit(f"- **{name}**: "), value, F.lit("\n"))
+    code = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    several = lambda e: F.when(F.size(e["user_locators"]) > 1, F.concat(field("User message count", F.size(e["user_locators"]).cast("string")), F.array_join(F.transform(e["user_locators"], lambda x, i: F.concat(F.lit("- **User message "), (i + 1).cast("string"), F.lit(" locator**: "), code(x), F.lit("\n"))), ""))).otherwise("")
+    page = lambda e, i: F.concat(
+        F.lit("## Exchange "), (i + 1).cast("string"), F.lit("\n\n"), field("Turn", e["turn"].cast("string")), field("User locator", code(e["user_locator"])), several(e),
+        F.when(e["recovered"], F.lit("- **Recovered incomplete sequence**: true\n")).otherwise(""), field("Assistant locator", code(e["assistant_locator"])),
+        F.lit("\n### Human user\n\n"), e["user_text"], F.lit("\n\n### Assistant final\n\n"), e["assistant_text"],
+    )
+    ordered = rows.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("turn", "user_locator", "user_locators", "assistant_locator", "recovered", *sides))).alias("x"), F.sum("secrets").alias("secrets"))
+    met = sessions.join(ordered, "session", "left").withColumns({"x": F.coalesce("x", F.array()), "title": redact(F.col("title")), "secrets": F.coalesce("secrets", F.lit(0)) + redaction_count(F.col("title"))})
+    counts = F.create_map(F.lit("exchange_count"), F.size("x").cast("string"), F.lit("redaction_count"), F.col("secrets").cast("string"), F.lit("title"), F.col("title"))
+    kept = F.map_filter("metadata", lambda k, _: ~k.isin("exchange_count", "redaction_count", "title"))
+    parts = F.concat(F.array(F.concat(F.lit("# "), F.col("title"))), F.transform("notes", lambda n: F.concat(F.lit("> "), n)), F.transform("x", page))
+    return met.select("session", rendered(F.map_concat(kept, counts), F.array_join(parts, "\n\n")).alias("text"))

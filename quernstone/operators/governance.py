@@ -124,3 +124,17 @@ def log_differences(log: DataFrame, history: DataFrame) -> DataFrame:
         return ends.select("path", action.alias("action"), F.col("last.sha256").alias("sha256")).where("action IS NOT NULL").select("path", F.concat_ws(" ", "action", "sha256").alias(name))
 
     return net(log, "logged").join(net(history, "committed"), "path", "full_outer").where("NOT logged <=> committed")
+
+
+def asset_problems(assets: DataFrame, files: DataFrame, root: str = "sources/assets/") -> DataFrame:
+    """(source_id, path, problem) of registered assets (source_id, path, sha256): outside the assets' folder, missing, or changed.
+    files: (path, sha256) as they are."""
+    inside = F.col("path").startswith(root) & ~F.col("path").rlike(r"\\|(\A|/)\.{0,2}(/|\z)")
+    met = assets.join(files.select("path", F.col("sha256").alias("now")), "path", "left")
+    problem = F.when(F.col("path").isNull() | F.col("sha256").isNull(), "invalid record").when(~inside, "outside").when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("sha256"), "changed")
+    return met.select("source_id", "path", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def common(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys of both sides."""
+    return left.select(key).distinct().join(right.select(key), key, "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import clean_message, meaningless_exchange, noise
+from quernstone.operators.governance import first_reason
 from quernstone.session import cut, drop_cut
 
 RECORD = "timestamp string, type string, payload struct<type: string, role: string, phase: string, id: string, timestamp: string, cwd: string, thread_source: string, forked_from_id: string, content: array<struct<type: string, text: string>>>"
@@ -146,3 +147,57 @@ def id_of_path(path: Column) -> Column:
     name = F.regexp_replace(F.regexp_extract(path, r"([^/]+)\z", 1), r"(?<=.)\.[^.]*\z", "")
     hexes = F.regexp_extract(name, r"([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\z", 1)
     return F.when(hexes != "", hexes).otherwise(F.regexp_replace(name, r"\Arollout-", ""))
+
+
+def line_counts(records: DataFrame, invalid: DataFrame) -> DataFrame:
+    """A row for each file: how many records of each kind a session's page leaves out, and its lines that are no JSON (0 if none).
+
+    records: (path, record) with RECORD; invalid: (path, invalid)."""
+    p, t = F.col("record.payload"), F.col("record.type")
+    item, event = t == "response_item", t == "event_msg"
+    said = item & (p["type"] == "message")
+    kinds = {
+        "developer": said & (p["role"] == "developer"),
+        "commentary": said & (p["role"] == "assistant") & (p["phase"] == "commentary"),
+        "unphased": said & (p["role"] == "assistant") & p["phase"].isNull(),
+        "tool_calls": item & p["type"].isin(*TOOL_CALLS),
+        "tool_results": item & p["type"].isin(*TOOL_RESULTS),
+        "reasoning": item & (p["type"] == "reasoning"),
+        "compactions": (t == "compacted") | (event & (p["type"] == "context_compacted")),
+        "interrupted": event & (p["type"] == "turn_aborted"),
+        "runtime_users": said & (p["role"] == "user") & human_text(joined_text(p["content"], "input_text")).isNull(),
+    }
+    counts = records.groupBy("path").agg(*(F.count_if(holds).alias(name) for name, holds in kinds.items()))
+    return counts.join(invalid, "path", "full_outer").na.fill(0, [*kinds, "invalid"])
+
+
+def turn_counts(per_turn: DataFrame, found: DataFrame) -> DataFrame:
+    """A row for each file: turns of each ending, those whose messages don't make one exchange, and the exchanges that came of them.
+
+    per_turn: turns(); found: exchanges()."""
+    users, finals = F.size("users"), F.size("finals")
+    ends = {"active_open": F.col("terminal") == "active", "superseded": F.col("terminal") == "superseded"}
+    shapes = {"ambiguous_finals": finals > 1, "unpaired": (users > 0) & (finals == 0), "multi_user": (users > 1) & (finals == 1)}
+    a = per_turn.groupBy("path").agg(F.sum(users).cast("long").alias("users"), *(F.count_if(holds).alias(name) for name, holds in (ends | shapes).items()))
+    b = found.groupBy("path").agg(F.count_if(~F.col("trivial")).alias("exchanges"), F.count_if("trivial").alias("trivial"), F.count_if("recovered").alias("recovered"))
+    return a.join(b, "path", "left").na.fill(0, ["exchanges", "trivial", "recovered"])
+
+
+#: Why a session isn't imported, the first reason first, and when.
+SKIPS = (
+    ("subagent_excluded", "thread_kind = 'subagent'"),
+    ("thread_kind_review", "thread_kind <> 'main'"),
+    ("review_resolution_mismatch_review", "resolution = 'mismatch'"),
+    ("invalid_jsonl_review", "invalid > 0 AND resolution <> 'match'"),
+    ("active_session_deferred", "active_open > 0"),
+    ("turn_boundary_review", "superseded > 0 AND resolution <> 'match' OR ambiguous_finals > 0"),
+    ("no_human_user", "users = 0"),
+    ("trivial_session", "exchanges = 0 AND trivial = users"),
+    ("no_final_visible", "exchanges = 0"),
+)
+
+
+def with_skip_reason(units: DataFrame) -> DataFrame:
+    """units with skip_reason, "" if nothing speaks against them. units has thread_kind, resolution and the counts that SKIPS names."""
+    reasons = first_reason(*((code, F.expr(holds)) for code, holds in SKIPS))
+    return units.withColumn("skip_reason", F.coalesce(F.get(reasons, F.lit(0)), F.lit("")))
