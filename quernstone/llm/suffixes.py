@@ -44,7 +44,7 @@ from quernstone.llm.skew import split_join
 from quernstone.session import cut, drop_cut, ship
 
 LENGTH, GRAM, PERIOD = 200, 48, 64
-BUCKET_KINDS, PARTS = 2048, 4
+BUCKET_KINDS, PARTS = 256, 4
 BLOCK = 1 << 20
 BASE = 0xA0761D6478BD642F
 WORD = 1 << 64
