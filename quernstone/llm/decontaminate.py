@@ -351,10 +351,12 @@ def verified(pairs: DataFrame, edit: float, free: bool) -> DataFrame:
 def leaks(df: DataFrame, benchmark: DataFrame, edit: float = EDIT, id_col: str = "doc_id", text_col: str = "text", free_ends: bool = False) -> DataFrame:
     """(id, item_id, start_word, n_words, distance): the best window of each document and item that it leaks, and its words."""
     ship(df.sparkSession)
-    items = item_table(benchmark)
+    named = item_table(benchmark).withColumn("kind", F.sha2(F.concat_ws(",", F.col("tokens").cast("array<string>")), 256))
+    items = named.dropDuplicates(["kind"]).drop("item_id").withColumnRenamed("kind", "item_id")  # equal items are searched for once
     found = cut(candidate_regions(df, items, edit, id_col, text_col), "regions")
-    index = items.select("item_id", F.col("tokens").alias("item_tokens"), F.explode("keys").alias("key"))
-    near = found.select("region", F.explode("keys").alias("key")).join(index.select("item_id", "key"), "key").select("region", "item_id").distinct()
+    index = items.select("item_id", F.explode("keys").alias("key"))
+    near = found.select("region", F.explode("keys").alias("key")).join(index, "key").select("region", "item_id").distinct()
     pairs = near.join(found.dropDuplicates(["region"]).drop("keys"), "region").join(items.select("item_id", F.col("tokens").alias("item_tokens")), "item_id")
     best = verified(pairs, edit, free_ends).groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start", "n_words")).alias("b"))
+    best = best.withColumnRenamed("item_id", "kind").join(named.select("kind", "item_id"), "kind")
     return best.select(F.col("doc_id").alias(id_col), "item_id", F.col("b.start").alias("start_word"), F.col("b.n_words").alias("n_words"), F.col("b.distance").alias("distance"))

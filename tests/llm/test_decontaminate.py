@@ -154,3 +154,21 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
     assert d.leaks(docs, none).collect() == [] and d.leaks(docs.limit(0), none).collect() == []
+
+
+def test_equal_items_are_all_named(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(2000)}" for _ in range(30)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words).upper()), (None, " ".join(words)), (4, "other things entirely, of another text")], "item_id long, text string")
+    docs = spark.createDataFrame([(7, "so " + " ".join(words) + " end"), (8, "nothing of it")], "doc_id long, text string")
+    out = d.leaks(docs, bench, free_ends=True).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in out), key=str) == sorted([(7, 1), (7, 2), (7, None)], key=str)
+
+
+def test_filters_grow_with_their_entries():
+    rng = np.random.default_rng(3)
+    for n in (1, 1000, 50_000):
+        held, other = (rng.integers(0, 2**63, n, np.uint64) for _ in "ab")
+        f = d.Filter(d.Filter.bits(n))
+        f.add(held)
+        assert f.has(held).all() and f.has(other).mean() < 1e-3
