@@ -309,10 +309,12 @@ def candidate_regions(df: DataFrame, items: DataFrame, edit: float, id_col: str,
                         low = local[at + row] - spare - (longest - 1 if back else 0)
                         begun.append(np.stack([part[at + row], low, keys[row, column].view(np.int64)]))
                 own, low, keys = np.concatenate(begun, 1)
+                if not len(own):
+                    continue
                 cell = low // longest  # windows that begin in one cell share a region
                 order = np.lexsort((low, cell, own))
                 own, low, keys, cell = own[order], low[order], keys[order], cell[order]
-                new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (cell[1:] != cell[:-1])])) if len(own) else np.zeros(0, np.int64)
+                new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (cell[1:] != cell[:-1])]))
                 rows, where, names, texts, kept = [], [], [], [], []
                 for k, to in zip(new, [*new[1:], len(own)], strict=True):
                     i, s = parts[own[k]][:2]
@@ -323,8 +325,7 @@ def candidate_regions(df: DataFrame, items: DataFrame, edit: float, id_col: str,
                     texts.append(text)
                     kept.append(np.unique(keys[k:to]))
                     names.append(blake2b(text.tobytes() + b"%d %d %r" % (begin, g, str(batch.column(0)[i].as_py()).encode()), digest_size=16).digest())
-                if rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(names, pa.binary()), pa.array(where, pa.int64()), pa.array(texts, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int64()))], ["doc_id", "region", "start", "tokens", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(names, pa.binary()), pa.array(where, pa.int64()), pa.array(texts, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int64()))], ["doc_id", "region", "start", "tokens", "keys"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, region binary, start long, tokens array<long>, keys array<long>")
 
