@@ -160,3 +160,10 @@ def test_export_messages(spark):
     assert counts["g"].skip_reason == "trivial_session" and counts["h"].skip_reason == counts["i"].skip_reason == "incomplete_session"
     out = sorted((r.turn, r.user_text, r.assistant_text, r.status) for r in transcripts.export_exchanges(rows).collect())
     assert out == [(3, "what is it?", "", "unpaired"), (5, "again", "said", "paired")]
+
+
+def test_metadata_projects_and_document_kinds(spark):
+    df = spark.createDataFrame([({"Api_Key": "abc", "note": "password=x", "title": "t"}, "/a/-home-me-code-x-/f.jsonl", "my-notes/a.md", "x"), ({}, "f", "a.md", "# Project: p\n## Project Memory: m"), ({"a": None}, "/--/f", "01-prompt-history.md", "")], "m map<string,string>, p string, path string, text string")
+    rows = df.select(text.redacted_map(F.col("m")).alias("m"), text.map_redaction_count(F.col("m")).alias("n"), text.project_of(F.col("p"), ("-home-me-", "-home-")).alias("project")).collect()
+    assert [(r.m, r.n, r.project) for r in rows] == [({"Api_Key": "[REDACTED]", "note": "password=[REDACTED]", "title": "t"}, 2, "code-x"), ({}, 0, "global"), ({"a": None}, 0, "global")]
+    assert [r.kind for r in transcripts.with_document_kind(df.select("path", "text")).collect()] == ["note", "instruction", "prompt-history"]
