@@ -17,6 +17,7 @@ from quernstone.operators import batches, exchanges, governance, ledger, project
 from quernstone.plans import index, ingest
 from quernstone.sources import files, notes, rollouts, transcripts
 from quernstone.session import table
+from quernstone.streaming import log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -543,6 +544,129 @@ def batch_plan(spark, sf_dir):
     return ingest.prepare(plans, units, nothing.manifest, nothing.inventory, nothing.outputs).stats.drop("skip_reasons")
 
 
+REVIEW_UNITS = """doc_id, CASE doc_id % 13 WHEN 0 THEN 'mismatch' WHEN 1 THEN 'match' ELSE '' END AS resolution, doc_id % 17 = 0 AS parse_error, CASE WHEN doc_id % 11 = 0 THEN 'unknown' ELSE source END AS provider, (doc_id % 7 = 0)::INT AS provider_mismatches, (doc_id % 19 = 0)::INT AS invalid_times,
+(doc_id % 23 = 0)::INT AS times_back, (doc_id % 29 = 0)::INT AS ambiguous, 0 AS escapes, (doc_id % 5 = 0)::INT AS missing, 0 AS unsupported, 0 AS sandbox_missing, (doc_id % 3 = 0)::INT AS citations, doc_id % 4 AS users, doc_id % 2 AS exchanges, doc_id % 3 AS trivial"""
+
+
+@query(f"""WITH u AS (SELECT {REVIEW_UNITS} FROM documents)
+SELECT doc_id, list_filter(['review_resolution_mismatch_review', 'web_chat_parse_review', 'provider_detection_review', 'provider_role_mismatch_review', 'message_time_review', 'message_time_order_review', 'assistant_branch_ambiguous_review', 'local_asset_missing_review', 'citation_targets_missing_review'],
+  lambda r, i: [resolution = 'mismatch', parse_error, provider = 'unknown', provider_mismatches > 0, invalid_times > 0, times_back > 0, ambiguous > 0, missing > 0, citations > 0 AND resolution <> 'match'][i]) AS reasons,
+  coalesce(reasons[1], CASE WHEN users = 0 THEN 'no_human_user' WHEN exchanges = 0 AND trivial = users THEN 'trivial_session' WHEN exchanges = 0 THEN 'no_final_visible' ELSE '' END) AS skip_reason FROM u""")
+def review_reasons(spark, sf_dir):
+    units = documents(spark, sf_dir).selectExpr(
+        "doc_id", "CASE doc_id % 13 WHEN 0 THEN 'mismatch' WHEN 1 THEN 'match' ELSE '' END AS resolution", "doc_id % 17 = 0 AS parse_error", "CASE WHEN doc_id % 11 = 0 THEN 'unknown' ELSE source END AS provider", "int(doc_id % 7 = 0) AS provider_mismatches",
+        "int(doc_id % 19 = 0) AS invalid_times", "int(doc_id % 23 = 0) AS times_back", "int(doc_id % 29 = 0) AS ambiguous", "0 AS escapes", "int(doc_id % 5 = 0) AS missing", "0 AS unsupported", "0 AS sandbox_missing", "int(doc_id % 3 = 0) AS citations",
+        "doc_id % 4 AS users", "doc_id % 2 AS exchanges", "doc_id % 3 AS trivial",
+    )
+    return transcripts.review_reasons(units).select("doc_id", "reasons", "skip_reason")
+
+
+@query("""WITH u AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'subagent' WHEN 1 THEN 'unknown' ELSE 'main' END AS kind, CASE doc_id % 7 WHEN 0 THEN 'mismatch' WHEN 1 THEN 'match' ELSE '' END AS resolution, doc_id % 5 % 2 AS invalid, (doc_id % 11 = 0)::INT AS open, doc_id % 4 % 3 % 2 AS superseded, (doc_id % 13 = 0)::INT AS finals, doc_id % 6 AS users, doc_id % 2 AS exchanges FROM documents)
+SELECT doc_id, CASE WHEN kind = 'subagent' THEN 'subagent_excluded' WHEN kind <> 'main' THEN 'thread_kind_review' WHEN resolution = 'mismatch' THEN 'review_resolution_mismatch_review' WHEN invalid > 0 AND resolution <> 'match' THEN 'invalid_jsonl_review' WHEN open > 0 THEN 'active_session_deferred'
+  WHEN superseded > 0 AND resolution <> 'match' OR finals > 0 THEN 'turn_boundary_review' WHEN users = 0 THEN 'no_human_user' WHEN exchanges = 0 AND users = 2 THEN 'trivial_session' WHEN exchanges = 0 THEN 'no_final_visible' ELSE '' END AS skip_reason FROM u""")
+def rollout_skip_reasons(spark, sf_dir):
+    units = documents(spark, sf_dir).selectExpr(
+        "doc_id", "CASE doc_id % 9 WHEN 0 THEN 'subagent' WHEN 1 THEN 'unknown' ELSE 'main' END AS thread_kind", "CASE doc_id % 7 WHEN 0 THEN 'mismatch' WHEN 1 THEN 'match' ELSE '' END AS resolution", "doc_id % 5 % 2 AS invalid",
+        "int(doc_id % 11 = 0) AS active_open", "doc_id % 4 % 3 % 2 AS superseded", "int(doc_id % 13 = 0) AS ambiguous_finals", "doc_id % 6 AS users", "doc_id % 2 AS exchanges", "2 AS trivial",
+    )
+    return rollouts.with_skip_reason(units).select("doc_id", "skip_reason")
+
+
+@query("""WITH e AS (SELECT conv_id, turn, role, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS t FROM conversations WHERE role IN ('user', 'assistant')),
+f AS (SELECT *, min(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id, t) AS ended, max(t) OVER (PARTITION BY conv_id) AS last FROM e WHERE t > 0)
+SELECT conv_id, t::BIGINT AS turn, count(*) FILTER (role = 'user') AS users, (count(*) FILTER (role = 'assistant' AND turn = ended)) AS finals, CASE WHEN max(ended) IS NOT NULL THEN 'complete' WHEN t = max(last) THEN 'active' ELSE 'superseded' END AS terminal FROM f GROUP BY conv_id, t""")
+def rollout_turns(spark, sf_dir):
+    """conversations as rollouts: a start before each user message, an end behind each answer."""
+    c = table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')")
+    user = F.array(F.struct(F.lit(0).alias("o"), F.lit("start").alias("kind")), F.struct(F.lit(1).alias("o"), F.lit("user").alias("kind")))
+    final = F.array(F.struct(F.lit(1).alias("o"), F.lit("final").alias("kind")), F.struct(F.lit(2).alias("o"), F.lit("complete").alias("kind")))
+    found = c.select(F.col("conv_id").alias("path"), "turn", "text", F.explode(F.when(F.col("role") == "user", user).otherwise(final)).alias("e")).select("path", (F.col("turn") * 3 + F.col("e.o")).alias("line"), "e.kind", "text", F.lit(False).alias("instructions"))
+    return rollouts.turns(found).select(F.col("path").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.size("users").cast("long").alias("users"), F.size("finals").cast("long").alias("finals"), "terminal")
+
+
+@query("""SELECT CASE WHEN doc_id % 2 = 0 THEN 'keep' ELSE 'delete' END AS action, 'a/' || doc_id AS path FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 'delete', 'out/5'""")
+def removal_plan(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    sources = d.selectExpr("string(doc_id) AS source_id", "concat('out/', doc_id) AS output_path", "CASE WHEN doc_id % 3 = 0 THEN '7' END AS duplicate_of", "cast(null as string) AS fork_parent_source_id")
+    owned = d.where("doc_id % 5 = 0").selectExpr("'5' AS source_id", "concat('a/', doc_id) AS path")
+    shared = d.where("doc_id % 2 = 0").selectExpr("'8' AS source_id", "concat('a/', doc_id) AS path")
+    return governance.removal_plan("5", sources, owned.unionByName(shared))
+
+
+@query("SELECT doc_id AS source_id FROM documents WHERE lang = 'en' AND n_chars >= 500")
+def unprocessed_sources(spark, sf_dir):
+    units = documents(spark, sf_dir).selectExpr("doc_id AS source_id", "CASE WHEN lang = 'en' THEN 'unprocessed' ELSE 'done' END AS curation_status", "CASE WHEN n_chars >= 500 THEN 'ready' ELSE 'review' END AS ingest_status", "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE string(n_chars) END AS created")
+    return governance.unprocessed(units).select("source_id")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 4 = 1 THEN 'subagent' WHEN doc_id % 3 = 1 OR doc_id % 4 = 2 THEN 'main' ELSE 'unknown' END AS kind, CASE WHEN doc_id % 2 = 0 THEN lpad(doc_id::VARCHAR, 8, '0') || '-1234-abcd-ef01-0123456789ab' ELSE 'x' || doc_id END AS id,
+coalesce(nullif(CASE WHEN source LIKE 'src1%' THEN source[5:] ELSE source END, ''), 'global') AS project FROM documents""")
+def rollout_identity(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    thread = F.when(F.col("doc_id") % 3 == 0, "subagent").when(F.col("doc_id") % 3 == 1, "user")
+    origin = F.when(F.col("doc_id") % 4 == 1, '{"subagent":{"a":1}}').when(F.col("doc_id") % 4 == 2, "cli")
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("d/rollout-2024-"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("-1234-abcd-ef01-0123456789ab.jsonl"))).otherwise(F.concat(F.lit("d/rollout-x"), "doc_id", F.lit(".jsonl")))
+    return d.select("doc_id", rollouts.thread_kind(thread, origin).alias("kind"), rollouts.id_of_path(name).alias("id"), T.project_of(F.concat(F.lit("p/"), "source", F.lit("/f")), ("src1",)).alias("project"))
+
+
+@query("""SELECT doc_id, '[REDACTED]' AS a, source AS b, 'password=[REDACTED]' AS c, 2::BIGINT AS n FROM documents""")
+def metadata_redaction(spark, sf_dir):
+    m = F.create_map(F.lit("API-key"), F.col("text"), F.lit("source"), F.col("source"), F.lit("note"), F.concat(F.lit("password="), "source"))
+    rows = documents(spark, sf_dir).select("doc_id", T.redacted_map(m).alias("m"), T.map_redaction_count(m).alias("n"))
+    return rows.select("doc_id", F.col("m")["API-key"].alias("a"), F.col("m")["source"].alias("b"), F.col("m")["note"].alias("c"), "n")
+
+
+@query("""SELECT doc_id AS source_id, CASE WHEN doc_id % 7 = 0 THEN 'outside' WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 3 = 0 THEN 'changed' END AS problem FROM documents WHERE problem IS NOT NULL""")
+def asset_problems(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    path = "concat(CASE WHEN doc_id % 7 = 0 THEN 'sources/assets/../' ELSE 'sources/assets/' END, doc_id) AS path"
+    assets = d.selectExpr("doc_id AS source_id", path, "sha2(text, 256) AS sha256")
+    there = d.where("doc_id % 5 <> 0").selectExpr(path, "CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE sha2(text, 256) END AS sha256")
+    return governance.asset_problems(assets, there).select("source_id", "problem")
+
+
+@query("""WITH m AS (SELECT doc_id AS id, lang FROM documents WHERE n_chars < 3000), p AS (SELECT doc_id AS id, CASE WHEN doc_id % 6 = 0 THEN 'xx' ELSE lang END AS lang FROM documents WHERE n_chars > 800)
+SELECT id AS source_id, 'raw source is gone' AS problem, NULL::VARCHAR AS left_value, NULL::VARCHAR AS right_value FROM m WHERE id NOT IN (SELECT id FROM p)
+UNION ALL SELECT id, 'raw source isn''t registered', NULL, NULL FROM p WHERE id NOT IN (SELECT id FROM m) UNION ALL SELECT id, 'lang', m.lang, p.lang FROM m JOIN p USING (id) WHERE m.lang <> p.lang""")
+def reparsed_differences(spark, sf_dir):
+    d = documents(spark, sf_dir).withColumnRenamed("doc_id", "source_id")
+    manifest = d.where("n_chars < 3000").withColumn("ingest_status", F.lit("ready"))
+    parsed = d.where("n_chars > 800").withColumn("lang", F.when(F.col("source_id") % 6 == 0, "xx").otherwise(F.col("lang")))
+    return governance.reparsed_differences(manifest, parsed, ["lang"])
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL WHEN doc_id % 4 = 2 THEN 'unknown' ELSE source END AS source, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE lang END AS author, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE text END AS body FROM documents""")
+def article_front_matter(spark, sf_dir):
+    """documents as articles: fields quoted or plain, blank ones, and front matter that isn't closed."""
+    head = F.concat(F.lit("---\nsource: "), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('"'), "source", F.lit('"'))).when(F.col("doc_id") % 4 == 2, "").otherwise(F.col("source")), F.lit("\n# a comment\nauthor: "), "lang", F.when(F.col("doc_id") % 4 == 3, "\n").otherwise("\n---\n"))
+    parsed = documents(spark, sf_dir).withColumn("x", files.front_matter(F.concat(head, "text")))
+    fields = files.article_metadata(F.col("x.metadata"))
+    return parsed.select("doc_id", F.when(F.col("x").isNotNull(), fields["source"]).alias("source"), F.when(F.col("x").isNotNull(), fields["author"]).alias("author"), "x.body")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def set_intersection(spark, sf_dir):
+    return governance.common(documents(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""WITH c AS (SELECT user_id AS path, ts, event_id, event_type FROM events) SELECT path, arg_max(CASE event_type WHEN 'view' THEN 'added' WHEN 'purchase' THEN 'deleted' ELSE 'updated' END, event_id) AS action FROM c GROUP BY path""")
+def log_latest_state(spark, sf_dir):
+    changes = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("timestamp"), F.when(F.col("event_type") == "view", "added").when(F.col("event_type") == "purchase", "deleted").otherwise("updated").alias("action"), F.lit(None).cast("string").alias("sha256"))
+    return log.latest_state(changes).select("path", "action")
+
+
+@query(PAIRS + """, q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY exchange) AS k FROM p WHERE n_assistant > 0 AND trim(user_text) <> '' AND trim(final_text) <> '')
+SELECT conv_id, '---' || chr(10) || 'exchange_count: "' || count(k) || '"' || chr(10) || 'redaction_count: "0"' || chr(10) || 'title: t' || conv_id || chr(10) || '---' || chr(10) || chr(10) || '# t' || conv_id || chr(10) || chr(10) ||
+  string_agg('## Exchange ' || k || chr(10) || chr(10) || '- **Turn**: ' || exchange || chr(10) || '- **User locator**: `u`' || chr(10) || '- **Assistant locator**: `a`' || chr(10) || chr(10) || '### Human user' || chr(10) || chr(10) || 'q' || length(user_text) || chr(10) || chr(10) || '### Assistant final' || chr(10) || chr(10) || 'r' || length(final_text), chr(10) || chr(10) ORDER BY k) || chr(10) AS page
+FROM q GROUP BY conv_id""")
+def session_pages(spark, sf_dir):
+    pairs = exchanges.pair(messages(spark, sf_dir)).where("n_assistant > 0 AND trim(user_text) <> '' AND trim(final_text) <> ''")
+    rows = pairs.select("session", F.col("exchange").alias("turn"), F.concat(F.lit("q"), F.length("user_text")).alias("user_text"), F.concat(F.lit("r"), F.length("final_text")).alias("assistant_text"), F.lit("u").alias("user_locator"), F.array(F.lit("u")).alias("user_locators"), F.lit("a").alias("assistant_locator"), F.lit(False).alias("recovered"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    sessions = rows.select("session").distinct().select("session", F.concat(F.lit("t"), F.col("session").cast("string")).alias("title"), none.alias("metadata"), F.array().cast("array<string>").alias("notes"))
+    return batches.session_pages(sessions, rows).select(F.col("session").alias("conv_id"), F.col("text").alias("page"))
+
+
 @query()
 def projected_items(spark, sf_dir):
     """Sections and chunks of the documents with ids and links: sequential text algorithms, held against checks in the tests."""
