@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,9 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
         for path in sorted(root.rglob("*.py")):
             out.write(path, str(path.relative_to(root.parent)))
-    name = os.path.join(tempfile.mkdtemp(prefix="quernstone-"), "quernstone_pkg.zip")
+    folder = tempfile.mkdtemp(prefix="quernstone-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = os.path.join(folder, "quernstone_pkg.zip")
     Path(name).write_bytes(held.getvalue())
     context.addPyFile(name)  # the driver's file server hands it out; executors don't need this path
     context.setLocalProperty(_SHIPPED, "yes")
@@ -73,19 +76,41 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n) for n in names if n.isdigit() and exists(spark, f"{path}/{n}/_SUCCESS"))
 
 
+#: What cut() wrote inside each open results_only(), the innermost last.
+_WRITTEN: list[list[str]] = []
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame that cut() returned, once nothing reads it any more."""
-    spark = df.sparkSession
     files = df.inputFiles()
     if files:
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def results_only(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """cut() of what make() returns; whatever else cut() wrote on the way is deleted then."""
+    _WRITTEN.append([])
+    try:
+        out = make()
+        before = list(_WRITTEN[-1])
+        stored = cut(out, label)
+        for path in before:
+            _delete(out.sparkSession, path)
+    finally:
+        _WRITTEN.pop()
+    return stored
