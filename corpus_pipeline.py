@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import bpe, decontaminate, minhash, pii, toxicity
 from quernstone.llm.queries import vocabulary
-from quernstone.session import cut, table
+from quernstone.session import cut, drop_cut, results_only, table
 
 
 #: Column of the rows' own numbers.
@@ -68,10 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's result is written and read back."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs, name)
-    return docs
+    """All stages over the documents; each stage's result is written and read back. What a stage wrote on the way, and the result
+    before it, are deleted once its own is there."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = results_only(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        if before:
+            drop_cut(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -44,7 +44,7 @@ EDIT = 0.2
 LEAST_BITS, MOST_BITS, HASHES = 16, 29, 6
 WALKS, DRAWS, SAMPLED, SEED = 16, 4, 4, 11
 WORDS = re.compile(r"[^\W_]+")
-WORD_TABLE = 300_000
+WORD_TABLE = 100_000
 #: Windows embedded at a time.
 BLOCK = 4096
 

@@ -45,7 +45,7 @@ BANDS, ROWS, SEED = 24, 4, 20_240_601
 AGREE = 55
 #: Members of a block in the block round; candidates of one centre that share a copy of its set.
 BLOCK, PAIRS = 256, 256
-WORD_TABLE = 300_000
+WORD_TABLE = 100_000
 CHUNK = 4096
 
 

@@ -1,7 +1,7 @@
 """Personal data: base patterns, and a skip-chain conditional random field over all candidates of a document.
 
 Base: leftmost, non-overlapping matches of each kind that also pass the kind's test; a match that fails is dropped.
-Candidates of the field are the base spans and looser strings: digit groups with separators, tokens with "@", spelt-out
+Candidates of the field are the base spans and looser strings: digit groups with separators, spelt-out
 addresses. Each candidate is a node with the labels none, email, ip, card and phone. Node potentials come from its
 shape, its base kind and the words around it; chain edges join neighbours; skip edges join successive candidates
 with equal digits, equal last seven digits or equal letters, however far apart. Loopy sum-product messages run to a

@@ -50,7 +50,7 @@ LONGEST = 2 * WIDTH
 #: Gapped and stretched forms of each toxic word; the machine's ridge penalty a row.
 VIRTUAL, RIDGE = 12, 1e-3
 TRAIN_ROWS = 6000
-WORD_TABLE = 600_000
+WORD_TABLE = 200_000
 #: Characters rated at a time; one word is never divided.
 CHUNK = 1 << 15
 SHORT_RUN = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}(?!\S))+")
@@ -252,6 +252,11 @@ class Model:
                 at, size = i + 1, 0
         return np.concatenate(out) if out else np.zeros(0)
 
+    def emptied(self) -> Model:
+        """This model without the words that a task before it met; Python workers are used again, so tables would add up."""
+        self.known.clear()
+        return self
+
     def learn(self, bags: list[set[str]]) -> None:
         """Put the values of words not met before into the table, all at once."""
         new = list(set().union(*bags).difference(self.known))
@@ -439,7 +444,7 @@ def turn(held: DataFrame, model: Model) -> tuple[dict[str, float], dict[str, flo
     sent = held.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = sent.value.emptied()
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
@@ -459,7 +464,7 @@ def bag_features(held: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]
     sent = held.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = sent.value.emptied()
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
@@ -499,13 +504,14 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     sent, kind = df.sparkSession.sparkContext.broadcast(model), df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = sent.value.emptied()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 p = own.scores(part.column(1).to_pylist())
                 held = [held_out(x) if x is not None else False for x in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
+        own.emptied()
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
@@ -516,10 +522,11 @@ def kept(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = sent.value.emptied()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 yield part.filter(pa.array(own.scores(part.column(at).to_pylist()) < 0.5))
+        own.emptied()
 
     return df.mapInArrow(run, df.schema)

@@ -52,6 +52,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         F.when(slash == 0, F.lit("")).otherwise(F.substring(F.col("rule"), slash, F.length("rule"))).alias("rule_path"),
     ).where("rule_host <> ''")
     hashed = split.select("rule", "rule_verdict", F.length("rule").alias("rule_len"), F.length("rule_host").alias("host_len"), F.sha2(F.concat("rule_host", "rule_path"), 256).alias("rule_digest")).withColumn("short", short(F.col("rule_digest")))
+    # distinct lengths of the rules' paths: no more than the longest path has characters
     lengths = sorted(r[0] for r in split.select(F.length("rule_path")).distinct().collect())
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
