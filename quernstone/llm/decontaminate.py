@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from quernstone.session import cut, ship
 
 EDIT = 0.2
-#: Bounds of a filter's bits (as powers of two; the larger is 64 MB), and places an entry.
+#: Bounds of a filter's bits (as powers of two; the larger is 64 MB), and bits that an entry sets.
 LEAST_BITS, MOST_BITS, HASHES = 16, 29, 6
 WALKS, DRAWS, SAMPLED, SEED = 16, 4, 4, 11
 WORDS = re.compile(r"[^\W_]+")
@@ -80,33 +80,33 @@ def word_hashes(s: np.ndarray) -> np.ndarray:
     return s ^ np.uint64(0xA0761D6478BD642F)
 
 
+@lru_cache(maxsize=1)
+def masks() -> np.ndarray:
+    """Words with HASHES random bits set."""
+    rng = np.random.default_rng(SEED)
+    bits = np.argsort(rng.random((4096, 64)), axis=1)[:, :HASHES].astype(np.uint64)
+    return np.bitwise_or.reduce(np.uint64(1) << bits, axis=1)
+
+
 class Filter:
-    """A Bloom filter of 2**size bits with HASHES places an entry, packed."""
+    """A blocked Bloom filter of 2**size bits: an entry sets HASHES bits of one 64-bit word, so that one look finds it."""
 
     def __init__(self, size: int, data: np.ndarray | None = None):
-        self.size, self.data = size, np.zeros(1 << size >> 3, np.uint8) if data is None else data
+        self.size, self.data = size, np.zeros(1 << size >> 6, np.uint64) if data is None else data
 
     @staticmethod
     def bits(entries: int) -> int:
         """Size for so many entries: 32 to 64 bits each, within LEAST_BITS and MOST_BITS."""
         return min(MOST_BITS, max(LEAST_BITS, (32 * entries - 1).bit_length()))
 
-    def places(self, h: np.ndarray, j: int) -> np.ndarray:
-        return (mixed(h + np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(64 - self.size)).astype(np.int64)
-
     def add(self, h: np.ndarray) -> None:
-        for j in range(HASHES):
-            at = self.places(h, j)
-            np.bitwise_or.at(self.data, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        h = mixed(h)
+        np.bitwise_or.at(self.data, (h >> np.uint64(70 - self.size)).astype(np.int64), masks()[(h & np.uint64(4095)).astype(np.int64)])
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(h.shape, bool)
-        left, flat = np.arange(h.size), h.ravel()
-        for j in range(HASHES):
-            at = self.places(flat if j == 0 else flat[left], j)
-            left = left[(self.data[at >> 3] >> (at & 7)) & 1 == 1]
-        out.ravel()[left] = True
-        return out
+        h = mixed(h)
+        mask = masks()[(h & np.uint64(4095)).view(np.int64)]
+        return self.data[(h >> np.uint64(70 - self.size)).view(np.int64)] & mask == mask
 
 
 def allowed(n: int, edit: float = EDIT) -> int:
@@ -261,7 +261,7 @@ def filters(items: DataFrame) -> tuple[Filter, Filter]:
     out = tuple(Filter(x) for x in sizes)
     for row in items.select("tokens", "keys").coalesce(8).mapInArrow(run, "pairs binary, keys binary").toLocalIterator():
         for own, data in zip(out, row, strict=True):
-            own.data |= np.frombuffer(data, np.uint8)
+            own.data |= np.frombuffer(data, np.uint64)
     return out
 
 
