@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quernstone.session import ship
+from quernstone.session import lean, ship
 
 #: Fixed value: the pattern of byte-level BPE vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -179,7 +179,7 @@ def encode(df: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "te
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(np.diff(offsets).astype(np.int64))], [id_col, "ids", "n_tokens"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long")
+    return df.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, ids array<int>, n_tokens long")
 
 
 def decode(df: DataFrame, file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -193,7 +193,7 @@ def decode(df: DataFrame, file: str, id_col: str = "doc_id", ids_col: str = "ids
             texts = [model.decode(np.array(x.as_py() or [], "<u4").tobytes()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
-    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return df.select(id_col, ids_col).mapInArrow(lean(run), f"`{id_col}` {kind}, text string")
 
 
 def digests(df: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,4 +212,4 @@ def digests(df: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "t
                 text_hex.append(hashlib.sha256(model.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.components import components
 from quernstone.llm.skew import split_join
-from quernstone.session import cut, drop_cut, ship
+from quernstone.session import cut, drop_cut, lean, ship
 
 BANDS, ROWS, SEED = 24, 4, 20_240_601
 #: A pair at the threshold agrees in fewer minima with probability 2e-7.
@@ -62,6 +62,11 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget() -> None:
+    """Empty the table of words."""
+    _WORDS.clear()
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
@@ -119,7 +124,7 @@ def signatures(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
                 sigs.append(signature(hashes, a, b).tobytes() if words else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.binary()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary())], ["id", "class", "n_shingles", "sig"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, class binary, n_shingles long, sig binary")
+    return df.select(id_col, text_col).mapInArrow(lean(run, forget), f"id {kind}, class binary, n_shingles long, sig binary")
 
 
 def bucketed(classes: DataFrame) -> DataFrame:
@@ -133,7 +138,7 @@ def bucketed(classes: DataFrame) -> DataFrame:
             at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(keys)], ["class", "n", "key"])
 
-    return classes.select("class", "n", "sig").mapInArrow(run, "class binary, n long, key long")
+    return classes.select("class", "n", "sig").mapInArrow(lean(run, forget), "class binary, n long, key long")
 
 
 def shingle_sets(df: DataFrame, k: int, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -153,7 +158,7 @@ def shingle_sets(df: DataFrame, k: int, wanted: DataFrame, id_col: str, text_col
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = wanted.join(texts, wanted["id"].eqNullSafe(texts["id"])).select("text", "class")
-    return found.mapInArrow(run, "class binary, hashes array<long>").dropDuplicates(["class"])
+    return found.mapInArrow(lean(run, forget), "class binary, hashes array<long>").dropDuplicates(["class"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quernstone.session import ship
+from quernstone.session import lean, ship
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -313,7 +313,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresho
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return df.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -330,4 +330,4 @@ def redacted(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD
                 texts.append(redact(text, base + more) if base or more else text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

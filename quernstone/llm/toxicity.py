@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.session import cut, drop_cut, ship
+from quernstone.session import cut, drop_cut, lean, ship
 
 OPEN, EXTEND, WIDTH = 0.3, 0.9, 14
 #: Power of the length norm: 1 would be the cosine, 0 none.
@@ -406,7 +406,7 @@ def bags(rows: DataFrame) -> DataFrame:
                 texts = part.column(1).to_pylist()
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([copy_key(t) for t in texts], pa.int64()), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string()))], ["id", "label", "copy", "words"])
 
-    found = rows.select("id", "text", "label").mapInArrow(run, f"id {kind}, label int, copy long, words array<string>")
+    found = rows.select("id", "text", "label").mapInArrow(lean(run), f"id {kind}, label int, copy long, words array<string>")
     return cut(found.groupBy("label", "copy").agg(F.min_by("words", "id").alias("words")).select("label", "words"), "bags")
 
 
@@ -421,7 +421,7 @@ def word_counts(held: DataFrame) -> DataFrame:
                 place = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(place), pa.array([f for x in found for f in x], pa.string())], ["label", "form"])
 
-    forms_of = held.select("label", "words").mapInArrow(run, "label int, form string")
+    forms_of = held.select("label", "words").mapInArrow(lean(run), "label int, form string")
     return forms_of.groupBy("form").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
 
 
@@ -452,8 +452,9 @@ def turn(held: DataFrame, model: Model) -> tuple[dict[str, float], dict[str, flo
                 found = own.worst([set(x) for x in part.column(1).to_pylist()])
                 words = [(y, f) for y, top in zip(labels, found, strict=True) for v, w in (top[:1] if y else top) if v > 0 or not y for f in forms(w)]
                 yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in words], pa.int32()), pa.array(own.windows([w for _, w in words]), pa.string())], ["label", "window"])
+        own.emptied()
 
-    found = held.mapInArrow(run, "label int, window string").groupBy("label", "window").agg(F.count(F.lit(1)).alias("n")).collect()
+    found = held.mapInArrow(lean(run), "label int, window string").groupBy("label", "window").agg(F.count(F.lit(1)).alias("n")).collect()
     sent.unpersist()
     of = lambda y: {r["window"]: float(r["n"]) for r in found if r["label"] == y}
     return {w.strip(FIRST + LAST): n for w, n in of(1).items()}, of(0)
@@ -470,8 +471,9 @@ def bag_features(held: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]
                 part = batch.slice(at, 100)
                 x = own.features([set(w) for w in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x[:, i]) for i in range(3))], ["label", "x", "y", "z"])
+        own.emptied()
 
-    rows = np.array(sorted(tuple(r) for r in held.mapInArrow(run, "label int, x double, y double, z double").collect()), float).reshape(-1, 4)
+    rows = np.array(sorted(tuple(r) for r in held.mapInArrow(lean(run), "label int, x double, y double, z double").collect()), float).reshape(-1, 4)
     sent.unpersist()
     return np.column_stack([rows[:, 1:], np.ones(len(rows))]), rows[:, 0]
 
@@ -513,7 +515,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
         own.emptied()
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return df.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
 
 def kept(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -529,4 +531,4 @@ def kept(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 yield part.filter(pa.array(own.scores(part.column(at).to_pylist()) < 0.5))
         own.emptied()
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

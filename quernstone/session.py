@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import io
 import os
@@ -10,9 +11,10 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "quernstone.shipped"
@@ -41,6 +43,29 @@ def ship(spark: SparkSession) -> None:
     context.setLocalProperty(_SHIPPED, "yes")
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: Arrow's, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *forget: Callable[[], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, whose task calls forget and gives freed memory back when it ends: Python workers are used again, and
+    what each holds adds up with the executor's own memory."""
+
+    def leaving_nothing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            _give_back()
+
+    return leaving_nothing
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: spark.checkpoint.dir, which driver and executors share.
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import random
+from pathlib import Path
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from quernstone.llm import bpe, minhash, pii
 from quernstone.llm.queries import vocabulary
+from quernstone.session import lean
 
 
 def test_stages(spark, tmp_path):
@@ -61,3 +66,31 @@ def test_rows_with_null_or_equal_ids(spark, tmp_path):
 def test_defaults():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "bpe"]
     assert minhash.near_duplicates.__defaults__[:2] == (5, 80) and pii.KINDS == ("email", "ip", "card", "phone")
+
+
+def test_tasks_leave_no_tables_in_workers(spark):
+    def held(batches):
+        from quernstone.llm import minhash
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(minhash._WORDS)] * batch.num_rows, pa.int64())], ["n"])
+
+    rows = spark.createDataFrame([(i, f"w{i} x{i} y{i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    assert len(minhash.signatures(rows, 2).collect()) == 400
+    assert {r.n for r in rows.mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_freed_memory_goes_back():
+    def run(batches):
+        for batch in batches:
+            held = [np.ones(8000) for _ in range(4000)]  # 256 MB in parts that the C library keeps
+            last = np.ones(8000)
+            del held
+            yield last
+
+    def mb():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    before = mb()
+    kept = list(lean(run)(iter([None])))
+    assert len(kept) == 1 and mb() - before < 100
