@@ -37,39 +37,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.session import cut, ship
+from quernstone.session import cut, lean, ship
 
 EDIT = 0.2
 #: Bounds of a filter's bits (as powers of two; the larger is 64 MB), and bits that an entry sets.
 LEAST_BITS, MOST_BITS, HASHES = 16, 29, 6
 WALKS, DRAWS, SAMPLED, SEED = 16, 4, 4, 11
 WORDS = re.compile(r"[^\W_]+")
-WORD_TABLE = 100_000
-#: Windows embedded at a time.
-BLOCK = 4096
+#: Windows embedded, and characters divided into words, at a time; one text is never divided.
+BLOCK, CHUNK = 4096, 1 << 18
 
 
-class _Words(dict):
-    """64-bit digests of words, kept while they fit."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORD_TABLE:
-            self.clear()
-        value = self[word] = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
-        return value
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
-_WORDS = _Words()
+@lru_cache(maxsize=1)
+def characters() -> np.ndarray:
+    """By code point: a digest of each character that words have, 0 for all others."""
+    out = np.zeros(0x110000, np.uint64)
+    for m in WORDS.finditer("".join(map(chr, range(len(out))))):
+        out[slice(*m.span())] = mixed(mixed(np.arange(m.start() + 1, m.end() + 1, dtype=np.uint64)))
+    return out
 
 
-def symbols(text: str | None) -> np.ndarray:
-    words = WORDS.findall(text.lower()) if text else []
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+def symbols_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit digests of all words of the texts one after another, words of each text): characters times an odd number of their place, summed."""
+    low = [t.lower() if t else "" for t in texts]
+    points = np.frombuffer("\n".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    value = characters()[points]
+    inside = value != 0
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begin, sizes = edges[::2], edges[1::2] - edges[::2]
+    counts = np.diff(np.searchsorted(begin, np.cumsum([0, *(len(t) + 1 for t in low)])))
+    if not len(begin):
+        return np.zeros(0, np.uint64), counts
+    first = np.cumsum(sizes) - sizes
+    odd = mixed(np.arange(1, int(sizes.max()) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    value = value[inside]
+    value *= odd[np.arange(len(value)) - np.repeat(first, sizes)]
+    return mixed(np.add.reduceat(value, first)), counts
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+def symbols(text: str | None) -> np.ndarray:
+    return symbols_of([text])[0]
 
 
 def pair_hashes(s: np.ndarray) -> np.ndarray:
@@ -157,19 +169,21 @@ def walk_keys(tokens: np.ndarray, start: np.ndarray, group: int, back: bool = Fa
     return keys.reshape(WALKS * DRAWS, -1).T
 
 
-def windows(hit: np.ndarray, word_hit: np.ndarray | None, lengths: list[int], edit: float) -> dict[int, np.ndarray]:
-    """Starts of the windows that share enough pairs with the benchmark, by octave. hit: for each pair of the text, whether it is one of its."""
-    sums = np.concatenate([[0], np.cumsum(hit)])
+def windows(sums: np.ndarray, word_hit: np.ndarray | None, first: np.ndarray, last: np.ndarray, lengths: list[int], edit: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By octave: places of the words that begin a window that shares enough pairs with the benchmark, and of those that end one.
+    sums: its pairs among those before each word; word_hit: its words; first, last: places of the first and last words of each word's text."""
     at = np.arange(len(sums))
-    out: dict[int, list[np.ndarray]] = {}
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for n in lengths:
+        begins, ends = out.setdefault(octave(n), (np.zeros(len(sums), bool), np.zeros(len(sums), bool)))
         if n == 1:
-            found = np.flatnonzero(word_hit)
+            begins |= word_hit
+            ends |= word_hit
         else:
-            found = np.flatnonzero(sums[np.minimum(at + n - 1, len(hit))] - sums >= n - 1 - 2 * allowed(n, edit))
-        if len(found):
-            out.setdefault(octave(n), []).append(found)
-    return {g: np.unique(np.concatenate(x)) for g, x in out.items()}
+            least = n - 1 - 2 * allowed(n, edit)
+            begins |= sums[np.minimum(at + (n - 1), last)] - sums >= least
+            ends |= sums - sums[np.maximum(at - (n - 1), first)] >= least
+    return {g: (np.flatnonzero(begins), np.flatnonzero(ends)) for g, (begins, ends) in out.items()}
 
 
 def sparse_bound(lengths: list[int], edit: float) -> tuple[int, int]:
@@ -241,7 +255,7 @@ def item_table(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
                     keys.append(np.concatenate([walk_keys(padded, ends[back], group, bool(back))[0] for back in (0, 1)]).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(tokens, pa.list_(pa.int64())), pa.array([len(t) for t in tokens], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["item_id", "tokens", "n", "keys"])
 
-    return cut(benchmark.select(id_col, text_col).mapInArrow(run, f"item_id {kind}, tokens array<long>, n int, keys array<long>"), "items")
+    return cut(benchmark.select(id_col, text_col).mapInArrow(lean(run), f"item_id {kind}, tokens array<long>, n int, keys array<long>"), "items")
 
 
 def filters(items: DataFrame) -> tuple[Filter, Filter]:
@@ -259,38 +273,65 @@ def filters(items: DataFrame) -> tuple[Filter, Filter]:
         yield pa.RecordBatch.from_arrays([pa.array([pairs.data.tobytes()], pa.binary()), pa.array([keys.data.tobytes()], pa.binary())], ["pairs", "keys"])
 
     out = tuple(Filter(x) for x in sizes)
-    for row in items.select("tokens", "keys").coalesce(8).mapInArrow(run, "pairs binary, keys binary").toLocalIterator():
+    for row in items.select("tokens", "keys").coalesce(8).mapInArrow(lean(run), "pairs binary, keys binary").toLocalIterator():
         for own, data in zip(out, row, strict=True):
             own.data |= np.frombuffer(data, np.uint64)
     return out
 
 
+def grouped(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """(place of the first, texts) of groups of about CHUNK characters; no text is divided."""
+    at = size = 0
+    for i, x in enumerate(texts):
+        size += len(x or "") + 1
+        if size >= CHUNK or i + 1 == len(texts):
+            yield at, texts[at : i + 1]
+            at, size = i + 1, 0
+
+
+def openings(texts: list[str | None], pairs: Filter, lengths: list[int], edit: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(octave, place of the text, its words, places of those that begin and of those that end a window that windows() finds)."""
+    s, counts = symbols_of(texts)
+    if not len(s) or not lengths:
+        return
+    own = np.flatnonzero(counts)
+    counts = counts[own]
+    hit = np.zeros(len(s), np.int64)
+    hit[:-1] = pairs.has(pair_hashes(s))
+    hit[np.cumsum(counts) - 1] = 0  # no pair goes across texts
+    width, least = sparse_bound(lengths, edit)
+    for sparse in (True, False):
+        end = np.cumsum(counts)
+        sums = np.cumsum(hit) - hit
+        first, last = np.repeat(end - counts, counts), np.repeat(end - 1, counts)
+        if sparse and least:
+            stays = np.maximum.reduceat(sums[np.minimum(np.arange(len(s)) + width, last)] - sums, end - counts) >= least
+            if not stays.any():
+                return
+            words = np.repeat(stays, counts)
+            s, hit, own, counts = s[words], hit[words], own[stays], counts[stays]
+    word_hit = pairs.has(word_hashes(s)) if lengths[0] == 1 else None
+    for g, (begins, ends) in windows(sums, word_hit, first, last, lengths, edit).items():
+        bounds = [np.searchsorted(x, [end - counts, end]) for x in (begins, ends)]
+        for k in np.flatnonzero(bounds[0][0] < bounds[0][1]):  # a stretch that some beginning finds, its end finds too
+            low = end[k] - counts[k]
+            yield g, int(own[k]), s[low : end[k]], *(x[b[0, k] : b[1, k]] - low for x, b in zip((begins, ends), bounds, strict=True))
+
+
 def candidate_regions(df: DataFrame, items: DataFrame, edit: float, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, region, start, tokens, keys): stretches around the windows that share a key with some item, with these keys."""
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # distinct item lengths in words: no more than the longest item has
     kind = df.schema[id_col].dataType.simpleString()
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast(filters(items))  # two filters of bounded size
-    width, least = sparse_bound(lengths, edit) if lengths else (1, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, known = sent.value
         for batch in batches:
             found: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
-            for i, x in enumerate(batch.column(1)):
-                s = symbols(x.as_py())
-                if not len(s) or not lengths:
-                    continue
-                hit = pairs.has(pair_hashes(s))
-                if least:
-                    sums = np.concatenate([[0], np.cumsum(hit)])
-                    span = min(width, len(hit))
-                    if int((sums[span:] - sums[: len(sums) - span]).max()) < least:
-                        continue
-                word_hit = pairs.has(word_hashes(s)) if lengths[0] == 1 else None
-                ends = windows(hit[::-1], None if word_hit is None else word_hit[::-1], lengths, edit)
-                for g, starts in windows(hit, word_hit, lengths, edit).items():
-                    found.setdefault(g, []).append((i, s, starts, len(s) - 1 - ends[g]))  # a stretch that some start finds, its mirror finds too
+            for at, texts in grouped(batch.column(1).to_pylist()):
+                for g, i, *part in openings(texts, pairs, lengths, edit):
+                    found.setdefault(g, []).append((at + i, *part))
             for g, parts in found.items():
                 room = np.zeros(plan(g)[0] + 1, np.uint64)
                 tokens = np.concatenate([room, *(y for _, s, _, _ in parts for y in (s, room))])
@@ -327,7 +368,7 @@ def candidate_regions(df: DataFrame, items: DataFrame, edit: float, id_col: str,
                     names.append(blake2b(text.tobytes() + b"%d %d %r" % (begin, g, str(batch.column(0)[i].as_py()).encode()), digest_size=16).digest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(names, pa.binary()), pa.array(where, pa.int64()), pa.array(texts, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int64()))], ["doc_id", "region", "start", "tokens", "keys"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, region binary, start long, tokens array<long>, keys array<long>")
+    return df.select(id_col, text_col).mapInArrow(lean(run), f"doc_id {kind}, region binary, start long, tokens array<long>, keys array<long>")
 
 
 def verified(pairs: DataFrame, edit: float, free: bool) -> DataFrame:
@@ -346,7 +387,7 @@ def verified(pairs: DataFrame, edit: float, free: bool) -> DataFrame:
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in range(2)), *(pa.array([x[c] for x in far], pa.int64()) for c in range(3))], ["doc_id", "item_id", "start", "n_words", "distance"])
 
-    return pairs.select("doc_id", "item_id", "start", "tokens", "item_tokens").mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, start long, n_words long, distance long")
+    return pairs.select("doc_id", "item_id", "start", "tokens", "item_tokens").mapInArrow(lean(run), f"doc_id {kinds[0]}, item_id {kinds[1]}, start long, n_words long, distance long")
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, edit: float = EDIT, id_col: str = "doc_id", text_col: str = "text", free_ends: bool = False) -> DataFrame:

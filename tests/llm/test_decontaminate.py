@@ -172,3 +172,37 @@ def test_filters_grow_with_their_entries():
         f = d.Filter(d.Filter.bits(n))
         f.add(held)
         assert f.has(held).all() and f.has(other).mean() < 1e-3
+
+
+def test_words_are_read_all_at_once(monkeypatch):
+    rng = random.Random(11)
+    some = ["a", "b", "aa", "ab", "ba", "İx", "ΣΣ", "straße", "中文", "\U00010400", "é", "_", "x_y", " ", ".", "\n", "7", "١"]
+    texts = [None, "", "...", *("".join(rng.choice(some) for _ in range(rng.randint(0, 60))) for _ in range(300)), "w" * 70_000, " ".join(f"n{k}" for k in range(5000))]
+    monkeypatch.setattr(d, "blake2b", None)  # no digest a word
+    s, counts = d.symbols_of(texts)
+    words = [d.WORDS.findall((x or "").lower()) for x in texts]
+    assert counts.tolist() == [len(x) for x in words]
+    flat = [x for y in words for x in y]
+    assert len(set(zip(flat, s.tolist(), strict=True))) == len(set(flat)) == len(set(s.tolist()))
+    assert all((d.symbols(x) == s[end - n : end]).all() for x, n, end in zip(texts, counts, np.cumsum(counts), strict=True))
+
+
+def test_openings_equal_a_look_at_every_window():
+    rng = random.Random(12)
+    for lengths in ([15, 18, 31, 40], [1, 2, 9], [3, 5, 64]):
+        known = [f"k{x}" for x in range(70)]
+        texts = [None, "", " ".join(known)] + [" ".join(rng.choice([f"o{rng.randrange(99)}"] * 2 + [" ".join(known[(k := rng.randrange(50)) : k + rng.randint(1, 20)])] * 2) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+        pairs, own = d.Filter(20), d.symbols(" ".join(known))
+        pairs.add(d.pair_hashes(own))
+        pairs.add(d.word_hashes(own[:9]))
+        found = {(g, i): (begins.tolist(), ends.tolist()) for g, i, _, begins, ends in d.openings(texts, pairs, lengths, 0.2)}
+        true = {}
+        for i, x in enumerate(texts):
+            s = d.symbols(x)
+            hit, word_hit = pairs.has(d.pair_hashes(s)).tolist(), pairs.has(d.word_hashes(s)).tolist()
+            for n in lengths:
+                least = n - 1 - 2 * d.allowed(n)
+                begins, ends = true.setdefault((d.octave(n), i), (set(), set()))
+                begins |= {k for k in range(len(s)) if (word_hit[k] if n == 1 else sum(hit[k : k + n - 1]) >= least)}
+                ends |= {k for k in range(len(s)) if (word_hit[k] if n == 1 else sum(hit[max(0, k - n + 1) : k]) >= least)}
+        assert found == {at: (sorted(x), sorted(y)) for at, (x, y) in true.items() if x} and found
