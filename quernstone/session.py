@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "quernstone.shipped"
@@ -43,7 +44,7 @@ def ship(spark: SparkSession) -> None:
     context.setLocalProperty(_SHIPPED, "yes")
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: Arrow's, and the C library's where it can."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -61,11 +62,27 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *f
         finally:
             for f in forget:
                 f()
-            _give_back()
+            give_back()
 
     return leaving_nothing
 
 
+#: Bytes of text that Python reads at once.
+PART = 1 << 20
+
+
+def parts(batch: pa.RecordBatch | pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch | pa.Array]:
+    """batch in order, in parts of PART bytes of texts at most; a longer text is a part of its own. What Python makes of a part
+    is then bounded by its bytes, not by the rows that Spark puts into a batch."""
+    begin, held = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if i > begin and held + n > PART:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    yield batch.slice(begin)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: spark.checkpoint.dir, which driver and executors share.
 
