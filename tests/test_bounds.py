@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from quernstone import session
 from quernstone.functions import analyzer
+from quernstone.sources import transcripts
 
 
 def test_parts_of_a_batch():
@@ -25,3 +26,15 @@ def test_counted_terms_in_parts(monkeypatch):
     assert found[:3] == [first, [], []] and found[3][0]["tf"] == 90
     assert found[4:] == [[one, {"term": "two", "tf": 1, "positions": [1]}]] * 40
     assert [x for a in analyzer._analyzed(iter([pa.array(texts)])) for x in a.to_pylist()] == [analyzer.analyze(t) for t in texts]
+
+
+def test_exports_in_parts(monkeypatch):
+    monkeypatch.setattr(session, "PART", 100)
+    text = "# Session: a\n## User\nx\n## Assistant\ny"
+    batch = pa.RecordBatch.from_pydict({"path": [f"f{i}" for i in range(30)], "text": [text] * 29 + [None]})
+    made = list(transcripts._reader(transcripts.export_rows, transcripts.EXPORT)(iter([batch])))
+    assert len(made) > 9 and max(x.num_rows for x in made) <= 9
+    rows = [tuple(r.values()) for x in made for r in x.to_pylist()]
+    assert rows == [r for i in range(30) for r in transcripts.export_rows(f"f{i}", text if i < 29 else "")]
+    none = list(transcripts._reader(transcripts.web_exchanges, transcripts.EXCHANGES)(iter([batch])))
+    assert sum(x.num_rows for x in none) == 0
