@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,10 +28,22 @@ def document_frequency(items: DataFrame) -> DataFrame:
     return items.select(F.explode(own).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def counted(words: Column) -> Column:
+    """array<struct<term, tf>> of an array of words: the runs of the sorted words. Each step's array is bound once, as a lambda's variable."""
+    bound = lambda made, use: F.get(F.transform(F.array(made), use), F.lit(0))
+    begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+    runs = lambda s, b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("long").alias("tf")))
+    return bound(F.sort_array(words), lambda s: bound(begins(s), lambda b: runs(s, b)))
+
+
 def postings(items: DataFrame) -> DataFrame:
-    """(term, item_id, field, tf)."""
+    """(term, item_id, field, tf). A row's words are counted inside it; only where an id has several rows, which a look at the ids
+    alone tells, counts are added up across rows."""
     words = items.select("item_id", F.explode(F.array(F.struct(F.lit("title").alias("field"), terms(F.col("title")).alias("words")), F.struct(F.lit("body").alias("field"), terms(F.col("body")).alias("words")))).alias("x"))
-    return words.select("item_id", "x.field", F.explode("x.words").alias("term")).groupBy("term", "item_id", "field").agg(F.count(F.lit(1)).alias("tf"))
+    found = words.select("item_id", "x.field", F.explode(counted(F.col("x.words"))).alias("p")).select("p.term", "item_id", "field", "p.tf")
+    if items.groupBy("item_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
+        return found
+    return found.groupBy("term", "item_id", "field").agg(F.sum("tf").alias("tf"))
 
 
 def positions(items: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Steps whose Python is bounded by bytes of text, not by rows of a batch."""
+"""Steps whose Python is bounded by bytes of text, not by rows of a batch, and postings without a shuffle."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from quernstone import session
 from quernstone.functions import analyzer
+from quernstone.operators import search
 from quernstone.sources import transcripts
 
 
@@ -38,3 +39,14 @@ def test_exports_in_parts(monkeypatch):
     assert rows == [r for i in range(30) for r in transcripts.export_rows(f"f{i}", text if i < 29 else "")]
     none = list(transcripts._reader(transcripts.web_exchanges, transcripts.EXCHANGES)(iter([batch])))
     assert sum(x.num_rows for x in none) == 0
+
+
+def test_postings_without_shuffle(spark):
+    items = lambda rows: spark.createDataFrame(rows, "item_id long, title string, body string")
+    rows = [(1, "B a b", "x"), (2, None, None), (3, "", "z y z z")]
+    found = search.postings(items(rows))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    once = [("a", 1, "title", 1), ("b", 1, "title", 2), ("x", 1, "body", 1), ("y", 3, "body", 1), ("z", 3, "body", 3)]
+    assert sorted(map(tuple, found.collect())) == once
+    again = search.postings(items([*rows, (1, "b", "c"), (None, "n", ""), (None, "n", "")]))
+    assert sorted(map(tuple, again.collect()), key=str) == sorted([once[0], ("b", 1, "title", 3), ("c", 1, "body", 1), *once[2:], ("n", None, "title", 2)], key=str)
